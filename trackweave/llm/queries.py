@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .language_id import language_id
+from .license_scan import license_scan
 from .mixing import mix_sources
 from .quality_rules import quality_rules
+from .token_counts import section_tokens
+from .token_files import token_files
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,6 +25,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +38,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 4) for c in ("char_distance", "word_distance")})
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -37,8 +63,21 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+OPERATORS = [
+    op1_extract_text,
+    op2_exact_dedup,
+    op3_quality_rules,
+    op4_license_scan,
+    op5_section_tokens,
+    op6_token_files,
+    op8_language_id,
+    op9_mix_sources,
+    op10_bpe_round_trip,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_quality_rules, op9_mix_sources, op10_bpe_round_trip)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 ORACLE_SQL = {
