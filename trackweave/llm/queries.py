@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mix_sources
@@ -51,6 +52,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ OPERATORS = [
     op4_license_scan,
     op5_section_tokens,
     op6_token_files,
+    op7_jaccard_join,
     op8_language_id,
     op9_mix_sources,
     op10_bpe_round_trip,
