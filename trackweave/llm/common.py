@@ -51,14 +51,22 @@ def _paths(spark: SparkSession) -> list[str]:
     return spark._trackweave_tables
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the tables of written(); results that still read them must have been stored before."""
-    paths = _paths(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+def n_written(spark: SparkSession) -> int:
+    return len(_paths(spark))
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that written() made after the first since ones, but for the last keep of them.
+
+    Results that read them must have been stored before.
+    """
+    known = _paths(spark)
+    end = max(len(known) - keep, since)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in known[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del known[since:end]
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

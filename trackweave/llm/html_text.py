@@ -203,7 +203,7 @@ def content(lines: list[Line], tags: list[str]) -> list[Line]:
     open_lines = [k for k, x in enumerate(lines) if not x.boilerplate]
     if not open_lines:
         return []
-    ratios = np.array([0.0 if x.boilerplate else max(len(x.text) - x.linked, 0) / max(x.tags, 1) for x in lines])
+    ratios = np.array([0.0 if x.boilerplate or 2 * x.linked > len(x.text) else len(x.text) / max(x.tags, 1) for x in lines])
     smooth = smoothed(ratios)
     limit = THRESHOLD * smooth[open_lines].mean()
     seeds = [k for k in open_lines if smooth[k] >= limit and ratios[k] > 0] or open_lines

@@ -206,6 +206,8 @@ class Coder:
             new = np.where(read, (new << np.uint64(32)) | body[place], new)
             state = np.where(on, new, state)
             next_word = next_word + order[:, -1]
+        if (state != LOWER).any():
+            raise ValueError("a block of token ids is damaged")
         made = []
         for b, head in enumerate(heads):
             own = out[b].reshape(-1)[: counts[b]]
