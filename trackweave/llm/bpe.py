@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from .pieces import portions, ranges, tokenizer
 
-CACHED = 400_000
+#: Distinct fragments that a worker remembers; when full, it starts anew.
+CACHED = 800_000
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -66,44 +67,66 @@ def certain_cuts(path: str) -> np.ndarray:
     return cuts & ~joined_pairs(path)
 
 
-def fragments(text: str, path: str) -> list[str]:
-    """text, which has no ASCII white space, cut at all certain cuts."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    at = np.flatnonzero(certain_cuts(path)[data[:-1], data[1:]]) + 1
-    if not len(at):
-        return [text]
-    raw, ends = data.tobytes(), [*at.tolist(), len(data)]
-    return [raw[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def fragments(words: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
+    """The fragments of all words (large strings without ASCII white space), cut at all certain cuts, and how many each
+    word has."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    starts = np.zeros(len(data) + 1, bool)
+    starts[offsets] = True
+    starts[1:-1] |= certain_cuts(path)[data[:-1], data[1:]]
+    starts[-1] = False
+    before = np.concatenate([[0], np.cumsum(starts)])
+    ends = np.append(np.flatnonzero(starts), len(data))
+    parts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data.copy()))
+    return parts, np.diff(before[offsets])
 
 
 class Fragments:
     """For each distinct fragment: its number of tokens, its ids and its tokens as text."""
 
     def __init__(self, path: str):
-        self.path, self.known, self.counts, self.ids, self.decoded = path, {}, [], [], []
-
-    def _encoded(self, texts: list[str]) -> dict[str, list[int]]:
-        found = tokenizer(self.path).encode_batch(texts, add_special_tokens=False)
-        return {t: e.ids for t, e in zip(texts, found, strict=True)}
-
-    def add(self, words: list[str]) -> None:
-        parts = {w: fragments(w, self.path) for w in words}
-        ids = self._encoded(list(dict.fromkeys(p for ps in parts.values() for p in ps)))
-        token = tokenizer(self.path).id_to_token
-        for w in words:
-            own = [i for p in parts[w] for i in ids[p]]
-            self.known[w] = len(self.counts)
+        self.path = path
+        vocabulary = tokenizer(path).get_vocab()
+        self.token = [""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.token[i] = token
+        self.ends = np.array([t.endswith("</w>") for t in self.token])
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.counts: list[int] = []
+        self.ids: list[str] = []
+        self.decoded: list[str] = []
+
+    def encoded(self, parts: list[str]) -> list[list[int]]:
+        """Fragments of letters share a text and are told apart by their ends of words; others are encoded alone."""
+        found: dict[str, list[int]] = {}
+        letters = [p for p in parts if p.isalpha()]
+        for k in range(0, len(letters), 256):
+            some = letters[k : k + 256]
+            ids = np.array(tokenizer(self.path).encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(some) and at[-1] == len(ids):
+                found.update(zip(some, (x.tolist() for x in np.split(ids, at[:-1])), strict=True))
+        alone = [p for p in parts if p not in found]
+        made = tokenizer(self.path).encode_batch_fast(alone, add_special_tokens=False)
+        found.update(zip(alone, (e.ids for e in made), strict=True))
+        return [found[p] for p in parts]
+
+    def slots(self, parts: list[str]) -> list[int]:
+        """parts are distinct."""
+        if len(self.known) + len(parts) > CACHED and self.known:
+            self.clear()
+        new = [p for p in parts if p not in self.known]
+        for part, own in zip(new, self.encoded(new), strict=True):
+            self.known[part] = len(self.counts)
             self.counts.append(len(own))
             self.ids.append(" ".join(map(str, own)))
-            self.decoded.append(" ".join(map(token, own)))
-
-    def slots(self, words: list[str]) -> list[int]:
-        if len(self.known) + len(words) > CACHED and self.known:
-            self.__init__(self.path)
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.add(new)
-        return [self.known[w] for w in words]
+            self.decoded.append(" ".join([self.token[i] for i in own]))
+        return [self.known[p] for p in parts]
 
 
 @lru_cache(maxsize=4)
@@ -119,14 +142,17 @@ def _joined(values: list[str], index: np.ndarray, offsets: np.ndarray) -> pa.Arr
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """For each text (null: empty): its number of tokens, its ids in decimal and its decoded tokens, joined by spaces."""
     words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-    flat = words.flatten()
     offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-    coded = flat.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
+    words = words.flatten().dictionary_encode()
+    parts, n_parts = fragments(words.dictionary, path)
+    word = words.indices.to_numpy(zero_copy_only=False)
+    parts = parts.dictionary_encode()
     cache = _fragments(path)
-    slots = cache.slots(distinct)
+    slots = cache.slots(parts.dictionary.to_pylist())
     counts = np.array([cache.counts[s] for s in slots], np.int64)
-    index = coded.indices.to_numpy(zero_copy_only=False)
+    # From texts to words, to fragments.
+    index = parts.indices.to_numpy(zero_copy_only=False)[ranges((np.cumsum(n_parts) - n_parts)[word], n_parts[word])]
+    offsets = np.concatenate([[0], np.cumsum(n_parts[word])])[offsets]
     # Fragments without tokens would leave a space behind.
     some = counts[index] > 0 if len(index) else np.zeros(0, bool)
     upto = np.concatenate([[0], np.cumsum(some)])
