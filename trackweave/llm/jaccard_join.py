@@ -37,15 +37,19 @@ SHELL_RATIO = 1.5
 #: Times that an empty part is dealt out anew; after that the empty part itself is the cell.
 DEALS = 3
 #: Distinct sets a task remembers to join copies at once; when full, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Regions of up to so many sets and shingles are joined within a task.
-REGION_SETS, REGION_SHINGLES = 2048, 6_000_000
+REGION_SETS, REGION_SHINGLES = 2048, 3_000_000
 #: Sets that are compared all with all.
 LEAF = 256
 #: Rounds of Voronoi cells as Spark jobs; what is still large then is compared block by block.
 ROUNDS = 4
-#: Pivots of a large region in a round, at most about.
-PIVOTS = 64
+#: Share of a region's pairs that its cells may leave.
+PARTED = 0.5
+#: Pivots of a large region in a round, at most about, and the sets that a task compares with them.
+PIVOTS, DEALT = 64, 1000
+#: Texts that are made into sets at once, by number and by bytes.
+TEXTS, TEXT_BYTES = 400, 3_000_000
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -174,7 +178,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_shingles, rep, cells): rep is the first id that the task met with an equal set; only that one has cells."""
     seen: dict[tuple[int, int, int], int] = {}
     for batch in batches:
-        for start, texts in portions(batch.column(1)):
+        for start, texts in portions(batch.column(1), TEXTS, TEXT_BYTES):
             ids = batch.column(0).slice(start, len(texts)).to_pylist()
             sets, n = shingle_sets(texts)
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -248,10 +252,12 @@ class _Sets:
         self.universe = int((times > 1).sum())
 
     def common(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections, by products of 0/1 matrices, a slice of the universe at a time."""
+        """Sizes of the intersections, by products of 0/1 matrices, some rows and a slice of the universe at a time."""
+        if len(rows) > 2 * LEAF:
+            return np.concatenate([self.common(rows[k : k + 2 * LEAF], columns) for k in range(0, len(rows), 2 * LEAF)])
         total = np.zeros((len(rows), len(columns)), np.float64)
         parts = [self._matrix_entries(rows), self._matrix_entries(columns)]
-        step = 16_384
+        step = 8192
         for low in range(0, self.universe, step):
             made = []
             for (who, number), count in zip(parts, (len(rows), len(columns)), strict=True):
@@ -361,7 +367,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, region, text) to (region, id, set, n)."""
     for batch in batches:
-        for start, texts in portions(batch.column(2)):
+        for start, texts in portions(batch.column(2), TEXTS, TEXT_BYTES):
             sets, n = shingle_sets(texts)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 8
             data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(sets.astype("<u8"))])
@@ -372,32 +378,36 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, id, set, n, pivots) to (region, id, set, n, pivot, linked): a row for each Voronoi cell of a document."""
+    """Rows (region, deal, role, id, set) come sorted, pivots (role 0) before members (role 1); out go rows (region, id,
+    pivot, linked, inside), one for each Voronoi cell of a member."""
+    current, pivots, members = None, [], []
+
+    def compared() -> pa.RecordBatch:
+        both, k = _Sets([np.frombuffer(x["set"], "<u8") for x in [*pivots, *members]]), len(pivots)
+        linked, distance = both.linked_and_distance(np.arange(k, k + len(members)), np.arange(k))
+        inside = voronoi(distance)
+        at, pivot = np.nonzero(inside | linked)
+        ids = np.array([p["id"] for p in pivots], np.int64)
+        made = [pa.array([members[a][c] for a in at], pa.int64()) for c in ("region", "id")]
+        made += [pa.array(ids[pivot]), pa.array(linked[at, pivot]), pa.array(inside[at, pivot])]
+        members.clear()
+        return pa.RecordBatch.from_arrays(made, names=["region", "id", "pivot", "linked", "inside"])
+
     for batch in batches:
-        rows = batch.to_pylist()
-        regions: dict[int, list[dict]] = {}
-        for row in rows:
-            regions.setdefault(row["region"], []).append(row)
-        for members in regions.values():
-            pivots = members[0]["pivots"]
-            both = _Sets([np.frombuffer(x["set"], "<u8") for x in [*pivots, *members]])
-            k = len(pivots)
-            linked, distance = both.linked_and_distance(np.arange(k, k + len(members)), np.arange(k))
-            inside = voronoi(distance)
-            at, pivot = np.nonzero(inside | linked)
-            ids = np.array([p["id"] for p in pivots], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([members[a]["region"] for a in at], pa.int64()),
-                    pa.array([members[a]["id"] for a in at], pa.int64()),
-                    pa.array([members[a]["set"] for a in at], pa.binary()),
-                    pa.array([members[a]["n"] for a in at], pa.int64()),
-                    pa.array(ids[pivot]),
-                    pa.array(linked[at, pivot]),
-                    pa.array(inside[at, pivot]),
-                ],
-                names=["region", "id", "set", "n", "pivot", "linked", "inside"],
-            )
+        for start in range(0, batch.num_rows, LEAF):
+            for row in batch.slice(start, LEAF).to_pylist():
+                if (row["region"], row["deal"]) != current:
+                    if members:
+                        yield compared()
+                    current, pivots = (row["region"], row["deal"]), []
+                if row["role"] == 0:
+                    pivots.append(row)
+                    continue
+                members.append(row)
+                if len(members) == LEAF:
+                    yield compared()
+    if members:
+        yield compared()
 
 
 SETS = "region bigint, id bigint, set binary, n bigint"
@@ -415,7 +425,11 @@ def _sized(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all links within the regions of sets."""
+    """Edges (a, b) whose components are those of all links within the regions of sets.
+
+    A large region is replaced by its Voronoi cells if they leave less than PARTED of its pairs to compare. Regions that
+    pivots don't part so, such as many copies of one text with few changes, are compared block by block.
+    """
     fits, large = _sized(sets)
     found = [_joined(fits)]
     for round_ in range(1, ROUNDS + 1):
@@ -424,15 +438,30 @@ def links(sets: DataFrame) -> DataFrame:
         large = written(large, f"large-{round_}")
         share = F.least(F.lit(float(PIVOTS)), 4 * F.col("sets_in") / REGION_SETS + 4) / F.col("sets_in")
         chance = F.pmod(F.xxhash64("region", "id", F.lit(round_)), F.lit(1 << 30)) / (1 << 30)
-        pivots = large.where(chance < share).groupBy("region").agg(F.collect_list(F.struct("id", "set")).alias("pivots"))
-        pivots = written(pivots, "pivots")
-        schema = f"{SETS}, pivot bigint, linked boolean, inside boolean"
-        near = large.join(small(pivots, 64), "region").select("region", "id", "set", "n", "pivots").mapInArrow(_to_pivots, schema)
+        deals = F.ceil(F.col("sets_in") / DEALT).cast("int")
+        pivots = written(large.where(chance < share).select("region", "id", "set", "sets_in", deals.alias("deals")), "pivots")
+        chosen = pivots.select("region", "sets_in").distinct()
+        members = large.join(chosen.select("region"), "region", "left_semi")
+        # Members are dealt out, whatever the size of their region; its pivots go along with each deal.
+        deal = F.pmod(F.xxhash64("id", F.lit("deal")), deals).cast("int")
+        rows = members.select("region", deal.alias("deal"), F.lit(1).alias("role"), "id", "set")
+        each = F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")
+        rows = rows.unionByName(pivots.select("region", each, F.lit(0).alias("role"), "id", "set"))
+        schema = "region bigint, id bigint, pivot bigint, linked boolean, inside boolean"
+        near = rows.repartition("region", "deal").sortWithinPartitions("region", "deal", "role").mapInArrow(_to_pivots, schema)
         near = written(near, f"near-{round_}")
         found.append(near.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        cells = near.where("inside").select(F.xxhash64("region", "pivot", F.lit(round_)).alias("region"), "id", "set", "n")
+        sizes = near.where("inside").groupBy("region", "pivot").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        pairs = sizes.groupBy("region").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        parted = pairs.join(chosen, "region").where(F.col("pairs") <= PARTED * F.col("sets_in") * F.col("sets_in"))
+        parted = written(parted.select("region"), "parted")
+        whole = members.join(parted, "region", "left_anti")
+        found.append(_joined(block_pairs(whole)))
+        inside = near.where("inside").join(parted, "region", "left_semi").select("region", "id", "pivot")
+        cells = inside.join(large.select("region", "id", "set", "n"), ["region", "id"])
+        cells = cells.select(F.xxhash64("region", "pivot", F.lit(round_)).alias("region"), "id", "set", "n")
         # A region that got no pivot this time stays as it is.
-        rest = large.join(pivots.select("region"), "region", "left_anti").select("region", "id", "set", "n")
+        rest = large.join(chosen.select("region"), "region", "left_anti").select("region", "id", "set", "n")
         fits, large = _sized(cells.unionByName(rest))
         found.append(_joined(fits))
     if large.head(1):
@@ -472,7 +501,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = known.where(F.size("cells") > 0).select("id", F.explode("cells").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     shared = written(shared.select("cell", "least"), "cells")
-    together = cells.join(small(shared), "cell").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    together = cells.join(shared, "cell").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     regions = written(components(together).withColumnRenamed("root", "region"), "regions")
     members = base.join(small(regions.withColumnRenamed("node", "id")), "id").select("id", "region", "text")
     found = links(written(members.mapInArrow(_sets_of, SETS), "sets"))
