@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .pieces import portions, ranges, tokenizer
+from .pieces import fragments, portions, ranges, tokenizer
 
 #: Distinct fragments that a worker remembers; when full, it starts anew.
 CACHED = 800_000
@@ -67,22 +67,6 @@ def certain_cuts(path: str) -> np.ndarray:
     return cuts & ~joined_pairs(path)
 
 
-def fragments(words: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
-    """The fragments of all words (large strings without ASCII white space), cut at all certain cuts, and how many each
-    word has."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    starts = np.zeros(len(data) + 1, bool)
-    starts[offsets] = True
-    starts[1:-1] |= certain_cuts(path)[data[:-1], data[1:]]
-    starts[-1] = False
-    before = np.concatenate([[0], np.cumsum(starts)])
-    ends = np.append(np.flatnonzero(starts), len(data))
-    parts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data.copy()))
-    return parts, np.diff(before[offsets])
-
-
 class Fragments:
     """For each distinct fragment: its number of tokens, its ids and its tokens as text."""
 
@@ -144,7 +128,7 @@ def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, pa.Array, pa.Array]
     words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
     words = words.flatten().dictionary_encode()
-    parts, n_parts = fragments(words.dictionary, path)
+    parts, n_parts = fragments(words.dictionary, certain_cuts(path))
     word = words.indices.to_numpy(zero_copy_only=False)
     parts = parts.dictionary_encode()
     cache = _fragments(path)

@@ -33,55 +33,64 @@ def tokenizer(path: str):
     return found
 
 
-def portions(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def portions(column: pa.Array, texts: int = TEXTS, size: int = TEXT_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a string array with their offset, each of a few texts; a long text is one of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(column):
         base = sizes[start - 1] if start else 0
-        end = int(np.searchsorted(sizes, base + TEXT_BYTES))
-        end = min(max(end, start + 1), start + TEXTS, len(column))
+        end = int(np.searchsorted(sizes, base + size))
+        end = min(max(end, start + 1), start + texts, len(column))
         yield start, column.slice(start, end - start)
         start = end
 
 
+def fragments(words: pa.Array, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The fragments of all words (large strings), cut wherever the table of byte pairs says so, and how many each word
+    has."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    starts = np.zeros(len(data) + 1, bool)
+    starts[offsets] = True
+    starts[1:-1] |= cuts[data[:-1], data[1:]]
+    starts[-1] = False
+    before = np.concatenate([[0], np.cumsum(starts)])
+    ends = np.append(np.flatnonzero(starts), len(data))
+    parts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data.copy()))
+    return parts, np.diff(before[offsets])
+
+
 class PieceCache:
-    """Token ids by piece, in one growing array."""
+    """Token ids by piece, in one growing array.
+
+    encode takes distinct pieces and gives them in an order of its own, with their ids one after the other and how many
+    each has.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = CACHED):
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = CACHED):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.starts = np.zeros(1024, np.int64)
-        self.ids = np.empty(4096, np.int32)
-        self.n, self.used = 0, 0
-
-    def _add(self, pieces: list[str]) -> None:
-        for ids in self.encode(pieces):
-            if self.n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.int32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.n += 1
-            self.starts[self.n] = self.used
-        base = self.n - len(pieces)
-        self.slots.update(zip(pieces, range(base, self.n), strict=True))
+        self.starts = np.zeros(1, np.int64)
+        self.ids = np.empty(0, np.int32)
 
     def slots_of(self, pieces: list[str]) -> np.ndarray:
-        """pieces are distinct."""
-        if self.n + len(pieces) > self.limit and self.n:
+        if len(self.slots) + len(pieces) > self.limit:
             self.clear()
         get = self.slots.get
-        found = [get(p, -1) for p in pieces]
-        new = [p for p, s in zip(pieces, found, strict=True) if s < 0]
+        found = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0).tolist()
         if new:
-            self._add(new)
-            found = [self.slots[p] for p in pieces]
-        return np.array(found, np.int64)
+            order, ids, lengths = self.encode([pieces[k] for k in new])
+            base = len(self.starts) - 1
+            self.slots.update(zip(order, range(base, base + len(order)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            found[new] = [self.slots[pieces[k]] for k in new]
+        return found
 
     def gathered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and how many each has."""

@@ -22,11 +22,12 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un une du que pour".split(),
     "es": "de la que el en y a los se del las un".split(),
 }
-#: Classes of characters, as the inside of a regular expression's bracket; all else is the last class.
-CHAR_CLASSES = ["a-z", "A-Z", "0-9", ".,;:!?", "#*$%&|<>", "\\u0080-\\uFFFF"]
+#: Classes of characters, as the inside of a regular expression's bracket; what is in none of them, and
+#: then a-z, are two more.
+CHAR_CLASSES = ["A-Z", "0-9", ".,;:!?", "#*$%&|<>", "\\u0080-\\uFFFF"]
 
 #: Where CHAR_CLASSES has the symbols of the contract.
-SYMBOL_CLASS = 4
+SYMBOL_CLASS = 3
 #: Repeated windows up to which their places are found by search.
 SEARCHED = 64
 

@@ -86,10 +86,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+def quality_sql() -> str:
+    """Operator 3 in SQL, from the same constants."""
+    from . import quality_rules as q
+
+    common = sorted(set().union(*q.COMMON_WORDS.values()))
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    slots = " ".join(f"WHEN '{k}' THEN [{quoted(v)}]" for k, v in q.COMMON_WORDS.items())
+    classes = [c.replace("\\u0080-\\uFFFF", r"\x{80}-\x{FFFF}") for c in q.CHAR_CLASSES]
+    n_class = [f"length(o) - length(regexp_replace(o, '[{c}]+', '', 'g'))" for c in classes]
+    chars = ", ".join([*n_class, f"length(o) - ({' + '.join(n_class)})", "word_chars - length(o)"])
+    return rf"""
+    WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    e AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words, array_to_string(w, '') AS j, length(array_to_string(w, '')) AS word_chars,
+      regexp_replace(array_to_string(w, ''), '[a-z]+', '', 'g') AS o, CASE lang {slots} ELSE [{quoted(common)}] END AS slots,
+      CASE WHEN lang IN ({quoted(q.COMMON_WORDS)}) THEN lang ELSE '' END AS ref_lang,
+      list_filter(string_split(coalesce(t, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM e, unnest(range(1, len(w) - 1)) AS u(i)),
+    rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+    cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+    f AS (SELECT e.doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM e LEFT JOIN cov ON cov.doc_id = e.doc_id),
+    counted AS (SELECT doc_id, n_words, word_chars, ref_lang, [{chars}] AS c, list_transform(slots, lambda s: len(list_filter(w, lambda x: x = s))) AS k FROM e),
+    shares AS (SELECT doc_id, n_words, ref_lang, list_transform(c, lambda x: CAST(floor(x * {q.UNIT} / greatest(word_chars, 1)) AS BIGINT)) AS a,
+      list_transform(list_append(k, n_words - list_sum(k)), lambda x: CAST(floor(x * {q.UNIT} / greatest(n_words, 1)) AS BIGINT)) AS b FROM counted WHERE n_words >= {q.MIN_WORDS_COMPARED}),
+    cells AS (SELECT doc_id, n_words, ref_lang, 0 AS kind, i, a[i] AS share FROM shares, unnest(range(1, len(a) + 1)) AS u(i)
+      UNION ALL SELECT doc_id, n_words, ref_lang, 1, i, b[i] FROM shares, unnest(range(1, len(b) + 1)) AS u(i)),
+    refs AS (SELECT ref_lang, kind, i, sum(share) / count(*) / {q.UNIT} AS r FROM cells GROUP BY 1, 2, 3),
+    terms AS (SELECT doc_id, kind, share / {q.UNIT} AS p, r, (share / {q.UNIT} + r) / 2 AS m FROM cells JOIN refs USING (ref_lang, kind, i)),
+    js AS (SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN r > 0 THEN r * log2(r / m) ELSE 0 END) / 2, 0)) AS js FROM terms GROUP BY 1, 2),
+    g AS (SELECT f.*, a.js AS cd, b.js AS wd, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f
+      LEFT JOIN js a ON a.doc_id = f.doc_id AND a.kind = 0 LEFT JOIN js b ON b.doc_id = f.doc_id AND b.kind = 1)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 4) AS char_distance, round(wd, 4) AS word_distance,
+      NOT base_failed AND coalesce(cd <= {q.CHAR_LIMIT} + {q.CHAR_SLACK} / sqrt(greatest(n_words, 1)), TRUE) AND coalesce(wd <= {q.WORD_LIMIT} + {q.WORD_SLACK} / sqrt(greatest(n_words, 1)), TRUE) AS kept FROM g"""
+
+
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op3_quality_rules": quality_sql(),
 }

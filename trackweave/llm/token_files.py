@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
-from .pieces import PieceCache, portions, sums_by_list, tokenizer
+from .pieces import PieceCache, fragments, portions, ranges, sums_by_list, tokenizer
 
 LANES = 256
 BLOCK_TOKENS = 16_384
@@ -39,29 +39,58 @@ GROUPS = "part int, seq int, in_part bigint, n_tokens bigint, doc_ids binary, do
 # Encoding texts
 
 
+@lru_cache(maxsize=1)
+def cuts() -> np.ndarray:
+    """Pairs of bytes that the tokenizer's pattern parts wherever they stand: printable ASCII of unlike kinds (letter,
+    digit, other), but for the apostrophe, which may start a word; and printable ASCII before a line's end. How the
+    pattern parts white space depends on what follows, so that is never cut off."""
+    kind = np.zeros(256, np.int8)
+    kind[33:127] = 3
+    kind[[b for b in range(128) if chr(b).isalpha()]] = 1
+    kind[[b for b in range(128) if chr(b).isdigit()]] = 2
+    kind[ord("'")] = 0
+    plain, line = kind > 0, np.arange(256) == 10
+    found = (kind[:, None] != kind[None, :]) & plain[:, None] & plain[None, :]
+    return found | plain[:, None] & line[None, :]
+
+
 @lru_cache(maxsize=2)
-def _starts_with_space(path: str) -> np.ndarray:
+def _marks(path: str) -> tuple[np.ndarray, int]:
+    """Which tokens start with a space, and the token of a line's end."""
     vocab = tokenizer(path).get_vocab()
     found = np.zeros(max(vocab.values()) + 1, bool)
     found[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-    return found
-
-
-def _encode_pieces(path: str, pieces: list[str]) -> list[list[int]]:
-    """Ids of each piece as it stands after a space. Plain ones share a text, which is cut again where a token starts
-    with a space."""
-    found: dict[str, list[int]] = {}
-    plain = [p for p in pieces if p and len(p.split()) == 1 and p == p.strip() and "<|" not in p]
-    for k in range(0, len(plain), 256):
-        part = plain[k : k + 256]
-        ids = np.array(tokenizer(path).encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids)
-        at = np.flatnonzero(_starts_with_space(path)[ids])
-        if len(at) == len(part) and at[0] == 0:
-            found.update(zip(part, (x.tolist() for x in np.split(ids, at[1:])), strict=True))
-    rest = [p for p in pieces if p not in found]
-    encoded = tokenizer(path).encode_batch_fast([" " + p for p in rest], add_special_tokens=False)
-    found.update(zip(rest, (e.ids for e in encoded), strict=True))
-    return [found[p] for p in pieces]
+    return found, vocab["Ċ"]
+
+
+def _encode_pieces(path: str, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of letters after a space, or after a line's end, share a text; they are told apart by the tokens that start
+    with a space, or end a line. All else is encoded alone."""
+    order: list[str] = []
+    made: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
+    starts, line = _marks(path)
+    encode = lambda texts: [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
+    for p in pieces:
+        kinds[p[0] if p[0] in " \n" and p[1:].isalpha() else ""].append(p)
+    alone = kinds.pop("")
+    for gap, words in kinds.items():
+        for k in range(0, len(words), 512):
+            part = words[k : k + 512]
+            ids = np.array(encode(["".join(part)])[0], np.int64)
+            at = np.flatnonzero(starts[ids] if gap == " " else ids == line)
+            if len(at) != len(part) or at[0]:
+                alone += part
+                continue
+            order += part
+            made.append(ids)
+            lengths.append(np.diff(np.append(at, len(ids))))
+    found = encode(alone)
+    order += alone
+    made += [np.array(x, np.int64) for x in found]
+    lengths.append(np.array([len(x) for x in found], np.int64))
+    return order, np.concatenate(made) if made else np.empty(0, np.int64), np.concatenate(lengths)
 
 
 @lru_cache(maxsize=2)
@@ -77,25 +106,33 @@ def token_ids(texts: pa.Array, path: str, end: int | None = 0) -> tuple[np.ndarr
     """The ids of all texts (null: empty), each followed by end if given, and their numbers.
 
     The tokenizer parts words before a space, so a text is cut there, unless white space comes before the space; texts
-    with such a place are encoded as a whole.
+    with such a place, or with an added token, are encoded as a whole. What lies between is cut at cuts().
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    unsure = pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False)
-    cut = pc.split_pattern(pc.if_else(pa.array(unsure), pa.scalar("", pa.large_string()), texts), " ")
-    offsets = cut.offsets.to_numpy()
-    pieces, first = cut.flatten(), offsets[:-1] - offsets[0]
-    others = np.ones(len(pieces), bool)
-    others[first] = False
-    ids, lengths = _cache(path).gathered(pieces.filter(pa.array(others)))
-    n = sums_by_list(lengths, offsets - offsets[0] - np.arange(len(offsets)))
-    # What comes before the first space, or the whole text.
-    heads = pc.if_else(pa.array(unsure), texts, pieces.take(pa.array(first))).to_pylist()
-    encoded = [e.ids for e in tokenizer(path).encode_batch_fast(heads, add_special_tokens=False)]
-    upto = np.concatenate([[0], np.cumsum(n)])
-    tail = [] if end is None else [end]
-    parts = [x for k, head in enumerate(encoded) for x in (head, ids[upto[k] : upto[k + 1]], tail)]
-    counts = n + np.array([len(x) + len(tail) for x in encoded], np.int64)
-    return (np.concatenate([np.asarray(x, np.int32) for x in parts]) if parts else np.empty(0, np.int32)), counts
+    unsure = pc.match_substring_regex(texts, UNSURE)
+    for added in tokenizer(path).get_added_tokens_decoder().values():
+        unsure = pc.or_(unsure, pc.match_substring(texts, added.content))
+    cut = pc.split_pattern(pc.if_else(unsure, pa.scalar("", pa.large_string()), texts), " ")
+    offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    before = np.full(len(cut.flatten()), " ", object)
+    before[offsets[:-1]] = ""
+    pieces = pc.binary_join_element_wise(pa.array(before, pa.large_string()), cut.flatten(), pa.scalar("", pa.large_string()))
+    coded = pieces.dictionary_encode()
+    parts, n_parts = fragments(coded.dictionary, cuts())
+    ids, lengths = _cache(path).gathered(parts)
+    # From pieces to fragments to ids.
+    piece = coded.indices.to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_parts)])]
+    starts, sizes = ends[:-1][piece], np.diff(ends)[piece]
+    ids, n = ids[ranges(starts, sizes)], sums_by_list(sizes, offsets)
+    whole = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
+    if len(whole):
+        own = [e.ids for e in tokenizer(path).encode_batch_fast([texts[k].as_py() for k in whole.tolist()], add_special_tokens=False)]
+        ids = np.insert(ids, np.repeat((np.cumsum(n) - n)[whole], [len(x) for x in own]), np.concatenate(own))
+        n[whole] = [len(x) for x in own]
+    if end is None:
+        return ids, n
+    return np.insert(ids, np.cumsum(n), end), n + 1
 
 
 def encoded_docs(docs: DataFrame, path: str, id_col: str, text_col: str, end: int | None) -> DataFrame:
