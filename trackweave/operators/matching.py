@@ -28,7 +28,7 @@ def gt_matches(nodes: DataFrame, gt_links: DataFrame) -> DataFrame:
 def blocked(nodes: DataFrame, overlaps: DataFrame) -> DataFrame:
     """nodes whose overlapping partner is matched become BLOCKED: first those below a matched one, then those above.
 
-    The second pass sees the first one's results, where BLOCKED counts as matched, as the reference semantics has it.
+    The second pass sees the results of the first, in which BLOCKED counts as matched.
     """
     for own, other in (("node_id", "ancestor_id"), ("ancestor_id", "node_id")):
         matched = nodes.where(F.col("gt_track_id") != NO_OVERLAP).select(F.col("id").alias(other))
