@@ -1,6 +1,6 @@
 """Operator 6: token ids in binary files, coded by a static range asymmetric numeral system (rANS).
 
-File format: a table of groups that Spark writes as Parquet without further compression, one row a group. A group holds
+File format: a table of groups that Spark writes as Parquet, one row a group. A group holds
 whole documents in ascending order of their ids: their ids, their token counts, and a payload of independent blocks.
 A block of up to BLOCK_TOKENS tokens is coded by LANES interleaved coders, token i by lane i mod LANES, all under one
 frequency table for the whole corpus, which is stored beside the groups. Its header has the number of tokens, the
