@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-
 #: Spellings that count as equal; what they differ in, outside the groups, is left out.
 SPELLINGS = (
-    r"(licen)[cs](?=e|ing)|(organi)[sz](?=ation)|(favo)u?(?=r)|(fulfil)l?|\b(non|per) (?=commercial|cent)"
-    r"|(copyright )(?:holder|owner)"
+    r"(licen)[cs](?=e|ing)|(organi)[sz](?=ation)|(favo)u?(?=r)|(fulfil)l?|\b(non|per)[ \n](?=commercial|cent)"
+    r"|(copyright[ \n])(?:holder|owner)"
 )
 #: Public licence notices and texts, by identifier.
 KNOWN = {
@@ -75,23 +73,29 @@ language governing permissions and limitations under the License.""",
 }
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form. Without its copyright lines a text may be empty."""
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with its line ends kept."""
     out = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, r"(?m)^[\x20\t]*(copyright\b|\(c\)|©)[^\n]*\n?", "")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
     return F.regexp_replace(out, SPELLINGS, "$1$2$3$4$5$6")
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def in_one_line(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form. Without its copyright lines a text may be empty."""
+    return in_one_line(canonical_lines(text))
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
-    """(digest, license_id), distinct: as many rows as there are known texts at most."""
+    """(digest, license_id, length of the canonical form), a row a digest: as many as there are known texts at most."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
     texts = spark.createDataFrame(rows, "license_id string, text string")
-    return texts.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    forms = texts.select("license_id", canonical(F.col("text")).alias("form"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("length")).agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: dict[str, list[str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,16 +105,16 @@ def license_scan(docs: DataFrame, known: dict[str, list[str]] = KNOWN, id_col: s
     notice is an entire line. A null text is empty; a text without letters or digits is no licence. Equal texts and
     repeated rows give equal results. The known texts are a parameter, so their broadcast is bounded by it.
     """
-    table = written(known_digests(docs.sparkSession, known), "licenses")
-    names = {r["digest"]: r["license_id"] for r in table.collect()}
-    texts = docs.sparkSession.createDataFrame([(t,) for ts in known.values() for t in ts], "t string")
+    known_rows = known_digests(docs.sparkSession, known).collect()
+    table = docs.sparkSession.createDataFrame([(r["digest"], r["license_id"]) for r in known_rows], "digest string, license_id string")
     # Only lines whose canonical form is as long as that of a known text get a digest.
-    lengths = sorted(r["n"] for r in texts.select(F.length(canonical(F.col("t"))).alias("n")).distinct().collect())
-    literal = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    forms = F.filter(F.transform(F.split(text, "\n"), canonical), lambda x: F.length(x).isin(lengths))
+    lengths = sorted({r["length"] for r in known_rows})
+    literal = F.create_map(*(F.lit(x) for r in known_rows for x in (r["digest"], r["license_id"])))
+    base = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("_lines"))
+    base = base.withColumns({"digest": F.sha2(in_one_line(F.col("_lines")), 256), "_each": F.split("_lines", "\n")})
+    forms = F.filter(F.transform("_each", lambda x: F.trim(x)), lambda x: F.length(x).isin(lengths))
     hits = F.filter(F.transform(forms, lambda x: F.element_at(literal, F.sha2(x, 256))), lambda x: x.isNotNull())
-    base = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"), hits.alias("hits"))
+    base = base.select("id", "digest", hits.alias("hits"))
     return base.join(F.broadcast(table), "digest", "left").select(
         F.col("id").alias(id_col),
         F.col("digest").alias("text_digest"),
