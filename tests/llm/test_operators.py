@@ -79,6 +79,24 @@ def test_quality_keeps_prose_and_rejects_symbols(spark):
     assert not made[99] and sum(made.values()) == 30
 
 
+@pytest.mark.parametrize("given", ["en de", ""])
+def test_quality_without_a_listed_language(spark, given):
+    """Prose of a language stays without its lang, if few others are of it, and in a new language; symbols don't."""
+    import random
+
+    rng, new = random.Random(4), "il lo gli che di una per non con sono della nel".split()
+    prose = lambda common: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("aeinrst", k=6)) for _ in range(300))
+    spoken = {"en": quality_rules.COMMON_WORDS["en"], "de": quality_rules.COMMON_WORDS["de"], "it": new}
+    texts = [(lang, lang if lang in given or lang == "it" and given else None) for lang, n in (("en", 40), ("de", 20), ("it", 3)) for _ in range(n)]
+    texts += [("en", None)] * 20 + [("de", None)] * 3
+    docs = [(k, prose(spoken[lang]), named) for k, (lang, named) in enumerate(texts)]
+    junk = (999, " ".join(f"{w.upper()}{j}%%%" for j, w in enumerate(prose(new).split())), None)
+    made = {r["doc_id"]: r for r in rows(quality_rules.quality_rules(spark.createDataFrame([*docs, junk], "doc_id int, text string, lang string")))}
+    assert all(made[k]["kept"] for k, _, _ in docs)
+    # Without any lang there is no reference of one language: the base rules decide.
+    assert made[999]["kept"] == (not given) and (made[999]["char_distance"] is None) == (not given)
+
+
 def jaccard_components(pairs):
     sets = {}
     for i, text in pairs:

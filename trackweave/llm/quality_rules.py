@@ -2,8 +2,10 @@
 
 A document is compared with a reference of its language by two histograms: classes of characters, and common words.
 The references are the mean histograms over all documents of a language that are long enough, so they follow the
-corpus; what differs from them by more than a Jensen-Shannon distance is rejected. Documents below a minimum length are
-never judged by histograms, as short samples stray far by chance. Rules on length and repetition come first.
+corpus; what differs from them by more than a Jensen-Shannon distance is rejected. A document whose language has no list
+of common words, or isn't given, is held against the references of several languages, and the nearest counts. Documents
+below a minimum length are never judged by histograms, as short samples stray far by chance. Rules on length and
+repetition come first.
 """
 
 from __future__ import annotations
@@ -47,6 +49,16 @@ def _millionths(count: Column, total: Column) -> Column:
     return F.floor(count.cast("bigint") * F.lit(UNIT).cast("bigint") / F.greatest(total, F.lit(1))).cast("bigint")
 
 
+def _listed(lang: Column) -> Column:
+    return F.coalesce(lang.isin(list(COMMON_WORDS)), F.lit(False))
+
+
+def _shares(counts: Column, n_words: Column) -> Column:
+    """Counts of common words, and the other words, as millionths."""
+    rest = n_words - F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+    return F.transform(F.concat(counts, F.array(rest.cast("int"))), lambda c: _millionths(c, n_words))
+
+
 def _n_chars(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
@@ -76,25 +88,19 @@ def with_histograms(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     # The second use of _known keeps Spark from computing it anew for each slot.
     counts = F.when(F.size("_known") == 0, F.transform(slots, lambda _: F.lit(0))).otherwise(counts)
     out = out.withColumn("_word_counts", counts)
-    rest = F.col("_n_words") - F.aggregate("_word_counts", F.lit(0), lambda a, b: a + b)
-    share = F.transform(F.concat("_word_counts", F.array(rest.cast("int"))), lambda c: _millionths(c, F.col("_n_words")))
     chars = [_n_chars(F.col("_others"), f"[{c}]+").cast("bigint") for c in CHAR_CLASSES]
     chars.append(F.char_length("_others").cast("bigint") - reduce(lambda a, b: a + b, chars))
     chars.append(F.col("_word_chars") - F.char_length("_others"))
     out = out.withColumn("_char_counts", F.array(*chars))
     return out.withColumns(
-        {"_word_hist": share, "_char_hist": F.transform("_char_counts", lambda c: _millionths(c, F.col("_word_chars")))}
+        {"_word_hist": _shares(F.col("_word_counts"), F.col("_n_words")), "_char_hist": F.transform("_char_counts", lambda c: _millionths(c, F.col("_word_chars")))}
     )
 
 
 def references(hists: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """(ref_lang, ref_char, ref_word): mean histograms of the listed languages, and under null that of all others.
-
-    One row for each listed language at most, and one more.
-    """
-    listed = F.when(F.col(lang_col).isin(list(COMMON_WORDS)), F.col(lang_col))
-    long = hists.where(F.col("_n_words") >= MIN_WORDS_COMPARED).select(
-        listed.alias("ref_lang"), F.posexplode(F.concat("_char_hist", "_word_hist")).alias("slot", "share")
+    """(ref_lang, ref_char, ref_word): mean histograms of each language that is given, listed or not; none of null."""
+    long = hists.where((F.col("_n_words") >= MIN_WORDS_COMPARED) & F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).alias("ref_lang"), F.posexplode(F.concat("_char_hist", "_word_hist")).alias("slot", "share")
     )
     sums = long.groupBy("ref_lang", "slot").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("docs"))
     mean = sums.select("ref_lang", "slot", (F.col("share") / F.col("docs") / UNIT).alias("share"))
@@ -107,6 +113,41 @@ def references(hists: DataFrame, lang_col: str = "lang") -> DataFrame:
     )
 
 
+def _slots() -> Column:
+    """Where the words of ref_lang's histogram stand among all common words."""
+    common = sorted(set().union(*COMMON_WORDS.values()))
+    at = F.array(*(F.lit(k) for k in range(len(common))))
+    for lang, own in COMMON_WORDS.items():
+        at = F.when(F.col("ref_lang") == lang, F.array(*(F.lit(common.index(w)) for w in own))).otherwise(at)
+    return at
+
+
+def _limit(limit: float, slack: float) -> Column:
+    return limit + slack / F.sqrt(F.greatest(F.col("_n_words"), F.lit(1)))
+
+
+def nearest(lang: Column, refs: Column) -> Column:
+    """(excess, ref_lang, char_distance, word_distance) of the nearest of refs to a document without a listed language.
+
+    A language that is given is held against its own reference and those of the listed ones, null against all. Nearest is
+    where the larger of the two distances, each over its limit, is smallest; null without any reference.
+    """
+
+    def held(ref: Column) -> Column:
+        # The document's counts are of all common words; a listed reference has those of its language.
+        counts = F.transform(ref["ref_at"], lambda k: F.get("_word_counts", k))
+        char = js_distance(F.col("_char_hist"), ref["ref_char"])
+        word = js_distance(_shares(counts, F.col("_n_words")), ref["ref_word"])
+        return F.struct(char.alias("char_distance"), word.alias("word_distance"), ref["ref_lang"].alias("ref_lang"))
+
+    def ranked(x: Column) -> Column:
+        excess = F.greatest(x["char_distance"] / _limit(CHAR_LIMIT, CHAR_SLACK), x["word_distance"] / _limit(WORD_LIMIT, WORD_SLACK))
+        return F.struct(excess.alias("excess"), *(x[c].alias(c) for c in ("ref_lang", "char_distance", "word_distance")))
+
+    used = F.filter(refs, lambda r: lang.isNull() | (r["ref_lang"] == lang) | _listed(r["ref_lang"]))
+    return F.array_min(F.transform(F.transform(used, held), ranked))
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of a histogram in millionths and one in shares, of one length."""
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
@@ -165,9 +206,10 @@ def quality_rules(
     base_failed, char_distance, word_distance and kept.
 
     The texts are read once: the features are written to the shared folder, the references come from there. A null text
-    is empty; it and the empty text have no words and fail the base rules. A null lang, or one without a list of common
-    words, is held against the mean of all such documents. Both distances are null where a document is below
-    MIN_WORDS_COMPARED, and then don't reject. Repeated rows are judged alike. Columns of docs that have the name of a
+    is empty; it and the empty text have no words and fail the base rules. A lang without a list of common words has a
+    reference of its own; its documents, and those with a null lang, have the distances of the nearest reference, see
+    nearest(). Both distances are null where a document is below MIN_WORDS_COMPARED or there is no reference (no long
+    document has a lang), and then don't reject. Repeated rows are judged alike. Columns of docs that have the name of a
     result are left out. An empty table gives an empty result.
     """
     made = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed char_distance word_distance kept".split()
@@ -177,24 +219,28 @@ def quality_rules(
         docs = docs.withColumn(lang_col, F.lit(None).cast("string"))
     features = with_base_features(with_histograms(docs, text_col, lang_col))
     base = ["n_symbols", "n_dup_lines", "n_repeat_words", "_n_words", "_word_chars", "_char_hist", "_word_hist"]
-    features = written(features.select(*dict.fromkeys([*carry, lang_col]), *base), "quality")
-    listed = F.when(F.col(lang_col).isin(list(COMMON_WORDS)), F.col(lang_col))
-    # A row for each listed language and one more, whatever the input: a proven bound for the broadcast.
-    out = features.withColumn("_ref_lang", listed).join(
-        F.broadcast(references(features, lang_col)), F.col("_ref_lang").eqNullSafe(F.col("ref_lang")), "left"
-    )
-    long_enough = F.col("_n_words") >= MIN_WORDS_COMPARED
+    lang, long_enough = F.col(lang_col), F.col("_n_words") >= MIN_WORDS_COMPARED
+    counts = F.when(~_listed(lang) & long_enough, F.col("_word_counts")).alias("_word_counts")
+    features = written(features.select(*dict.fromkeys([*carry, lang_col]), *base, counts), "quality")
+    refs = written(references(features, lang_col), "references")
+    # A row for each listed language, whatever the input: a proven bound for the broadcast.
+    own = F.broadcast(refs.where(_listed(F.col("ref_lang"))))
+    out = features.join(own, lang == F.col("ref_lang"), "left")
+    # One row, with a reference for each language that lang_col names.
+    each = F.collect_list(F.struct("ref_lang", "ref_char", "ref_word", _slots().alias("ref_at"))).alias("_refs")
+    out = out.crossJoin(F.broadcast(refs.agg(each)))
+    out = out.withColumn("_nearest", F.when(~_listed(lang) & long_enough, nearest(lang, F.col("_refs")))).drop("_refs")
+    either = lambda hist, ref, c: F.when(_listed(lang), js_distance(F.col(hist), F.col(ref))).otherwise(F.col("_nearest")[c])
     out = out.withColumns(
         {
             "n_words": F.col("_n_words"),
             "word_chars": F.col("_word_chars"),
-            "char_distance": F.when(long_enough, js_distance(F.col("_char_hist"), F.col("ref_char"))),
-            "word_distance": F.when(long_enough, js_distance(F.col("_word_hist"), F.col("ref_word"))),
+            "char_distance": F.when(long_enough, either("_char_hist", "ref_char", "char_distance")),
+            "word_distance": F.when(long_enough, either("_word_hist", "ref_word", "word_distance")),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    root = F.sqrt(F.greatest("n_words", F.lit(1)))
-    near = F.coalesce(F.col("char_distance") <= CHAR_LIMIT + CHAR_SLACK / root, F.lit(True)) & F.coalesce(
-        F.col("word_distance") <= WORD_LIMIT + WORD_SLACK / root, F.lit(True)
+    near = F.coalesce(F.col("char_distance") <= _limit(CHAR_LIMIT, CHAR_SLACK), F.lit(True)) & F.coalesce(
+        F.col("word_distance") <= _limit(WORD_LIMIT, WORD_SLACK), F.lit(True)
     )
     return out.withColumns({"base_failed": failed, "kept": ~failed & near}).select(*carry, *made)
