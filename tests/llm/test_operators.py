@@ -309,6 +309,27 @@ def test_license_scan(spark):
     assert made == {0: ("MIT", [], 0), 1: ("MIT", [], 0), 2: (None, ["MIT"], 2), 3: (None, [], 0), 4: (None, [], 0), 5: (None, [], 0), 6: (None, [], 0)}
 
 
+def test_license_texts_in_their_usual_forms(spark):
+    """Each entire text wrapped anew, behind comment marks and below a title, and copyright notices."""
+    import textwrap
+
+    titles = {"MIT": "MIT License", "ISC": "ISC License (ISC)", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License', "Unlicense": "The Unlicense"}
+    cases = []
+    for name, texts in license_scan.KNOWN.items():
+        for text in (x for x in texts if len(x) > 500):
+            flat = " ".join(text.split())
+            forms = [text, flat, *("\n".join(textwrap.wrap(flat, n)) for n in (60, 66, 72, 78, 100))]
+            forms += ["Copyright (c) 2020 A B\n" + text, "© 2021-2022 A B <a@b.c>\nCopyright Ada Byron\n(C) Copyright 2019 by C\nAll rights reserved.\n\n" + flat]
+            noted = ["Copyright (c) 2020 A B. All rights reserved.", *textwrap.wrap(flat, 70)]
+            forms += ["\n".join(f"{mark} {x}" for x in noted) for mark in ("#", "//", " *")]
+            if name in titles:
+                forms += [f"{titles[name]}\n\nCopyright (c) 2020 A B\n\n{text}", f"{titles[name]} {flat}"]
+            cases += [(len(cases) + k, x, name) for k, x in enumerate(forms)]
+    assert {"MIT", "ISC", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense"} == {name for *_, name in cases}
+    made = {r["doc_id"]: r["text_license"] for r in rows(license_scan.license_scan(spark.createDataFrame([c[:2] for c in cases], "doc_id int, text string")))}
+    assert [(name, x[:90]) for k, x, name in cases if made[k] != name] == []
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><p>First <b>bold</b>&nbsp;text<br>goes
  on here with many words to read.<p>Short.<ul><li>one<li>two</ul><aside>See also</aside><div class="ad">Buy</div>

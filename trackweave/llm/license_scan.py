@@ -1,20 +1,54 @@
 """Operator 4: licence scan by canonical digests.
 
-A text is brought to a canonical form - lower case, licence spellings made alike, copyright lines dropped, punctuation and
-white space made single spaces - and its digest is looked up, by hash join, among the digests of known licence texts.
+A text is brought to a canonical form - lower case, licence spellings made alike, copyright notices and titles dropped,
+punctuation and white space made single spaces - and its digest is looked up, by hash join, among the digests of known licence texts.
 Whole documents are looked up and, as notices stand on lines of their own, each line too; both by entire text.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spellings that count as equal; what they differ in, outside the groups, is left out.
 SPELLINGS = (
-    r"(licen)[cs](?=e|ing)|(organi)[sz](?=ation)|(favo)u?(?=r)|(fulfil)l?|\b(non|per)[ \n](?=commercial|cent)"
-    r"|(copyright[ \n])(?:holder|owner)"
+    r"(licen)[cs](?=e|ing)|(organi)[sz](?=ation)|(favo)u?(?=r)|(fulfil)l?|\b(non|per)[ \n]+(?=commercial|cent)"
+    r"|(copyright[ \n]+)(?:holder|owner)"
+)
+#: What follows "copyright" or "(c)" in licence prose, or as the licence's own notice and form; anything
+#: else, on the same line, is the notice of a work. Text of KNOWN, however wrapped, is held to it in the tests.
+PROSE = (
+    r"(?:holder|owner|notice|licen[cs]e|law|statement|disclaimer|interest|permission|protection|treat(?:y|ie))s?\b"
+    r"|(?:and|or|on|in|of|to|is|are|if|as|for|from|under|with|that|this|then|which|may|must|shall|also|like|those|line|patent|you|affirmer|year|yyyy|name of)\b"
+    r"|the (?:software|library|program|work)\b|similar rights\b|2007 free software foundation, inc\. <http"
+)
+#: A line with a notice, or with the reservation of rights alone, after comment marks if there are any.
+NOTICE = (
+    r"(?m)^[^\p{L}\p{N}\n(]*(?:"
+    r"(?:copyright|\(c\))(?![.;]|--)(?:[^\p{L}\p{N}\n(]++|\(c\)|\((?!c\))|copyright\b|by\b)*+"
+    r"(?<![\p{L}\p{N}])(?!" + PROSE + r")[\p{L}\p{N}][^\n]*"
+    r"|all rights reserved[^\p{L}\p{N}\n]*$)\n?"
 )
+#: Titles, in canonical form, before the first words of texts that have none of their own.
+TITLE = (
+    r"^ ?(?:the )?(?:mit|isc|expat|unlicene|(?:new |modified |revised )?bsd)(?: 3 clause)?(?: new or revised)?(?: licene)?"
+    r"(?: mit| isc| expat| bsd 3 clause)? (?=permission |redistribution |this is free )"
+)
+
+
+def entire(name: str) -> str:
+    """A licence text of this package, whole."""
+    return (resources.files(__package__) / "licenses" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _without(text: str, start: str) -> str:
+    """text without the lines that start so."""
+    return "\n".join(x for x in text.split("\n") if not x.strip().startswith(start))
+
+
+_APACHE, _BSD, _END = entire("Apache-2.0"), entire("BSD-3-Clause"), "END OF TERMS AND CONDITIONS"
 #: Public licence notices and texts, by identifier.
 KNOWN = {
     "MIT": [
@@ -57,36 +91,54 @@ with the License. You may obtain a copy of the License at
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License.""",
+        # As published, with the form filled in (a notice of the work), and without the appendix.
+        _APACHE,
+        _without(_APACHE, "Copyright [yyyy]"),
+        _APACHE.split(_END)[0],
+        _APACHE.split(_END)[0] + _END,
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        entire("GPL-3.0"),
+        entire("GPL-3.0").split("How to Apply These Terms")[0],
+        entire("GPL-3.0").split(_END)[0] + _END,
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", entire("CC-BY-SA-4.0")],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "CC0-1.0": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", entire("CC0-1.0")],
+    "BSD-3-Clause": [
+        "Released under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        _BSD,
+        # Its conditions are numbered as often as not.
+        _BSD.replace("* Redis", "1. Redis", 1).replace("* Redis", "2. Redis", 1).replace("* Neither", "3. Neither"),
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+        entire("Unlicense"),
+    ],
 }
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line ends kept."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"(?m)^[\x20\t]*(copyright\b|\(c\)|©)[^\n]*\n?", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"©|&copy;", "(c)"), NOTICE, "")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
     return F.regexp_replace(out, SPELLINGS, "$1$2$3$4$5$6")
 
 
 def in_one_line(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(lines, r"[ \n]+", " "), TITLE, ""))
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form. Without its copyright lines a text may be empty."""
+    """The canonical form. Without its copyright notices a text may be empty."""
     return in_one_line(canonical_lines(text))
 
 
