@@ -240,3 +240,34 @@ def test_config(tmp_path):
     assert again.tracking.window_size == 5 and again.linking == config.linking
     with pytest.raises(ValueError):
         TrackingConfig(link_function="other")
+
+
+def test_truth_overlaps_of_every_node(spark):
+    from math import floor
+
+    from trackweave import queries
+    from trackweave.sources.views import view
+
+    d, want = "/root/testdata/sf0.001", {}
+    nodes = view(spark, d, "v_nodes").select("id", "t", "y", "x", "h", "gt_track_id").collect()
+    for a in nodes:
+        for b in nodes:
+            if a["t"] == b["t"] and b["gt_track_id"] and b["gt_track_id"] > 0:
+                sides = [min(floor(a[c]) + a["h"], floor(b[c]) + b["h"]) + 1 - max(floor(a[c]) - a["h"], floor(b[c]) - b["h"]) for c in "yx"]
+                if min(sides) > 0:
+                    key = (a["t"], a["id"], b["gt_track_id"])
+                    want[key] = want.get(key, 0) + sides[0] * sides[1]
+    made = queries._truth_overlaps(spark, d).collect()
+    assert {(r["t"], r["source_id"], r["target_id"]): r["weight"] for r in made} == want and len(made) == len(want)
+    taken = queries.gt_frame_matches(spark, d).collect()
+    assert taken and all((r["t"], r["source_id"], r["target_id"]) in want for r in taken)
+
+
+def test_relabelling_leaves_no_track_out(spark):
+    from trackweave import queries
+    from trackweave.sources.views import view
+
+    tracks = view(spark, "/root/testdata/sf0.001", "v_tracks").select("id", "track_id").collect()
+    order = {t: k + 1 for k, t in enumerate(sorted({r["track_id"] for r in tracks}))}
+    made = queries.QUERIES["ctc_relabel_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r["id"], r["track_id"]) for r in made) == sorted((r["id"], order[r["track_id"]]) for r in tracks)

@@ -345,6 +345,15 @@ def ctc_relabel(spark, d):
     return tracks.sequential_labels(_tracks(spark, d).where("track_id % 14 < 7")).select("id", "track_id", "parent_track_id")
 
 
+@query(
+    """WITH r AS (SELECT track_id, row_number() OVER (ORDER BY track_id) AS n FROM (SELECT DISTINCT track_id FROM v_tracks))
+    SELECT k.id, r.n AS track_id, CAST(coalesce(p.n, -1) AS BIGINT) AS parent_track_id FROM v_tracks k JOIN r USING (track_id) LEFT JOIN r p ON p.track_id = k.parent_track_id""",
+    "v_tracks",
+)
+def ctc_relabel_all(spark, d):
+    return tracks.sequential_labels(_tracks(spark, d)).select("id", "track_id", "parent_track_id")
+
+
 @query("SELECT track_id, tr.t, id, y, x FROM v_tracks tr WHERE parent_track_id = -1 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY tr.t) = 1", "v_tracks")
 def track_starts(spark, d):
     return tracks.track_starts(_tracks(spark, d)).select("track_id", "t", "id", "y", "x")
@@ -609,10 +618,19 @@ def track_ids(spark, d):
     return lineage.add_track_ids(_forest_nodes(spark, d).select("id", "parent_id"))
 
 
+def _truth_overlaps(spark, d):
+    """(t, source_id, target_id, weight): each node with each true label of its frame, by how much their boxes share."""
+    nodes = view(spark, d, "v_nodes")
+    pairs = linking.intersecting_pairs(nodes, 9).select("a_id", "b_id", "intersection")
+    turned = pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "intersection")
+    side = 2 * F.col("h") + 1
+    itself = nodes.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), (side * side).cast("bigint").alias("intersection"))
+    truth = nodes.where("gt_track_id > 0").select(F.col("id").alias("b_id"), "t", "gt_track_id")
+    rows = pairs.unionByName(turned).unionByName(itself).join(truth, "b_id")
+    shared = rows.groupBy("t", F.col("a_id").alias("source_id"), F.col("gt_track_id").alias("target_id"))
+    return shared.agg(F.sum("intersection").cast("double").alias("weight"))
+
+
 @query(None)
 def gt_frame_matches(spark, d):
-    pairs = linking.intersecting_pairs(view(spark, d, "v_nodes"), 9)
-    nodes = view(spark, d, "v_nodes").select(F.col("id").alias("a_id"), "t")
-    truth = view(spark, d, "v_nodes").where("gt_track_id > 0").select(F.col("id").alias("b_id"), "gt_track_id")
-    rows = pairs.join(nodes, "a_id").join(truth, "b_id").select("t", F.col("a_id").alias("source_id"), F.col("gt_track_id").alias("target_id"), F.col("intersection").cast("double").alias("weight"))
-    return solving.match_frames(rows, hierarchy.overlap_closure(view(spark, d, "v_hier")))
+    return solving.match_frames(_truth_overlaps(spark, d), hierarchy.overlap_closure(view(spark, d, "v_hier")))
