@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Spellings that count as equal; what they differ in, outside the groups, is left out.
 SPELLINGS = (
     r"(licen)[cs](?=e|ing)|(organi)[sz](?=ation)|(favo)u?(?=r)|(fulfil)l?|\b(non|per)[ \n]+(?=commercial|cent)"
-    r"|(copyright[ \n]+)(?:holder|owner)"
+    r"|(copyright[ \n]+)(?:holder|owner)|\b(http)s\b"
 )
 #: What follows "copyright" or "(c)" in licence prose, or as the licence's own notice and form; anything
 #: else, on the same line, is the notice of a work. Text of KNOWN, however wrapped, is held to it in the tests.
@@ -121,6 +121,7 @@ language governing permissions and limitations under the License.""",
         "This is free and unencumbered software released into the public domain.",
         "SPDX-License-Identifier: Unlicense",
         entire("Unlicense"),
+        _without(entire("Unlicense"), "For more information"),
     ],
 }
 
@@ -130,7 +131,7 @@ def canonical_lines(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(F.regexp_replace(out, r"©|&copy;", "(c)"), NOTICE, "")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
-    return F.regexp_replace(out, SPELLINGS, "$1$2$3$4$5$6")
+    return F.regexp_replace(out, SPELLINGS, "$1$2$3$4$5$6$7")
 
 
 def in_one_line(lines: Column) -> Column:
