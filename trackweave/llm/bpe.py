@@ -18,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .pieces import fragments, portions, ranges, tokenizer
+from .pieces import PieceCache, fragments, portions, ranges, tokenizer
 
-#: Distinct fragments that a worker remembers; when full, it starts anew.
-CACHED = 800_000
+#: Distinct fragments that a worker remembers, and their bytes; when either is full, it starts anew.
+CACHED, CACHED_BYTES = 250_000, 6_000_000
+#: Bytes of text that are encoded and joined at once; a longer text is taken alone.
+TEXT_BYTES = 1_500_000
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -68,82 +70,59 @@ def certain_cuts(path: str) -> np.ndarray:
 
 
 class Fragments:
-    """For each distinct fragment: its number of tokens, its ids and its tokens as text."""
+    """The tokens of distinct fragments, remembered as ids; ids and tokens as text are looked up when they are joined."""
 
     def __init__(self, path: str):
         self.path = path
         vocabulary = tokenizer(path).get_vocab()
-        self.token = [""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.token[i] = token
-        self.ends = np.array([t.endswith("</w>") for t in self.token])
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.counts: list[int] = []
-        self.ids: list[str] = []
-        self.decoded: list[str] = []
-
-    def encoded(self, parts: list[str]) -> list[list[int]]:
+        token = [""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            token[i] = t
+        self.ends = np.array([t.endswith("</w>") for t in token])
+        self.decimal = pa.array(map(str, range(len(token))), pa.large_string())
+        self.token = pa.array(token, pa.large_string())
+        self.cache = PieceCache(self.encoded, CACHED, CACHED_BYTES)
+
+    def encoded(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Fragments of letters share a text and are told apart by their ends of words; others are encoded alone."""
-        found: dict[str, list[int]] = {}
+        found: dict[str, np.ndarray] = {}
         letters = [p for p in parts if p.isalpha()]
         for k in range(0, len(letters), 256):
             some = letters[k : k + 256]
-            ids = np.array(tokenizer(self.path).encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(tokenizer(self.path).encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some) and at[-1] == len(ids):
-                found.update(zip(some, (x.tolist() for x in np.split(ids, at[:-1])), strict=True))
+                found.update(zip(some, np.split(ids, at[:-1]), strict=True))
         alone = [p for p in parts if p not in found]
         made = tokenizer(self.path).encode_batch_fast(alone, add_special_tokens=False)
-        found.update(zip(alone, (e.ids for e in made), strict=True))
-        return [found[p] for p in parts]
-
-    def slots(self, parts: list[str]) -> list[int]:
-        """parts are distinct."""
-        if len(self.known) + len(parts) > CACHED and self.known:
-            self.clear()
-        new = [p for p in parts if p not in self.known]
-        for part, own in zip(new, self.encoded(new), strict=True):
-            self.known[part] = len(self.counts)
-            self.counts.append(len(own))
-            self.ids.append(" ".join(map(str, own)))
-            self.decoded.append(" ".join([self.token[i] for i in own]))
-        return [self.known[p] for p in parts]
+        found.update(zip(alone, (np.array(e.ids, np.int32) for e in made), strict=True))
+        order = [found[p] for p in parts]
+        return parts, np.concatenate(order), np.array([len(x) for x in order], np.int64)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _fragments(path: str) -> Fragments:
     return Fragments(path)
 
 
-def _joined(values: list[str], index: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    taken = pa.array(values, pa.large_string()).take(pa.array(index))
+def _joined(values: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    taken = values.take(pa.array(ids))
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), taken), pa.scalar(" ", pa.large_string()))
 
 
-def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """For each text (null: empty): its number of tokens, its ids in decimal and its decoded tokens, joined by spaces."""
+def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts (null: empty), one after the other, and where each text starts, and the last one ends."""
     words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
     words = words.flatten().dictionary_encode()
     parts, n_parts = fragments(words.dictionary, certain_cuts(path))
+    # From words to the fragments of distinct words, to their ids.
+    ids, lengths = _fragments(path).cache.gathered(parts)
+    first = np.concatenate([[0], np.cumsum(n_parts)])
+    upto = np.concatenate([[0], np.cumsum(lengths)])[first]
     word = words.indices.to_numpy(zero_copy_only=False)
-    parts = parts.dictionary_encode()
-    cache = _fragments(path)
-    slots = cache.slots(parts.dictionary.to_pylist())
-    counts = np.array([cache.counts[s] for s in slots], np.int64)
-    # From texts to words, to fragments.
-    index = parts.indices.to_numpy(zero_copy_only=False)[ranges((np.cumsum(n_parts) - n_parts)[word], n_parts[word])]
-    offsets = np.concatenate([[0], np.cumsum(n_parts[word])])[offsets]
-    # Fragments without tokens would leave a space behind.
-    some = counts[index] > 0 if len(index) else np.zeros(0, bool)
-    upto = np.concatenate([[0], np.cumsum(some)])
-    offsets, index = upto[offsets], index[some]
-    n = np.concatenate([[0], np.cumsum(counts[index])])
-    numbers = _joined([cache.ids[s] for s in slots], index, offsets)
-    return n[offsets[1:]] - n[offsets[:-1]], numbers, _joined([cache.decoded[s] for s in slots], index, offsets)
+    n = np.diff(upto)[word]
+    return ids[ranges(upto[:-1][word], n)], np.concatenate([[0], np.cumsum(n)])[offsets]
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
@@ -152,26 +131,27 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ids are what the tokenizers library gives for the whole text without added special tokens, truncation or padding;
     decoded is what its decode gives for them with skip_special_tokens=False: tokens joined by single spaces, as this
     kind of tokenizer has no decoder. A null text is the empty text, which has no tokens. Repeated rows and equal texts
-    give equal results; the length of a text has no limit. Other columns of docs play no part.
+    give equal results; the length of a text has no limit. Other columns of docs play no part, and an empty table gives an
+    empty result.
     """
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, {last}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in portions(batch.column(1)):
-                n, numbers, decoded = encoded(texts, tokenizer_path)
+            for start, texts in portions(batch.column(1), size=TEXT_BYTES):
+                ids, offsets = encoded(texts, tokenizer_path)
+                known = _fragments(tokenizer_path)
                 if digests:
-                    made = [[hashlib.sha256(memoryview(x.as_buffer() or b"")).hexdigest() for x in c] for c in (numbers, decoded)]
-                    made = [pa.array(x, pa.string()) for x in made]
+                    made = []
+                    for values in (known.decimal, known.token):
+                        text = _joined(values, ids, offsets)
+                        made.append(pa.array([hashlib.sha256(memoryview(x.as_buffer() or b"")).hexdigest() for x in text], pa.string()))
                 else:
-                    ids = pc.utf8_split_whitespace(numbers)
-                    flat = ids.flatten()
-                    flat = flat.filter(pc.not_equal(flat, "")).cast(pa.int32())
-                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                    made = [pa.ListArray.from_arrays(offsets, flat), decoded.cast(pa.string())]
+                    made = [pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids)), _joined(known.token, ids, offsets).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), *made], names=[id_col, "n_tokens", *[x.split()[0] for x in last.split(", ")]]
+                    [batch.column(0).slice(start, len(texts)), pa.array(np.diff(offsets), pa.int64()), *made],
+                    names=[id_col, "n_tokens", *[x.split()[0] for x in last.split(", ")]],
                 )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

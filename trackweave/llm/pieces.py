@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; when full, it starts anew.
-CACHED = 600_000
+#: Pieces that a worker remembers, and their bytes; when either is full, it starts anew.
+CACHED, CACHED_BYTES = 600_000, 12_000_000
 #: Texts that are cut and put together at once, by number and by bytes.
 TEXTS, TEXT_BYTES = 1000, 8_000_000
 
@@ -68,23 +68,25 @@ class PieceCache:
     each has.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = CACHED):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = CACHED, limit_bytes: int = CACHED_BYTES):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
+        self.bytes = 0
         self.starts = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.int32)
 
     def slots_of(self, pieces: list[str]) -> np.ndarray:
-        if len(self.slots) + len(pieces) > self.limit:
+        if len(self.slots) + len(pieces) > self.limit or self.bytes > self.limit_bytes:
             self.clear()
         get = self.slots.get
         found = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
         new = np.flatnonzero(found < 0).tolist()
         if new:
             order, ids, lengths = self.encode([pieces[k] for k in new])
+            self.bytes += sum(map(len, order))
             base = len(self.starts) - 1
             self.slots.update(zip(order, range(base, base + len(order)), strict=True))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
