@@ -97,13 +97,12 @@ def test_quality_without_a_listed_language(spark, given):
     assert made[999]["kept"] == (not given) and (made[999]["char_distance"] is None) == (not given)
 
 
-def jaccard_components(pairs):
-    sets = {}
+def jaccard_components(pairs, shingle=3, percent=90):
+    sets, root = defaultdict(list), {}
     for i, text in pairs:
         words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        own = set(zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else {tuple(words)} if words else set()
-        sets[i] = own
-    root = {i: i for i in sets}
+        sets[i].append({tuple(words[k : k + shingle]) for k in range(max(len(words) - shingle, 0) + 1)} if words else set())
+        root[i] = i
 
     def find(x):
         while root[x] != x:
@@ -112,56 +111,88 @@ def jaccard_components(pairs):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if i < j and any(a and b and 100 * len(a & b) >= percent * len(a | b) for a in sets[i] for b in sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return {i: (len(own[0]), find(i)) for i, own in sets.items()}
 
 
-def test_jaccard_join(docs):
-    made = rows(jaccard_join.jaccard_join(docs))
-    want = jaccard_components((r["doc_id"], r["text"]) for r in rows(docs) if r["doc_id"] is not None)
+@pytest.mark.parametrize("shingle, percent", [(3, 90), (5, 80), (1, 50), (2, 100)])
+def test_jaccard_join(docs, shingle, percent):
+    made = rows(jaccard_join.jaccard_join(docs, shingle=shingle, percent=percent))
+    want = jaccard_components(((r["doc_id"], r["text"]) for r in rows(docs) if r["doc_id"] is not None), shingle, percent)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in made if r["doc_id"] is not None} == want
     assert len(made) == docs.count() and all(r["component_id"] is None for r in made if r["doc_id"] is None)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_jaccard_large_regions(spark, monkeypatch, rounds):
-    """A region too large for a task: Voronoi cells as Spark jobs, and blocks for the rest."""
+def near_copies(seed, n, length, changes):
+    """n texts, each a copy of an earlier one with some words changed."""
     import random
 
-    rng = random.Random(5)
-    base = [f"w{k}" for k in range(120)]
-    texts = []
-    for k in range(160):
-        words = list(base)
-        for _ in range(rng.choice([1, 2, 3, 6])):
-            words[rng.randrange(120)] = f"x{rng.randrange(9999)}"
-        texts.append((k, " ".join(words)))
-    monkeypatch.setattr(jaccard_join, "REGION_SETS", 40)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
-    made = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")))}
-    assert made == jaccard_components(texts)
-
-
-def test_region_recursion(monkeypatch):
-    rng = np.random.default_rng(2)
-    monkeypatch.setattr(jaccard_join, "LEAF", 8)
-    base = [np.unique(rng.integers(0, 1 << 40, 100, dtype=np.uint64)) for _ in range(6)]
+    rng = random.Random(seed)
+    texts = [[f"w{k}" for k in range(length)]]
+    while len(texts) < n:
+        words = list(rng.choice(texts[-12:]))
+        for _ in range(rng.choice(changes)):
+            words[rng.randrange(length)] = f"x{rng.randrange(9999)}"
+        texts.append(words)
+    return [(k, " ".join(x)) for k, x in enumerate(texts)]
+
+
+@pytest.mark.parametrize("sets, pivots, percent", [(1, 3, 90), (20, 8, 90), (20, 8, 80)])
+def test_jaccard_large_regions(spark, monkeypatch, sets, pivots, percent):
+    """Regions too large for a task are parted by Spark jobs, as are those that pivots part badly."""
+    texts = near_copies(5, 120, 120, [1, 2, 3, 6]) + [(1000 + k, x) for k, x in near_copies(6, 60, 40, [0, 1])]
+    texts += [(2000, texts[0][1] + " and more"), (3, texts[150][1])]
+    monkeypatch.setattr(jaccard_join, "REGION_SETS", sets)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    made = defaultdict(set)
+    for r in rows(jaccard_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), percent=percent)):
+        made[r["doc_id"]].add(r["component_id"])
+    assert made == {i: {c} for i, (_, c) in jaccard_components(texts, 3, percent).items()}
+
+
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_region_recursion(monkeypatch, percent):
+    """Voronoi cells within a task: chains of near copies, and families of them."""
+    rng, split = np.random.default_rng(2), []
+    seen = jaccard_join.voronoi
+    monkeypatch.setattr(jaccard_join, "voronoi", lambda d, r: split.append(d.shape) or seen(d, r))
     held = []
-    for k in range(90):
-        own = base[k % 6].copy()
-        own[rng.integers(0, len(own), rng.integers(0, 9))] = rng.integers(0, 1 << 40, 1, dtype=np.uint64)
+    for k in range(150):
+        own = held[-6].copy() if k >= 6 else rng.integers(0, 1 << 40, 100, dtype=np.uint64)
+        own[rng.integers(0, len(own), rng.integers(0, 14))] = rng.integers(0, 1 << 40, 1, dtype=np.uint64)
         held.append(np.unique(own))
     found = jaccard_join._Union(len(held))
-    jaccard_join.join_region(jaccard_join._Sets(held), np.arange(len(held)), found)
+    jaccard_join.join_region(jaccard_join._Sets(held), np.arange(len(held)), found, percent)
     want = jaccard_join._Union(len(held))
     for i in range(len(held)):
         for j in range(i):
             common = len(np.intersect1d(held[i], held[j]))
-            if 100 * common >= 90 * (len(held[i]) + len(held[j]) - common):
+            if 100 * common >= percent * (len(held[i]) + len(held[j]) - common):
                 want.join(i, j)
-    assert [found.root(k) for k in range(90)] == [want.root(k) for k in range(90)]
+    assert [found.root(k) for k in range(150)] == [want.root(k) for k in range(150)] and len(split) > 3
+
+
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_linked_sets_share_a_cell(percent):
+    """Also when all, or nearly all, of their shingles are hot, and when they are tiny."""
+    rng = np.random.default_rng(percent)
+    hot = rng.random(1 << jaccard_join.SLOT_BITS) < 0.5
+    for n in [*range(1, 30), 60, 200, 700]:
+        for share in (0.0, 0.5, 0.95, 1.0):
+            pool = rng.integers(0, 1 << 63, 6 * n + 60, dtype=np.uint64)
+            is_hot = hot[jaccard_join.slots(pool)]
+            k = min(round(share * n), is_hot.sum())
+            a = np.unique(np.concatenate([pool[is_hot][:k], pool[~is_hot][: n - k]]))
+            keep = a[rng.permutation(len(a))[: -(-percent * len(a) // 100)]]
+            for b in (np.sort(keep), np.sort(np.concatenate([keep, pool[-(100 * len(keep) // percent - len(a)) or len(pool) :]]))):
+                b = np.unique(b)
+                common = len(np.intersect1d(a, b))
+                if 100 * common < percent * (len(a) + len(b) - common):
+                    continue
+                entry, cell = jaccard_join.cells_of(np.concatenate([a, b]), np.array([len(a), len(b)]), hot, percent)
+                assert np.intersect1d(cell[entry == 0], cell[entry == 1]).size, (n, share, len(b))
 
 
 def test_components(spark):

@@ -1,22 +1,26 @@
-"""Operator 7: exact Jaccard join of documents as sets of 3-word shingles, by metric-space regions.
+"""Operator 7: exact Jaccard join of documents as sets of word shingles, by metric-space regions.
 
-Jaccard distance is a metric, but unrelated documents are all nearly 1 apart, so pivots chosen among all documents can't
-part them. The join therefore works in levels, each exact:
+Jaccard distance is a metric, but unrelated documents are all nearly 1 apart: windows of twice the radius around the
+borders of pivots drawn from the whole corpus would replicate every document into every region. The corpus therefore
+falls into regions by two exact levels first, and pivots, Voronoi cells and windows join the regions:
 
 1. Shells. Under the symmetric-difference metric the distance to the empty set is the size. Sizes are cut into shells,
    and documents within the triangle-inequality window of a shell's upper border are replicated into it.
-2. Cells. In a shell, linked sets differ in at most K shingles. A hash deals the shingles into K + 1 parts, so linked sets
-   agree on at least one whole part; a cell holds the sets with an equal part. An empty part is dealt out anew.
-3. Regions. Cells that share documents make up a region; every link lies within one.
-4. Voronoi. Within a region distances tell documents apart. Pivots create Voronoi cells, a document is replicated into
-   each cell whose pivot is at most 2 * radius farther than its nearest one, and cells are joined recursively: large ones
-   as Spark jobs, small ones within a task, down to exact comparison of all that are left.
+2. Parts. In a shell, linked sets differ in at most K shingles. A hash deals the shingles into m > K parts, so linked sets
+   agree on at least m - K of them, and sets that agree on a part of some shingles share its cell. Shingles of passages
+   that very many documents share are left out where the others suffice, by counts over all documents.
+3. Regions. Cells that share documents make up a region; every link lies within one. Every region, however small, is
+   joined by pivots: a document links with a pivot within the radius, goes into the cell of its nearest pivot and into
+   each other whose pivot is at most 2 * radius farther, and cells are joined in the same way, down to single documents.
+   Documents that links connect already need no comparison, so pivots are taken from the others, and a group of near
+   copies costs as many comparisons as it has members. Regions too large for a task are parted by Spark jobs.
 
 Links are never listed pair by pair: what leaves a cell is each document's smallest linked one there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,25 +33,28 @@ from pyspark.sql import functions as F
 from .common import small, written
 from .pieces import portions, ranges
 
-SHINGLE = 3
-#: Linked if PERCENT * union <= 100 * intersection.
-PERCENT = 90
-RADIUS = 1 - PERCENT / 100
+#: Defaults: words in a shingle; linked if PERCENT * union <= 100 * intersection.
+SHINGLE, PERCENT = 3, 90
 SHELL_RATIO = 1.5
-#: Times that an empty part is dealt out anew; after that the empty part itself is the cell.
+#: More parts than linked sets differ in, by this factor, so that empty parts do no harm.
+PARTS = 1.25
+#: How often a set is dealt out anew if too many of its parts are empty; after that all such sets of a shell share a cell.
 DEALS = 3
+#: Shingles are counted in 2 ** SLOT_BITS slots; those of slots with more than HOT times the mean, and HOT_LEAST, are hot.
+SLOT_BITS, HOT, HOT_LEAST = 20, 4, 8
+#: Counts that travel together, and how many streams each such block is first added up in.
+BLOCK, STREAMS = 1 << 14, 16
 #: Distinct sets a task remembers to join copies at once; when full, it starts anew.
 REMEMBERED = 100_000
 #: Regions of up to so many sets and shingles are joined within a task.
 REGION_SETS, REGION_SHINGLES = 2048, 3_000_000
-#: Sets that are compared all with all.
-LEAF = 256
-#: Rounds of Voronoi cells as Spark jobs; what is still large then is compared block by block.
-ROUNDS = 4
-#: Share of a region's pairs that its cells may leave.
+#: Rows and columns that are compared at once.
+COMPARED = 512
+#: Share of a region's pairs that its Voronoi cells may leave; else it stays whole, without the pivots.
 PARTED = 0.5
-#: Pivots of a large region in a round, at most about, and the sets that a task compares with them.
-PIVOTS, DEALT = 64, 1000
+#: Pivots of a large region in its first round, about, and at most as they double from round to round; how many of them
+#: have a Voronoi cell; and the sets that a task compares with them, at least.
+PIVOTS, MOST_PIVOTS, CENTRES, DEALT = 64, 1024, 64, 1000
 #: Texts that are made into sets at once, by number and by bytes.
 TEXTS, TEXT_BYTES = 400, 3_000_000
 
@@ -83,8 +90,11 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.uint64)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit hashes of the texts' shingles, one text after the other, and how many each has."""
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' shingles in order, and the number of the text that each is of.
+
+    A text of fewer words is one shingle, which no whole shingle equals.
+    """
     words = pc.ascii_split_whitespace(ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     flat, offsets = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
@@ -92,81 +102,160 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = word_hashes(flat.filter(pa.array(real)))
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
+    left = np.repeat(offsets[1:], n) - np.arange(len(h))
     with np.errstate(over="ignore"):
-        ahead = lambda k: np.concatenate([h[k:], np.zeros(min(k, len(h)), np.uint64)])
-        s = mixed(mixed(mixed(h) * _C1 + ahead(1)) * _C2 + ahead(2))
-        whole = np.arange(len(h)) + SHINGLE <= np.repeat(offsets[1:], n)
-        # A text of one or two words is one shingle, which no three words give.
-        short = (n > 0) & (n < SHINGLE)
+        s = mixed(h)
+        for k in range(1, size):
+            ahead = np.concatenate([h[k:], np.zeros(min(k, len(h)), np.uint64)])
+            s = mixed(s * _C1 + np.where(left > k, ahead, np.uint64(0)))
+        short = (n > 0) & (n < size)
         at = offsets[:-1][short]
-        second = np.where(n[short] == 2, ahead(1)[at], np.uint64(0))
-        s[at] = mixed(mixed(mixed(h[at]) * _C1 + second) ^ (_C3 + n[short].astype(np.uint64)))
-        whole[at] = True
-    s, doc = s[whole], doc[whole]
+        s[at] = mixed(s[at] ^ (_C3 + n[short].astype(np.uint64)))
+    whole = left >= size
+    whole[at] = True
+    return s[whole], doc[whole]
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the texts' shingles, one text after the other, and how many each has."""
+    s, doc = shingles(texts, size)
     order = np.lexsort((s, doc))
     s, doc = s[order], doc[order]
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
-    return s[first], np.bincount(doc[first], minlength=len(n))
+    return s[first], np.bincount(doc[first], minlength=len(texts))
+
+
+# Hot shingles
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(hashes ^ _C1) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, counts), counts as int64 in binary, added up by keys as they stream by."""
+    schema = ", ".join([*(f"{k} int" for k in keys), "counts binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, np.zeros(BLOCK, np.int64)
+        made = lambda: pa.RecordBatch.from_arrays(
+            [*(pa.array([k], pa.int32()) for k in current), pa.array([total.tobytes()], pa.binary())], names=[*keys, "counts"]
+        )
+        for batch in batches:
+            for *key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != current:
+                    if current is not None:
+                        yield made()
+                    current, total = key, np.zeros(BLOCK, np.int64)
+                total += np.frombuffer(data, np.int64)
+        if current is not None:
+            yield made()
+
+    return rows.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def hot_slots(base: DataFrame, size: int) -> np.ndarray:
+    """Which slots are hot, as packed bits: 2 ** SLOT_BITS of them, whatever the number of documents.
+
+    Shingles of all documents are counted, repeated ones too. What is hot decides only by which shingles documents meet,
+    not which ones link.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, stream = np.zeros(1 << SLOT_BITS, np.int64), 0
+        for batch in batches:
+            for _, texts in portions(batch.column(0), TEXTS, TEXT_BYTES):
+                found = shingles(texts, size)[0]
+                stream = (stream * 31 + len(found)) % STREAMS
+                total += np.bincount(slots(found), minlength=1 << SLOT_BITS)
+        for block, counts in enumerate(total.reshape(-1, BLOCK)):
+            if counts.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([stream], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["block", "stream", "counts"]
+                )
+
+    rows = _added(_added(base.select("text").mapInArrow(counted, "block int, stream int, counts binary"), "block", "stream"), "block")
+    total = np.zeros((1 << SLOT_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
+    for row in written(rows, "slots").collect():
+        total[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    return np.packbits(total.ravel() > max(HOT_LEAST, HOT * total.mean()))
 
 
 # Shells and cells
 
 
-@lru_cache(maxsize=1)
-def shells() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each shell: its smallest size, the largest size in its window, and K + 1."""
+@lru_cache(maxsize=4)
+def shells(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each shell: its smallest size, the largest size in its window, K and the number of parts."""
     lows = [1]
     while lows[-1] < 1 << 40:
         lows.append(max(lows[-1] + 1, int(lows[-1] * SHELL_RATIO)))
     low = np.array(lows, np.int64)
     top = low[1:] - 1
-    window = 100 * top // PERCENT
-    # |A| + |B| = s and 100 * common >= PERCENT * union leave a difference of at most s * (100 - PERCENT) / (100 + PERCENT).
-    parts = (top + window) * (100 - PERCENT) // (100 + PERCENT) + 1
-    return low, window, parts
+    window = 100 * top // percent
+    # |A| + |B| = s and 100 * common >= percent * union leave a difference of at most s * (100 - percent) / (100 + percent).
+    differ = (top + window) * (100 - percent) // (100 + percent)
+    return low, window, differ, np.where(differ > 0, np.ceil((differ + 1) * PARTS), 1).astype(np.int64)
 
 
-def _cells(sets: np.ndarray, lengths: np.ndarray, m: np.ndarray, prefix: np.ndarray, deal: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, cell) of sets that lie one after the other, each dealt into its m parts."""
-    entry = np.repeat(np.arange(len(lengths)), lengths)
+def _cells(sets: np.ndarray, lengths: np.ndarray, shell: np.ndarray, hot: np.ndarray, percent: int, deal: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, cell) of sets that lie one after the other, each dealt into the parts of its shell.
+
+    Linked sets agree on m - K parts. If a set has fewer empty ones, one of those has shingles, and lies among its first
+    K + 1 full parts if that holds for both: then K + 1 cells do. A set with more empty parts gets cells for all full ones
+    and is dealt out anew. The first deal leaves hot shingles out.
+    """
+    differ, m = (x[shell] for x in shells(percent)[2:])
+    prefix = mixed(shell.astype(np.uint64) * np.uint64(DEALS + 1) + np.uint64(deal) + _C1)
+    if deal == DEALS or not len(shell):
+        return np.arange(len(shell)), prefix
+    entry, dealt = np.repeat(np.arange(len(lengths)), lengths), sets
+    if not deal:
+        cold = ~hot[slots(sets)]
+        entry, dealt = entry[cold], sets[cold]
     offset = np.concatenate([[0], np.cumsum(m)])
     total = int(offset[-1])
     with np.errstate(over="ignore"):
-        value = mixed(sets + np.uint64(deal + 1) * _C3)
+        value = mixed(dealt + np.uint64(deal + 1) * _C3)
         place = (mixed(value) >> np.uint64(20)).astype(np.int64) % m[entry] + offset[entry]
-        count = np.bincount(place, minlength=total)
+        full = np.bincount(place, minlength=total) > 0
         content = np.zeros(total, np.uint64)
         for k in range(4):
             piece = ((value >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.float64)
             content += np.bincount(place, piece, total).astype(np.uint64) << np.uint64(16 * k)
         owner = np.repeat(np.arange(len(m)), m)
         part = (np.arange(total) - offset[owner]).astype(np.uint64)
-        key = mixed(prefix[owner] + (part + np.uint64(1)) * _C2)
-        full = count > 0
-        found = [(owner[full], mixed(key[full] ^ mixed(content[full])))]
-        empty = np.flatnonzero(~full)
-        if len(empty) and deal + 1 < DEALS:
-            own = owner[empty]
-            starts = np.cumsum(lengths) - lengths
-            again = sets[ranges(starts[own], lengths[own])]
-            e, c = _cells(again, lengths[own], m[own], key[empty], deal + 1)
-            found.append((own[e], c))
-        elif len(empty):
-            found.append((owner[empty], key[empty]))
+        key = mixed(mixed(prefix[owner] + (part + np.uint64(1)) * _C2) ^ mixed(content))
+    good = np.add.reduceat(full.astype(np.int64), offset[:-1]) > differ
+    upto = np.cumsum(full)
+    nth = upto - np.repeat(upto[offset[:-1]] - full[offset[:-1]], m)
+    taken = full & (~good[owner] | (nth <= differ[owner] + 1))
+    found = [(owner[taken], key[taken])]
+    bad = np.flatnonzero(~good)
+    if len(bad):
+        starts = np.cumsum(lengths) - lengths
+        e, c = _cells(sets[ranges(starts[bad], lengths[bad])], lengths[bad], shell[bad], hot, percent, deal + 1)
+        found.append((bad[e], c))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def cells_of(sets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(sets: np.ndarray, lengths: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(set, cell) for each cell of each set that isn't empty: of its own shell, and of the one below if in its window."""
-    low, window, parts = shells()
+    low, window = shells(percent)[:2]
     owner = np.flatnonzero(lengths)
     shell = np.searchsorted(low, lengths[owner], side="right") - 1
-    below = (shell > 0) & (lengths[owner] <= window[np.maximum(shell - 1, 0)])
-    entry, shell = np.concatenate([owner, owner[below]]), np.concatenate([shell, shell[below] - 1])
+    entries, shells_of = [owner], [shell]
+    while True:
+        lower = shells_of[-1] - 1
+        below = (lower >= 0) & (lengths[entries[-1]] <= window[np.maximum(lower, 0)])
+        if not below.any():
+            break
+        entries.append(entries[-1][below])
+        shells_of.append(lower[below])
+    entry, shell = np.concatenate(entries), np.concatenate(shells_of)
     starts = np.cumsum(lengths) - lengths
-    again = sets[ranges(starts[entry], lengths[entry])]
-    e, cell = _cells(again, lengths[entry], parts[shell], mixed(shell.astype(np.uint64) + _C1), 0)
+    e, cell = _cells(sets[ranges(starts[entry], lengths[entry])], lengths[entry], shell, hot, percent, 0)
     return entry[e], cell
 
 
@@ -174,35 +263,40 @@ def _list(values: np.ndarray, lengths: np.ndarray, kind=np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(values.view(kind)))
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(hot: np.ndarray, size: int, percent: int):
     """(id, n_shingles, rep, cells): rep is the first id that the task met with an equal set; only that one has cells."""
-    seen: dict[tuple[int, int, int], int] = {}
-    for batch in batches:
-        for start, texts in portions(batch.column(1), TEXTS, TEXT_BYTES):
-            ids = batch.column(0).slice(start, len(texts)).to_pylist()
-            sets, n = shingle_sets(texts)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            with np.errstate(over="ignore"):
-                one = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets + _C3), dtype=np.uint64)])
-                two = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets ^ _C2), dtype=np.uint64)])
-                keys = zip(n.tolist(), (one[ends[1:]] - one[ends[:-1]]).tolist(), (two[ends[1:]] - two[ends[:-1]]).tolist(), strict=True)
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            reps, own = [], np.zeros(len(n), bool)
-            for k, (i, key) in enumerate(zip(ids, keys, strict=True)):
-                if i is None or not key[0]:
-                    reps.append(i)
-                    continue
-                rep = seen.setdefault(key, i)
-                own[k] = rep == i
-                reps.append(rep)
-            lengths = np.where(own, n, 0)
-            entry, cell = cells_of(sets[np.repeat(own, n)], lengths)
-            order = np.argsort(entry, kind="stable")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(reps, pa.int64()), _list(cell[order], np.bincount(entry, minlength=len(n)))],
-                names=["id", "n_shingles", "rep", "cells"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int, int], int] = {}
+        is_hot = np.unpackbits(hot).astype(bool)
+        for batch in batches:
+            for start, texts in portions(batch.column(1), TEXTS, TEXT_BYTES):
+                ids = batch.column(0).slice(start, len(texts)).to_pylist()
+                sets, n = shingle_sets(texts, size)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                with np.errstate(over="ignore"):
+                    one = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets + _C3), dtype=np.uint64)])
+                    two = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets ^ _C2), dtype=np.uint64)])
+                    keys = zip(n.tolist(), (one[ends[1:]] - one[ends[:-1]]).tolist(), (two[ends[1:]] - two[ends[:-1]]).tolist(), strict=True)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                reps, own = [], np.zeros(len(n), bool)
+                for k, (i, key) in enumerate(zip(ids, keys, strict=True)):
+                    if i is None or not key[0]:
+                        reps.append(i)
+                        continue
+                    rep = seen.setdefault(key, i)
+                    own[k] = rep == i
+                    reps.append(rep)
+                lengths = np.where(own, n, 0)
+                entry, cell = cells_of(sets[np.repeat(own, n)], lengths, is_hot, percent)
+                order = np.argsort(entry, kind="stable")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(reps, pa.int64()), _list(cell[order], np.bincount(entry, minlength=len(n)))],
+                    names=["id", "n_shingles", "rep", "cells"],
+                )
+
+    return run
 
 
 # Components
@@ -252,9 +346,12 @@ class _Sets:
         self.universe = int((times > 1).sum())
 
     def common(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections, by products of 0/1 matrices, some rows and a slice of the universe at a time."""
-        if len(rows) > 2 * LEAF:
-            return np.concatenate([self.common(rows[k : k + 2 * LEAF], columns) for k in range(0, len(rows), 2 * LEAF)])
+        """Sizes of the intersections, by products of 0/1 matrices, some rows and columns and a slice of the universe at
+        a time."""
+        if len(rows) > COMPARED:
+            return np.concatenate([self.common(rows[k : k + COMPARED], columns) for k in range(0, len(rows), COMPARED)])
+        if len(columns) > COMPARED:
+            return np.concatenate([self.common(rows, columns[k : k + COMPARED]) for k in range(0, len(columns), COMPARED)], axis=1)
         total = np.zeros((len(rows), len(columns)), np.float64)
         parts = [self._matrix_entries(rows), self._matrix_entries(columns)]
         step = 8192
@@ -272,10 +369,10 @@ class _Sets:
         lengths = self.ends[which + 1] - self.ends[which]
         return np.repeat(np.arange(len(which)), lengths), self.number[ranges(self.ends[which], lengths)]
 
-    def linked_and_distance(self, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def linked_and_distance(self, rows: np.ndarray, columns: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         inter = self.common(rows, columns)
         union = self.size[rows][:, None] + self.size[columns][None, :] - inter
-        return 100 * inter >= PERCENT * union, 1 - inter / np.maximum(union, 1)
+        return 100 * inter >= percent * union, 1 - inter / np.maximum(union, 1)
 
 
 class _Union:
@@ -288,184 +385,240 @@ class _Union:
             x = self.parent[x]
         return x
 
+    def roots(self, which: np.ndarray) -> np.ndarray:
+        found = self.parent[which]
+        while True:
+            above = self.parent[found]
+            if np.array_equal(above, found):
+                return found
+            found = above
+
     def join(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
         self.parent[max(a, b)] = min(a, b)
 
 
-def _blocks(sets: _Sets, which: np.ndarray, found: _Union) -> None:
-    for i in range(0, len(which), LEAF):
-        for j in range(0, i + 1, LEAF):
-            rows, columns = which[i : i + LEAF], which[j : j + LEAF]
-            linked, _ = sets.linked_and_distance(rows, columns)
-            for a, b in zip(*np.nonzero(linked), strict=True):
-                if rows[a] != columns[b]:
-                    found.join(rows[a], columns[b])
+def stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of rows to columns as (row, its first column) and (column, column): those that connect the same, of which
+    there are no more than rows and pairs of columns."""
+    some = np.flatnonzero(linked.any(axis=1))
+    first = linked[some].argmax(axis=1)
+    row, column = np.nonzero(linked[some])
+    pairs = np.unique(first[row] * linked.shape[1] + column) if len(row) else np.empty(0, np.int64)
+    return some, first, pairs // max(linked.shape[1], 1), pairs % max(linked.shape[1], 1)
 
 
-def voronoi(distance: np.ndarray) -> np.ndarray:
+def voronoi(distance: np.ndarray, radius: float) -> np.ndarray:
     """Which cells a document goes to: its nearest pivot's, and those within the window of the triangle inequality.
 
     If d(x, y) <= radius and p is nearest to x, q to y, then d(y, p) <= d(x, p) + radius <= d(x, q) + radius <=
     d(y, q) + 2 * radius: y is replicated into the cell of p.
     """
-    return distance <= distance.min(axis=1, keepdims=True) + 2 * RADIUS + 1e-9
-
-
-def join_region(sets: _Sets, which: np.ndarray, found: _Union, depth: int = 0) -> None:
-    """Recursively: pivots, cells, windows; small regions and those that pivots don't part are compared in blocks."""
-    if len(which) <= LEAF or depth > 8:
-        _blocks(sets, which, found)
-        return
-    pivots = which[np.linspace(0, len(which) - 1, max(4, len(which) // LEAF)).astype(int)]
-    linked, distance = sets.linked_and_distance(which, pivots)
-    for a, b in zip(*np.nonzero(linked), strict=True):
-        found.join(which[a], pivots[b])
-    inside = voronoi(distance)
-    # Identical cells need one join.
-    cells = np.unique(inside.T, axis=0)
-    if cells.sum() > 1.5 * len(which) and (cells.sum(axis=1).astype(float) ** 2).sum() > 0.9 * len(which) ** 2:
-        _blocks(sets, which, found)
-        return
-    for cell in cells:
-        join_region(sets, which[cell], found, depth + 1 if cell.sum() < len(which) else 99)
-
-
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, id, set) come sorted by region; out go (a, b): an id and the smallest one it is linked with."""
-    held: list[tuple[int, np.ndarray]] = []
-    current = None
-    made: list[tuple[int, int]] = []
-
-    def solve() -> None:
-        if len(held) < 2:
-            return
-        sets, found = _Sets([s for _, s in held]), _Union(len(held))
-        join_region(sets, np.arange(len(held)), found)
-        least: dict[int, int] = {}
-        roots = [int(found.root(k)) for k in range(len(held))]
-        for (i, _), r in zip(held, roots, strict=True):
-            least[r] = min(i, least.get(r, i))
-        made.extend((i, least[r]) for (i, _), r in zip(held, roots, strict=True) if i != least[r])
-
-    def out() -> pa.RecordBatch:
-        pairs = np.array(made, np.int64).reshape(-1, 2)
-        made.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    for batch in batches:
-        for region, i, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if region != current:
-                solve()
-                held, current = [], region
-            held.append((i, np.frombuffer(data, "<u8")))
+    return distance <= distance.min(axis=1, keepdims=True) + 2 * radius + 1e-9
+
+
+def join_region(sets: _Sets, which: np.ndarray, found: _Union, percent: int) -> None:
+    """Recursively, by a stack: pivots, links with them, Voronoi cells of the others with their windows.
+
+    A cell is done when links connect all of it, or one set is left. Its pivots aren't among the sets that most others
+    of the cell are connected with. Cells that would leave too many pairs are given up for the whole without its pivots.
+    """
+    cells = [which]
+    while cells:
+        cell = cells.pop()
+        names, number, counts = np.unique(found.roots(cell), return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            continue
+        others = cell[number != counts.argmax()]
+        count = min(len(others), max(1, math.isqrt(len(cell))))
+        pivots = others[np.linspace(0, len(others) - 1, count).astype(int)]
+        linked, distance = sets.linked_and_distance(cell, pivots, percent)
+        row, first, a, b = stars(linked)
+        for x, y in [*zip(cell[row], pivots[first], strict=True), *zip(pivots[a], pivots[b], strict=True)]:
+            found.join(x, y)
+        left = ~np.isin(cell, pivots)
+        rest = cell[left]
+        inside = np.unique(voronoi(distance[left], 1 - percent / 100).T, axis=0) if len(rest) else np.ones((0, 0), bool)
+        if (inside.sum(axis=1, dtype=float) ** 2).sum() > PARTED * len(rest) ** 2:
+            inside = np.ones((1, len(rest)), bool)
+        cells += [rest[x] for x in inside]
+
+
+def _regions(percent: int):
+    """Rows (region, id, label, set) come sorted by region; out go (a, b): an id and the smallest one it is linked with.
+
+    Sets of one label are known to be connected.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+        current = None
+        made: list[tuple[int, int]] = []
+
+        def solve() -> None:
+            if len(held) < 2:
+                return
+            sets, found = _Sets([s for *_, s in held]), _Union(len(held))
+            at: dict[int, int] = {}
+            for k, (_, label, _) in enumerate(held):
+                found.join(k, at.setdefault(label, k))
+            join_region(sets, np.arange(len(held)), found, percent)
+            least: dict[int, int] = {}
+            roots = found.roots(np.arange(len(held))).tolist()
+            for (i, *_), r in zip(held, roots, strict=True):
+                least[r] = min(i, least.get(r, i))
+            made.extend((i, least[r]) for (i, *_), r in zip(held, roots, strict=True) if i != least[r])
+
+        def out() -> pa.RecordBatch:
+            pairs = np.array(made, np.int64).reshape(-1, 2)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            for region, i, label, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if region != current:
+                    solve()
+                    held, current = [], region
+                held.append((i, label, np.frombuffer(data, "<u8")))
+            yield out()
+        solve()
         yield out()
-    solve()
-    yield out()
 
+    return run
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sets_of(size: int):
     """(id, region, text) to (region, id, set, n)."""
-    for batch in batches:
-        for start, texts in portions(batch.column(2), TEXTS, TEXT_BYTES):
-            sets, n = shingle_sets(texts)
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 8
-            data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(sets.astype("<u8"))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(start, len(n)), batch.column(0).slice(start, len(n)), data.cast(pa.binary()), pa.array(n, pa.int64())],
-                names=["region", "id", "set", "n"],
-            )
-
-
-def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, deal, role, id, set) come sorted, pivots (role 0) before members (role 1); out go rows (region, id,
-    pivot, linked, inside), one for each Voronoi cell of a member."""
-    current, pivots, members = None, [], []
-
-    def compared() -> pa.RecordBatch:
-        both, k = _Sets([np.frombuffer(x["set"], "<u8") for x in [*pivots, *members]]), len(pivots)
-        linked, distance = both.linked_and_distance(np.arange(k, k + len(members)), np.arange(k))
-        inside = voronoi(distance)
-        at, pivot = np.nonzero(inside | linked)
-        ids = np.array([p["id"] for p in pivots], np.int64)
-        made = [pa.array([members[a][c] for a in at], pa.int64()) for c in ("region", "id")]
-        made += [pa.array(ids[pivot]), pa.array(linked[at, pivot]), pa.array(inside[at, pivot])]
-        members.clear()
-        return pa.RecordBatch.from_arrays(made, names=["region", "id", "pivot", "linked", "inside"])
-
-    for batch in batches:
-        for start in range(0, batch.num_rows, LEAF):
-            for row in batch.slice(start, LEAF).to_pylist():
-                if (row["region"], row["deal"]) != current:
-                    if members:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in portions(batch.column(2), TEXTS, TEXT_BYTES):
+                sets, n = shingle_sets(texts, size)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 8
+                data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(sets.astype("<u8"))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(start, len(n)), batch.column(0).slice(start, len(n)), data.cast(pa.binary()), pa.array(n, pa.int64())],
+                    names=["region", "id", "set", "n"],
+                )
+
+    return run
+
+
+# Joins as Spark jobs
+
+
+def _to_pivots(percent: int):
+    """Rows (region, deal, role, id, set) come sorted, pivots (role 0: with a Voronoi cell, 1: without) before members
+    (role 2; 3: pivots as members). Out go rows (region, id, pivot, linked): links that connect all that are linked, and
+    one for each Voronoi cell of a member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pivots, members = None, [], []
+
+        def compared() -> pa.RecordBatch:
+            both, k = _Sets([np.frombuffer(x["set"], "<u8") for x in [*pivots, *members]]), len(pivots)
+            linked, distance = both.linked_and_distance(np.arange(k, k + len(members)), np.arange(k), percent)
+            row, first, a, b = stars(linked)
+            centre = np.array([p["role"] == 0 for p in pivots])
+            inside = np.zeros(linked.shape, bool)
+            if centre.any():
+                inside[:, centre] = voronoi(distance[:, centre], 1 - percent / 100)
+            inside[[m["role"] == 3 for m in members]] = False
+            at, cell = np.nonzero(inside)
+            ids, own = np.array([p["id"] for p in pivots], np.int64), np.array([m["id"] for m in members], np.int64)
+            left, right = np.concatenate([own[row], ids[a], own[at]]), np.concatenate([ids[first], ids[b], ids[cell]])
+            is_link = np.arange(len(left)) < len(row) + len(a)
+            keep = (left != right) | ~is_link
+            columns = [pa.array(np.full(keep.sum(), current[0])), pa.array(left[keep]), pa.array(right[keep]), pa.array(is_link[keep])]
+            members.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["region", "id", "pivot", "linked"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, COMPARED):
+                for row in batch.slice(start, COMPARED).to_pylist():
+                    if (row["region"], row["deal"]) != current:
+                        if members and pivots:
+                            yield compared()
+                        current, pivots, members = (row["region"], row["deal"]), [], []
+                    if row["role"] < 2:
+                        pivots.append(row)
+                        continue
+                    members.append(row)
+                    if len(members) >= max(COMPARED, len(pivots)):
                         yield compared()
-                    current, pivots = (row["region"], row["deal"]), []
-                if row["role"] == 0:
-                    pivots.append(row)
-                    continue
-                members.append(row)
-                if len(members) == LEAF:
-                    yield compared()
-    if members:
-        yield compared()
+        if members and pivots:
+            yield compared()
+
+    return run
 
 
 SETS = "region bigint, id bigint, set binary, n bigint"
 
 
-def _joined(sets: DataFrame) -> DataFrame:
-    return sets.select("region", "id", "set").repartition("region").sortWithinPartitions("region").mapInArrow(_regions, "a bigint, b bigint")
+def _joined(sets: DataFrame, percent: int) -> DataFrame:
+    rows = sets.select("region", "id", "label", "set").repartition("region").sortWithinPartitions("region")
+    return rows.mapInArrow(_regions(percent), "a bigint, b bigint")
 
 
-def _sized(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(regions that fit a task, those that don't), the latter with sets_in."""
-    sizes = sets.groupBy("region").agg(F.count(F.lit(1)).alias("sets_in"), F.sum("n").alias("shingles_in"))
-    large = written(sizes.where((F.col("sets_in") > REGION_SETS) | (F.col("shingles_in") > REGION_SHINGLES)), "large")
-    return sets.join(small(large.select("region")), "region", "left_anti"), sets.join(small(large), "region")
+def _chance(round_: int, *cols: str):
+    return F.pmod(F.xxhash64(*cols, F.lit(round_)), F.lit(1 << 30)) / (1 << 30)
 
 
-def links(sets: DataFrame) -> DataFrame:
+def links(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links within the regions of sets.
 
-    A large region is replaced by its Voronoi cells if they leave less than PARTED of its pairs to compare. Regions that
-    pivots don't part so, such as many copies of one text with few changes, are compared block by block.
+    Regions that fit a task are joined there. The others take pivots round by round, from the sets that aren't connected
+    with most of their region, until all of a region is connected, its cells fit tasks or all of these were pivots.
     """
-    fits, large = _sized(sets)
-    found = [_joined(fits)]
-    for round_ in range(1, ROUNDS + 1):
-        if not large.head(1):
-            return _union(found)
-        large = written(large, f"large-{round_}")
-        share = F.least(F.lit(float(PIVOTS)), 4 * F.col("sets_in") / REGION_SETS + 4) / F.col("sets_in")
-        chance = F.pmod(F.xxhash64("region", "id", F.lit(round_)), F.lit(1 << 30)) / (1 << 30)
-        deals = F.ceil(F.col("sets_in") / DEALT).cast("int")
-        pivots = written(large.where(chance < share).select("region", "id", "set", "sets_in", deals.alias("deals")), "pivots")
-        chosen = pivots.select("region", "sets_in").distinct()
-        members = large.join(chosen.select("region"), "region", "left_semi")
+    sizes = sets.groupBy("region").agg(F.count(F.lit(1)).alias("sets_in"), F.sum("n").alias("shingles_in"))
+    fit = (F.col("sets_in") <= REGION_SETS) & (F.col("shingles_in") <= REGION_SHINGLES)
+    large = written(sizes.where(~fit).select("region"), "large")
+    found = [_joined(sets.join(small(large), "region", "left_anti").withColumn("label", F.col("id")), percent)]
+    if not large.head(1):
+        return found[0]
+    contents = written(sets.join(small(large), "region", "left_semi").select("region", "id", "n", "set"), "contents")
+    cells, known, pivots = contents.dropDuplicates(["region", "id"]).select("region", "id", "n", F.col("id").alias("label")), [], PIVOTS
+    contents = contents.select("id", "set")
+    for round_ in range(1, 1 << 30):
+        labels = cells.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        state = labels.groupBy("region").agg(
+            F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"),
+            F.sum("c").alias("sets_in"), F.sum("s").alias("shingles_in"), (F.sum("c") - F.max("c")).alias("others"),
+        )
+        state = written(state.where("labels > 1"), f"state-{round_}")
+        if not state.head(1):
+            break
+        members = cells.join(small(state), "region")
+        found.append(_joined(members.where(fit).join(contents, "id"), percent))
         # Members are dealt out, whatever the size of their region; its pivots go along with each deal.
-        deal = F.pmod(F.xxhash64("id", F.lit("deal")), deals).cast("int")
-        rows = members.select("region", deal.alias("deal"), F.lit(1).alias("role"), "id", "set")
+        deals = F.ceil(F.col("sets_in") / max(DEALT, pivots)).cast("int")
+        pivot = (F.col("label") != F.col("main")) & (_chance(round_, "region", "id") < F.lit(float(pivots)) / F.col("others"))
+        centre = _chance(-round_, "region", "id") < F.lit(float(CENTRES)) / F.least(F.col("others"), F.lit(pivots))
+        members = members.where(~fit).withColumns({"deals": deals, "pivot": pivot, "centre": centre})
+        members = written(members.select("region", "id", "n", "sets_in", "deals", "pivot", "centre"), f"members-{round_}")
+        if not members.head(1):
+            break
+        deal = F.pmod(F.xxhash64("id", F.lit("deal")), F.col("deals")).cast("int")
+        rows = members.select("region", deal.alias("deal"), F.when(F.col("pivot"), 3).otherwise(2).alias("role"), "id")
         each = F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")
-        rows = rows.unionByName(pivots.select("region", each, F.lit(0).alias("role"), "id", "set"))
-        schema = "region bigint, id bigint, pivot bigint, linked boolean, inside boolean"
-        near = rows.repartition("region", "deal").sortWithinPartitions("region", "deal", "role").mapInArrow(_to_pivots, schema)
+        rows = rows.unionByName(members.where("pivot").select("region", each, F.when(F.col("centre"), 0).otherwise(1).alias("role"), "id"))
+        rows = rows.join(contents, "id").select("region", "deal", "role", "id", "set")
+        near = rows.repartition("region", "deal").sortWithinPartitions("region", "deal", "role").mapInArrow(_to_pivots(percent), "region bigint, id bigint, pivot bigint, linked boolean")
         near = written(near, f"near-{round_}")
-        found.append(near.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        sizes = near.where("inside").groupBy("region", "pivot").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        pairs = sizes.groupBy("region").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
-        parted = pairs.join(chosen, "region").where(F.col("pairs") <= PARTED * F.col("sets_in") * F.col("sets_in"))
+        known.append(near.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        found.append(known[-1])
+        inside = near.where("not linked").groupBy("region", "pivot").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        pairs = inside.groupBy("region").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        regions = members.groupBy("region").agg(F.first("sets_in").alias("sets_in"))
+        parted = pairs.join(regions, "region").where(F.col("pairs") <= PARTED * F.col("sets_in") * F.col("sets_in"))
         parted = written(parted.select("region"), "parted")
-        whole = members.join(parted, "region", "left_anti")
-        found.append(_joined(block_pairs(whole)))
-        inside = near.where("inside").join(parted, "region", "left_semi").select("region", "id", "pivot")
-        cells = inside.join(large.select("region", "id", "set", "n"), ["region", "id"])
-        cells = cells.select(F.xxhash64("region", "pivot", F.lit(round_)).alias("region"), "id", "set", "n")
-        # A region that got no pivot this time stays as it is.
-        rest = large.join(chosen.select("region"), "region", "left_anti").select("region", "id", "set", "n")
-        fits, large = _sized(cells.unionByName(rest))
-        found.append(_joined(fits))
-    if large.head(1):
-        found.append(_joined(block_pairs(written(large, "blocks"))))
+        left = members.where("not pivot").select("region", "id", "n")
+        into = near.where("not linked").join(small(parted), "region", "left_semi").join(left, ["region", "id"])
+        into = into.select(F.xxhash64("region", "pivot", F.lit(round_)).alias("region"), "id", "n")
+        cells = into.unionByName(left.join(small(parted), "region", "left_anti")).dropDuplicates(["region", "id"])
+        roots = components(_union(known))
+        cells = cells.join(roots, cells["id"] == roots["node"], "left").select("region", "id", "n", F.coalesce("root", "id").alias("label"))
+        cells, pivots = written(cells, f"cells-{round_}"), min(2 * pivots, MOST_PIVOTS)
     return _union(found)
 
 
@@ -476,37 +629,29 @@ def _union(found: list[DataFrame]) -> DataFrame:
     return out
 
 
-def block_pairs(large: DataFrame) -> DataFrame:
-    """Regions that pivots don't part, as regions of two blocks each: every two sets of one meet in one of them."""
-    by_number, by_size = F.col("sets_in") / REGION_SETS, F.col("shingles_in") / REGION_SHINGLES
-    count = F.greatest(F.lit(2), F.ceil(3 * F.greatest(by_number, by_size))).cast("int")
-    block = F.pmod(F.xxhash64("id", F.lit("block")), count).cast("int")
-    other = F.explode(F.sequence(F.lit(0), count - 1))
-    pairs = large.select("region", "id", "set", "n", block.alias("block"), other.alias("other"))
-    return pairs.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "id", "set", "n")
-
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row a row of docs: id, n_shingles, component_id (the smallest id that links reach).
 
-    A document is the set of the 3-word shingles of its text, with A-Z in lower case; fewer words are one shingle as a
-    whole. Two link if 100 * intersection >= 90 * union. Null and empty texts, and those of white space, have no
-    shingles and link with nothing. The id column is an integer; a row with a null id links with nothing and has a null
-    component_id. Rows that repeat an id share its component. Shingles are compared by 64-bit hashes. Other columns of
-    docs play no part; an empty table gives an empty result.
+    A document is the set of the shingles, of that many words, of its whole text, however long, with A-Z in lower case;
+    fewer words are one shingle as a whole. Two link if 100 * intersection >= percent * union. Null and empty texts, and
+    those of white space, have no shingles and link with nothing. The id column is an integer; a row with a null id links
+    with nothing and has a null component_id. Rows that repeat an id share its component. Shingles are compared by 64-bit
+    hashes. Other columns of docs play no part; an empty table gives an empty result.
     """
+    if not 0 < percent <= 100 or shingle < 1:
+        raise ValueError("percent is above 0 and at most 100, a shingle has a word at least")
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     schema = "id bigint, n_shingles bigint, rep bigint, cells array<bigint>"
-    known = written(base.mapInArrow(_documents, schema), "shingles")
+    known = written(base.mapInArrow(_documents(hot_slots(base, shingle), shingle, percent), schema), "shingles")
     cells = known.where(F.size("cells") > 0).select("id", F.explode("cells").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     shared = written(shared.select("cell", "least"), "cells")
     together = cells.join(shared, "cell").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     regions = written(components(together).withColumnRenamed("root", "region"), "regions")
     members = base.join(small(regions.withColumnRenamed("node", "id")), "id").select("id", "region", "text")
-    found = links(written(members.mapInArrow(_sets_of, SETS), "sets"))
+    sets = written(members.mapInArrow(_sets_of(shingle), SETS), "sets")
     copies = known.where("rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = components(found.unionByName(copies))
+    roots = components(links(sets, percent).unionByName(copies))
     return known.join(roots, known["id"] == roots["node"], "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id")
     )
