@@ -40,21 +40,23 @@ SHELL_RATIO = 1.5
 PARTS = 1.25
 #: How often a set is dealt out anew if too many of its parts are empty; after that all such sets of a shell share a cell.
 DEALS = 3
-#: Shingles are counted in 2 ** SLOT_BITS slots; those of slots with more than HOT times the mean, and HOT_LEAST, are hot.
-SLOT_BITS, HOT, HOT_LEAST = 20, 4, 8
+#: Shingles are counted in 2 ** SLOT_BITS slots; those of slots with more than HOT_LEAST, and HOT roots of the mean above
+#: it, are hot: a passage of more copies than its slot's count varies by chance.
+SLOT_BITS, HOT, HOT_LEAST = 20, 5, 8
 #: Counts that travel together, and how many streams each such block is first added up in.
 BLOCK, STREAMS = 1 << 14, 16
 #: Distinct sets a task remembers to join copies at once; when full, it starts anew.
 REMEMBERED = 100_000
 #: Regions of up to so many sets and shingles are joined within a task.
-REGION_SETS, REGION_SHINGLES = 2048, 3_000_000
-#: Rows and columns that are compared at once.
-COMPARED = 512
+REGION_SETS, REGION_SHINGLES = 4096, 3_000_000
+#: Rows and columns that are compared at once, the cost of a shared shingle against that of a place in a matrix, and the
+#: shared shingles that are counted at once.
+COMPARED, SPARSE, MET = 512, 450, 2_000_000
 #: Share of a region's pairs that its Voronoi cells may leave; else it stays whole, without the pivots.
 PARTED = 0.5
-#: Pivots of a large region in its first round, about, and at most as they double from round to round; how many of them
-#: have a Voronoi cell; and the sets that a task compares with them, at least.
-PIVOTS, MOST_PIVOTS, CENTRES, DEALT = 64, 1024, 64, 1000
+#: Pivots of a large region in its first round, about, and at most as they double from round to round, fewer if they are
+#: long; how many of them have a Voronoi cell; and the sets that a task compares with them, at least.
+PIVOTS, MOST_PIVOTS, CENTRES, DEALT = 256, 1024, 64, 1000
 #: Texts that are made into sets at once, by number and by bytes.
 TEXTS, TEXT_BYTES = 400, 3_000_000
 
@@ -179,7 +181,7 @@ def hot_slots(base: DataFrame, size: int) -> np.ndarray:
     total = np.zeros((1 << SLOT_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
     for row in written(rows, "slots").collect():
         total[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    return np.packbits(total.ravel() > max(HOT_LEAST, HOT * total.mean()))
+    return np.packbits(total.ravel() > max(HOT_LEAST, total.mean() + HOT * math.sqrt(total.mean())))
 
 
 # Shells and cells
@@ -317,13 +319,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        across = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = written(least.select("a", F.col("m").alias("b")).unionByName(across).distinct(), "edges")
-        # Stars: no smallest node is itself linked to a smaller one, and every node has one link.
-        chained = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").head(1)
-        if not chained and not across.head(1):
+        across = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        new = least.select("a", F.col("m").alias("b"), F.lit(False).alias("moved")).unionByName(across)
+        new = written(new.groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
+        # Stars: every node has one link, and no smallest node is itself linked to a smaller one.
+        edges = new.select("a", "b")
+        if not new.where("moved").head(1) and not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").head(1):
             break
-        edges = new
     roots = new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
@@ -346,14 +348,28 @@ class _Sets:
         self.universe = int((times > 1).sum())
 
     def common(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections, by products of 0/1 matrices, some rows and columns and a slice of the universe at
-        a time."""
+        """Sizes of the intersections, some rows and columns at a time: by the shingles that they share, or, if that is
+        cheaper, by products of 0/1 matrices over slices of the universe."""
         if len(rows) > COMPARED:
             return np.concatenate([self.common(rows[k : k + COMPARED], columns) for k in range(0, len(rows), COMPARED)])
         if len(columns) > COMPARED:
             return np.concatenate([self.common(rows, columns[k : k + COMPARED]) for k in range(0, len(columns), COMPARED)], axis=1)
-        total = np.zeros((len(rows), len(columns)), np.float64)
         parts = [self._matrix_entries(rows), self._matrix_entries(columns)]
+        (row, number), (column, of_column) = parts
+        times = np.bincount(of_column, minlength=self.universe)
+        met = times[number]
+        if SPARSE * met.sum() < len(rows) * len(columns) * self.universe:
+            # Each shingle of a row meets the columns that have it.
+            at = column[np.argsort(of_column, kind="stable")]
+            first = np.cumsum(times) - times
+            total = np.zeros(len(rows) * len(columns), np.int64)
+            upto = np.cumsum(met)
+            cuts = np.searchsorted(upto, np.arange(MET, upto[-1] if len(upto) else 0, MET), side="right")
+            for some in np.split(np.arange(len(met)), cuts):
+                pair = np.repeat(row[some] * len(columns), met[some]) + at[ranges(first[number[some]], met[some])]
+                total += np.bincount(pair, minlength=len(total))
+            return total.reshape(len(rows), len(columns))
+        total = np.zeros((len(rows), len(columns)), np.float64)
         step = 8192
         for low in range(0, self.universe, step):
             made = []
@@ -513,7 +529,7 @@ def _to_pivots(percent: int):
     one for each Voronoi cell of a member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, pivots, members = None, [], []
+        current, pivots, members, held = None, [], [], 0
 
         def compared() -> pa.RecordBatch:
             both, k = _Sets([np.frombuffer(x["set"], "<u8") for x in [*pivots, *members]]), len(pivots)
@@ -539,13 +555,15 @@ def _to_pivots(percent: int):
                     if (row["region"], row["deal"]) != current:
                         if members and pivots:
                             yield compared()
-                        current, pivots, members = (row["region"], row["deal"]), [], []
+                        current, pivots, members, held = (row["region"], row["deal"]), [], [], 0
                     if row["role"] < 2:
                         pivots.append(row)
                         continue
                     members.append(row)
-                    if len(members) >= max(COMPARED, len(pivots)):
+                    held += len(row["set"])
+                    if len(members) >= max(COMPARED, len(pivots)) or held > 8 * REGION_SHINGLES:
                         yield compared()
+                        held = 0
         if members and pivots:
             yield compared()
 
@@ -592,8 +610,9 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         found.append(_joined(members.where(fit).join(contents, "id"), percent))
         # Members are dealt out, whatever the size of their region; its pivots go along with each deal.
         deals = F.ceil(F.col("sets_in") / max(DEALT, pivots)).cast("int")
-        pivot = (F.col("label") != F.col("main")) & (_chance(round_, "region", "id") < F.lit(float(pivots)) / F.col("others"))
-        centre = _chance(-round_, "region", "id") < F.lit(float(CENTRES)) / F.least(F.col("others"), F.lit(pivots))
+        wanted = F.least(F.lit(float(pivots)), F.col("sets_in") * REGION_SHINGLES / F.col("shingles_in") + 4)
+        pivot = (F.col("label") != F.col("main")) & (_chance(round_, "region", "id") < wanted / F.col("others"))
+        centre = _chance(-round_, "region", "id") < F.lit(float(CENTRES)) / F.least(F.col("others"), wanted)
         members = members.where(~fit).withColumns({"deals": deals, "pivot": pivot, "centre": centre})
         members = written(members.select("region", "id", "n", "sets_in", "deals", "pivot", "centre"), f"members-{round_}")
         if not members.head(1):
