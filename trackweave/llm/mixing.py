@@ -4,7 +4,8 @@ Among all document rates between 0 and a cap whose words add up to each source's
 nearest to one copy each in relative entropy: rate = min(cap, exp(lambda * size / mean size of the source)). The lambdas
 solve a convex dual problem; its gradient and curvature are sums over the documents, so every Newton step is one grouped
 aggregation, over the histogram of sizes that is made once. A bracket guards the steps. Rates are rounded into copies
-along the order of sizes, so what is rounded off in one size is made up in the next.
+along the order of sizes, so what is rounded off in one size is made up in the next, and what is left at the end is mended
+by words.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from .common import words, written
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 CAP = 2
-#: Newton steps stop once every source is within this share of its size, and after MAX_STEPS at the latest.
+#: Newton steps stop once every source is within this share of its size; a step that leaves its bracket halves it.
 TOLERANCE = 1e-5
-MAX_STEPS = 40
+#: After so many steps, by when the brackets are below what rates can tell apart, the dual counts as unsolvable.
+MAX_STEPS = 200
+#: Copies by which a source's rounded total is mended, at most.
+MENDED = 6
 #: Rates are whole multiples of 1 / RATE_UNIT, so that sums are exact and don't depend on the order of rows.
 RATE_UNIT = 1_000_000
 #: Documents of one source and size that are ranked together at most, on average.
@@ -115,23 +119,44 @@ def solved(sizes: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
             .withColumn("lambda", F.when(F.col("done"), lam).otherwise(F.coalesce("next", lam)))
             .select(*state.columns)
         )
-        state = written(state, f"dual-{step}")
+        # A bracket too narrow for rates to change is the solution too: rates are multiples of 1 / RATE_UNIT.
+        state = written(state.withColumn("done", F.col("done") | (F.col("high") - F.col("low") < 1e-9)), f"dual-{step}")
         if not state.where("not done").head(1):
             break
+    else:
+        raise ArithmeticError("the dual of the mix did not converge")
     return state.select("source_rank", "mean", "lambda")
 
 
-def rounded(sizes: DataFrame, duals: DataFrame, cap: int = CAP) -> DataFrame:
+def rounded(sizes: DataFrame, duals: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
     """Adds copies, all that the documents of one source and size get together.
 
     Within a source the sizes go up; each gets the copies that bring the running total nearest to that of the rates.
-    A source has as many rows here as it has sizes, however many documents it holds.
+    What the source is then away from its target, in words, is mended copy by copy: each time one copy more or less of
+    the size that brings it nearest. A source has as many rows here as it has sizes, however many documents it holds.
     """
     each = sizes.join(duals, "source_rank").withColumn("due", F.col("docs") * _rate(F.col("lambda"), cap))
     upto = Window.partitionBy("source_rank").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     whole = lambda x: F.floor((x + RATE_UNIT / 2) / RATE_UNIT).cast("bigint")
     run = F.sum("due").over(upto)
-    return each.withColumn("copies", whole(run) - whole(run - F.col("due"))).select("source_rank", "size", "docs", "copies")
+    each = each.withColumn("copies", whole(run) - whole(run - F.col("due"))).select("source_rank", "size", "docs", "copies")
+    each = written(each, "copies-0")
+    goal = sources.select("source_rank", "target")
+    for step in range(1, MENDED + 1):
+        taken = each.groupBy("source_rank").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(goal, "source_rank")
+        off = taken.select("source_rank", (F.col("target") - F.col("taken")).alias("off"))
+        one = F.signum("off").cast("bigint")
+        after = F.abs(F.col("off") - one * F.col("size"))
+        able = (F.col("copies") + one).between(0, cap * F.col("docs")) & (after < F.abs("off"))
+        best = each.join(off, "source_rank").where(able).groupBy("source_rank").agg(
+            F.min_by(F.struct("size", one.alias("change")), F.struct(after, "size")).alias("best")
+        )
+        best = written(best.select("source_rank", "best.size", "best.change"), f"mend-{step}")
+        if not best.head(1):
+            break
+        changed = F.col("copies") + F.coalesce("change", F.lit(0))
+        each = written(each.join(best, ["source_rank", "size"], "left").select("source_rank", "size", "docs", changed.alias("copies")), f"copies-{step}")
+    return each
 
 
 def mix_sources(
@@ -160,7 +185,7 @@ def mix_sources(
     sources = written(targets(ranked_sources(by_source, "src"), weights, share_percent, cap), "targets")
     known = cells.join(sources.select("src", "source_rank"), cells["src"].eqNullSafe(sources["src"])).drop("src")
     known = written(known.select("source_rank", "size", "docs"), "histogram")
-    shares = rounded(known, solved(known, sources, cap), cap)
+    shares = rounded(known, solved(known, sources, cap), sources, cap)
     # What the documents of one source and size need: all fits in a row, and large groups are ranked in buckets.
     buckets = F.ceil(F.col("docs") / RANKED)
     per_cell = written(
