@@ -409,6 +409,45 @@ def test_main_text(spark):
     assert got[None] == ("long " * 50_000).strip() and all(r["n_chars"] == len(r["text"]) for r in made)
 
 
+#: Pages whose markup misleads, and their articles as read by eye.
+LONG = "A paragraph of the article that is long enough to be told from menus, with some words more to spare. "
+ODD_PAGES = [
+    (f'<article><h2 id="related-work">Related work</h2><p>{LONG}</p><h2 id="search-algorithms">Search</h2><p id="share">{LONG}</p></article>', ["Related work", LONG, "Search", LONG]),
+    (f'<body><article><div class="article-header"><h1>Title</h1></div><p>{LONG}</p></article></body>', ["Title", LONG]),
+    (f'<body><nav><a href=1>One</a><a href=2>Two</a><div class=content><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div></body>', ["Head", LONG, LONG]),
+    (f"<body><main><article><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article></main></body>", [LONG, "Two", LONG]),
+    (f'<article><p>{LONG}</p><div class="notice">Old page.</div><div class="related"><a href=1>More</a></div><p>End.</p></article>', [LONG, "End."]),
+    (f'<article><p>Short.</p><div class="alert"><p>{LONG * 6}</p></div><p>{LONG}</p></article>', ["Short.", LONG * 6, LONG]),
+    (f'<body><header><p>{LONG}</p></header><div><p>{LONG * 2}</p><p>{LONG}</p></div><aside><p>{LONG}</p></aside></body>', [LONG * 2, LONG]),
+    (f'<article><p>{LONG}</p></article><section class="comments"><article class="comment"><p>{LONG * 9}</p></article></section>', [LONG]),
+]
+
+
+@pytest.mark.parametrize("page, want", ODD_PAGES)
+def test_main_text_of_odd_pages(page, want):
+    assert html_text.main_text(page) == "\n\n".join(x.strip() for x in want)
+
+
+def test_ratios_decide(monkeypatch):
+    """The threshold takes part in the result, within articles too, and smoothing is the plain weighted mean."""
+    page = ODD_PAGES[4][0]
+    usual = html_text.main_text(page)
+    monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
+    assert "Old page." in html_text.main_text(page) and "Old page." not in usual
+    monkeypatch.setattr(html_text, "THRESHOLD", 9.0)
+    assert LONG * 6 not in html_text.main_text(ODD_PAGES[5][0])
+    ratios = np.array([3.0, 90.0, 0.0, 7.0, 41.0, 5.0])
+    for k, found in enumerate(html_text.smoothed(ratios)):
+        near = {j: math.exp(-0.5 * (j - k) ** 2) for j in range(max(0, k - 2), min(5, k + 2) + 1)}
+        assert found == pytest.approx(sum(w * ratios[j] for j, w in near.items()) / sum(near.values()))
+
+
+def test_pages_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, None, PAGE, "x", 5), (1, None, PAGE, "x", 5), (None, "u", None, None, None)], "page_id int, url string, html string, text string, n_chars long")
+    made = sorted((r["page_id"] or 0, r["url"], r["n_chars"]) for r in rows(html_text.extract_text(pages)))
+    assert made[0] == (0, "u", 0) and made[1] == made[2] and made[1][2] > 50
+
+
 def test_main_text_without_article():
     page = "<body><div id=page><div class=content><h2>Head</h2><div><p>Long paragraph of text that is the content of it all.<p>Short.</div></div><div><a href=1>link</a> <a href=2>link two</a></div></div>"
     assert html_text.main_text(page) == "Head\n\nLong paragraph of text that is the content of it all.\n\nShort."

@@ -1,10 +1,12 @@
 """Operator 1: main text of HTML pages.
 
 The standard library's parser streams events into lines, one for each block of the page, with the characters of text,
-the tags met and the characters within links. Lines inside navigation, headers, footers, sidebars, forms, adverts,
-notices and comments are boilerplate by their markup and score nothing. The text-to-tag ratios of the lines are smoothed
-with a Gaussian kernel and clustered by a threshold; the lines above it vote, by their text, for the content region: the
-container they lie in. The region's lines are the article, short ones and headings among them too.
+the tags met and the characters within links. A line's ratio is its text to its tags, weighed by its markup: next to nothing
+for menus, page headers, footers, forms and adverts, nothing for comments, a part for blocks that their class or id calls
+something of the kind but that may be prose, all for the rest. The ratios are smoothed with a Gaussian kernel and clustered by a threshold.
+The lines above it vote, by their text, for the content region: the articles they lie in, or else the container. Within
+the region a line of part weight stays if its own ratio passes the threshold; lines of full weight stay, short ones and
+headings among them too.
 """
 
 from __future__ import annotations
@@ -29,17 +31,27 @@ BLOCKS = REGIONS | BOILERPLATE | set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_SPACE = {"br", "img", "wbr", "td", "th"}
 #: Words in class, id and role that mark boilerplate.
-HINTS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus"
-    " footer header masthead menu nav navbar navigation newsletter notice notices pagination popup modal promo promoted related"
-    " share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets replies reply respond signup"
-    " alert complementary contentinfo search login".split()
+HARD = set(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs cookie cookies consent"
+    " footer masthead nav navbar navigation newsletter pagination popup modal sidebar sponsor sponsored subscribe"
+    " subscription widget widgets respond signup complementary contentinfo login".split()
 )
-COMMENTS = {"comment", "comments", "reply", "replies"}
+#: Words that do so of page headers, which within an article name its own.
+OUTSIDE = {"header", "banner", "menu", "toolbar"}
+#: Words that say it of some blocks, but stand on prose as well.
+SOFT = set("notice notices promo promoted related share sharing social alert search reply".split())
+#: What ratios keep of their value in blocks that markup calls boilerplate, and in those of SOFT. Comments keep nothing.
+HARD_WEIGHT, SOFT_WEIGHT = 0.02, 0.25
+COMMENTS = {"comment", "comments", "replies", "disqus"}
+#: Words that name the block of the article.
+CONTENT = {"article", "content", "entry", "post", "story", "main"}
+#: Elements whose id is as often an anchor, so that only their class and role count, and those that hold no block's name.
+ANCHORS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "span", "a", "li", "dt", "dd"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements whose closing tag may be left out, by what closes them.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SIGMA, RADIUS = 1.0, 2
-#: Share of the mean smoothed ratio, over the lines that score, from which a line counts as content.
+#: Share of the mean smoothed ratio, over the lines of full weight, from which a line counts as content.
 THRESHOLD = 0.5
 SPACES = re.compile(r"\s+")
 PARTS = re.compile(r"[A-Za-z]+")
@@ -47,12 +59,13 @@ PARTS = re.compile(r"[A-Za-z]+")
 
 @dataclass
 class Line:
-    """A block: its text, the tags met since the last one, the characters within links, and its containers' numbers."""
+    """A block: its text, the tags met since the last one, the characters within links, the weight of its markup, and its
+    containers' numbers."""
 
     text: str
     tags: int
     linked: int
-    boilerplate: bool
+    weight: float
     regions: tuple[int, ...]
 
 
@@ -60,7 +73,7 @@ class Line:
 class Element:
     tag: str
     region: int | None = None
-    boilerplate: bool = False
+    weight: float = 1.0
     silent: bool = False
 
 
@@ -74,17 +87,26 @@ class _State:
     regions: list[str] = field(default_factory=list)
 
 
-def hinted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether class, id or role call the element boilerplate, word by word; an article is none unless it is a comment."""
+def named(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The words of class, id and role, but for the id of elements that are rather anchors."""
+    used = ("class", "role") if tag in ANCHORS else ("class", "id", "role")
+    return {x.lower() for name, value in attrs if name in used and value for x in PARTS.findall(value)}
+
+
+def hinted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> float:
+    """The weight that class, id and role leave an element; an article has all of it unless it is a comment."""
     if tag in ("html", "body", "main"):
-        return False
-    hints = COMMENTS if tag == "article" else HINTS
-    for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and value and not hints.isdisjoint(x.lower() for x in PARTS.findall(value)):
-            return True
-    return False
+        return 1.0
+    if any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs):
+        return 0.0
+    words = named(tag, attrs)
+    if tag == "article":
+        return 0.0 if words & COMMENTS else 1.0
+    if words & COMMENTS:
+        return 0.0
+    if words & HARD or not in_article and words & OUTSIDE:
+        return HARD_WEIGHT
+    return SOFT_WEIGHT if words & SOFT and tag not in HEADINGS else 1.0
 
 
 class PageLines(HTMLParser):
@@ -93,27 +115,24 @@ class PageLines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.s = _State()
-        self.marked = self.silent = 0
-        self.links = 0
+        self.silent = self.links = 0
 
     def _end_line(self) -> None:
         s = self.s
         text = SPACES.sub(" ", "".join(s.text)).strip()
         if text:
             regions = tuple(e.region for e in s.stack if e.region is not None)
-            s.lines.append(Line(text, s.tags, s.linked, self.marked > 0, regions))
+            s.lines.append(Line(text, s.tags, s.linked, min((e.weight for e in s.stack), default=1.0), regions))
             s.tags = s.linked = 0
         s.text.clear()
 
     def _push(self, e: Element) -> None:
         self.s.stack.append(e)
-        self.marked += e.boilerplate
         self.silent += e.silent
         self.links += e.tag == "a"
 
     def _pop(self) -> None:
         e = self.s.stack.pop()
-        self.marked -= e.boilerplate
         self.silent -= e.silent
         self.links -= e.tag == "a"
 
@@ -125,7 +144,7 @@ class PageLines(HTMLParser):
         s.tags += 1
         if tag in BLOCKS:
             self._end_line()
-            self._leave(tag)
+            self._leave(tag, attrs)
             while s.stack and s.stack[-1].tag == "p":
                 self._pop()
             if s.stack and s.stack[-1].tag not in BLOCKS and any(e.tag == "p" for e in s.stack):
@@ -139,20 +158,22 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         # A header inside the article may hold its title; one of the page doesn't.
-        marked = tag in BOILERPLATE or hinted(tag, attrs) or tag == "header" and not self._in_article()
+        weight = hinted(tag, attrs, self._in_article())
+        if tag in BOILERPLATE or tag == "header" and not self._in_article():
+            weight = min(weight, HARD_WEIGHT)
         region = None
         if tag in REGIONS:
             region = len(s.regions)
             s.regions.append(tag)
-        self._push(Element(tag, region, marked, tag in SILENT))
+        self._push(Element(tag, region, weight, tag in SILENT))
 
-    def _leave(self, tag: str) -> None:
-        """A block ends an open head; an article ends a menu or page header that was left open."""
+    def _leave(self, tag: str, attrs) -> None:
+        """A block ends an open head; an article, by its tag or its name, ends a menu or page header that was left open."""
         if any(e.tag == "head" for e in self.s.stack):
             self._close("head")
-        if tag in ("article", "main"):
+        if tag in ("article", "main") or tag in REGIONS and named(tag, attrs) & CONTENT:
             for left in ("nav", "header"):
-                if any(e.tag == left for e in self.s.stack):
+                if any(e.tag == left for e in self.s.stack) and not self._in_article():
                     self._close(left)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -200,13 +221,15 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 def content(lines: list[Line], tags: list[str]) -> list[Line]:
     """The lines of the content region; tags names the container of each number."""
-    open_lines = [k for k, x in enumerate(lines) if not x.boilerplate]
-    if not open_lines:
+    plain = [k for k, x in enumerate(lines) if x.weight == 1]
+    if not plain:
         return []
-    ratios = np.array([0.0 if x.boilerplate or 2 * x.linked > len(x.text) else len(x.text) / max(x.tags, 1) for x in lines])
+    ratios = np.array([0.0 if 2 * x.linked > len(x.text) else x.weight * len(x.text) / max(x.tags, 1) for x in lines])
     smooth = smoothed(ratios)
-    limit = THRESHOLD * smooth[open_lines].mean()
-    seeds = [k for k in open_lines if smooth[k] >= limit and ratios[k] > 0] or open_lines
+    limit = THRESHOLD * smooth[plain].mean()
+    seeds = [k for k in plain if smooth[k] >= limit and ratios[k] > 0] or plain
+    # What lies outside the cluster of its own accord: blocks of part weight with a low ratio.
+    inside = [k for k, x in enumerate(lines) if x.weight == 1 or 0 < x.weight and ratios[k] >= limit]
     votes: dict[int, int] = {}
     for k in seeds:
         for r in lines[k].regions or (-1,):
@@ -215,14 +238,18 @@ def content(lines: list[Line], tags: list[str]) -> list[Line]:
     total = sum(len(lines[k].text) for k in seeds)
     region = max((r for r in votes if 2 * votes[r] > total), default=-1)
     path = next((x.regions[: x.regions.index(region) + 1] for x in lines if region in x.regions), ())
-    articles = [r for r in path if tags[r] in ("article", "main")]
-    if articles:
-        region = max((r for r in articles if tags[r] == "article"), default=articles[-1])
-        return [lines[k] for k in open_lines if region in lines[k].regions]
+    # Articles side by side are content if the cluster has lines in them; the outermost ones are taken whole.
+    outer = lambda x: next((r for r in x.regions if tags[r] == "article"), None)
+    articles = {outer(lines[k]) for k in seeds} - {None}
+    if any(tags[r] == "article" for r in path) or sum(votes[r] for r in articles) * 2 > total:
+        return [lines[k] for k in inside if outer(lines[k]) in articles]
+    mains = [r for r in path if tags[r] == "main"]
+    if mains:
+        return [lines[k] for k in inside if mains[-1] in lines[k].regions]
     # Without one, lines count that stand in the path to the region or in a container with seeds.
     wide = next((r for r in path if tags[r] != "body"), region)
     seeded = {lines[k].regions[-1] for k in seeds if lines[k].regions} | {r for r in path if r >= wide}
-    return [lines[k] for k in open_lines if wide == -1 or wide in lines[k].regions and lines[k].regions[-1] in seeded]
+    return [lines[k] for k in inside if wide == -1 or wide in lines[k].regions and lines[k].regions[-1] in seeded]
 
 
 def main_text(html: str | None) -> str:
@@ -237,8 +264,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     The whole html is parsed, however long. Null html and html without text give an empty text of no characters. Broken
     markup never fails: open elements are closed where a browser would, or at the end. Lone surrogates that character
-    references may write become the replacement character. Repeated rows give equal results; other columns of pages play
-    no part; an empty table gives an empty result.
+    references may write become the replacement character. Repeated rows give equal results; of containers with
+    equal votes the innermost, later one wins. Other columns of pages play no part; an empty table gives an empty result.
     """
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     schema = f"{id_col} {kinds[0]}, {url_col} {kinds[1]}, text string, n_chars bigint"
