@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.geometry import inside_border, link_function
 from .operators import hierarchy, lineage, linking, matching, pixels, solving, summary, tracks
 from .plans.config import TrackingConfig
-from .plans.layout import n_windows, window
+from .plans.layout import window_table
 from .sources.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,29 +575,24 @@ def flow_shift_lookup(spark, d):
     "v_nodes",
 )
 def window_layout(spark, d):
-    last = summary.max_frame(view(spark, d, "v_nodes"))
-    rows = [window(k, last, 7, 2, set()) for k in range(n_windows(last, 7))]
-    return spark.createDataFrame([(x.index, *x.solve, *x.commit) for x in rows], "index int, solve_start int, solve_end int, commit_start int, commit_end int")
+    return window_table(view(spark, d, "v_nodes"), 7, 2)
 
 
-def _solution(spark, d, exact_links: int = solving.EXACT_LINKS):
+def _solution(spark, d):
     nodes, found = view(spark, d, "v_nodes"), links(spark, d, 2)
     overlaps = hierarchy.overlap_closure(view(spark, d, "v_hier"))
     config = TrackingConfig(appear_weight=-0.1, disappear_weight=-0.1, division_weight=-0.1, window_size=10, link_function="identity")
-    return solving.solve(nodes.select("id", "t"), found, overlaps, config, exact_links=exact_links), overlaps, found
-
-
-@query(None)
-def exact_solution(spark, d):
-    return _solution(spark, d)[0]
+    return solving.solve(nodes.select("id", "t"), found, overlaps, config), overlaps, found
 
 
 @query(None)
 def greedy_solution(spark, d):
-    return _solution(spark, d, 0)[0]
+    return _solution(spark, d)[0]
 
 
-@query(None)
+@query(
+    """SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('repeated nodes'), ('more than two children'), ('overlapping nodes'), ('links that don''t exist')) AS r(rule)"""
+)
 def solution_validity(spark, d):
     return solving.violations(*_solution(spark, d))
 
