@@ -591,7 +591,8 @@ def greedy_solution(spark, d):
 
 
 @query(
-    """SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('repeated nodes'), ('more than two children'), ('overlapping nodes'), ('links that don''t exist')) AS r(rule)"""
+    """SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('repeated nodes'), ('more than two children'), ('overlapping nodes'), ('links that don''t exist')) AS r(rule)""",
+    "v_nodes",
 )
 def solution_validity(spark, d):
     return solving.violations(*_solution(spark, d))
