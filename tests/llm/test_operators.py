@@ -371,6 +371,28 @@ def test_license_scan(spark):
     assert made == {0: ("MIT", [], 0), 1: ("MIT", [], 0), 2: (None, ["MIT"], 2), 3: (None, [], 0), 4: (None, [], 0), 5: (None, [], 0), 6: (None, [], 0)}
 
 
+def test_licenses_within_documents(spark):
+    """Entire texts between prose, re-wrapped, with other years, spelling and case; cut ones aren't found. Nulls, repeated
+    rows and clashing columns."""
+    import textwrap
+
+    cases = []
+    for name, texts in license_scan.KNOWN.items():
+        for text in (x for x in texts if len(x) > 500):
+            for width in (64, 90, 10_000):
+                body = "\n".join(textwrap.wrap(" ".join(text.split()).upper(), width)).replace("LICENSE", "LICENCE")
+                cases.append((f"Some prose first.\n\nCopyright (c) {1990 + width % 30} A B\n\n{body}\n\nand prose after it.", name))
+            cases.append(("Prose.\n" + text[: len(text) // 2] + "\nmore", None))
+    two = next(t for t in license_scan.KNOWN["MIT"] if len(t) > 500)
+    cases.append((f"a\n{two}\nb\n{two}\nc", "MIT"))
+    data = [(k, t, "x", 1) for k, (t, _) in enumerate(cases)] + [(None, cases[0][0], "x", 1), (0, cases[0][0], "x", 1), (5000, None, None, None)]
+    made = rows(license_scan.license_scan(spark.createDataFrame(data, "doc_id int, text string, kind string, row int")))
+    assert len(made) == len(data)
+    found = {r["doc_id"]: r["part_licenses"] for r in made}
+    assert all((name in found[k]) if name else not found[k] for k, (_, name) in enumerate(cases)), [(c[1], found[k]) for k, c in enumerate(cases)]
+    assert found[5000] == [] and cases[0][1] in found[None] and all(r["text_license"] is None for r in made)
+
+
 def test_license_texts_in_their_usual_forms(spark):
     """Each entire text wrapped anew, behind comment marks and below a title, and copyright notices."""
     import textwrap

@@ -1,8 +1,9 @@
 """Operator 4: licence scan by canonical digests.
 
 A text is brought to a canonical form - lower case, licence spellings made alike, copyright notices and titles dropped,
-punctuation and white space made single spaces - and its digest is looked up, by hash join, among the digests of known licence texts.
-Whole documents are looked up and, as notices stand on lines of their own, each line too; both by entire text.
+punctuation and white space made single spaces - and its digest is looked up, by hash join, among the digests of known
+licence texts. Entire documents are looked up, each of their lines, as notices stand on lines of their own, and, as licences
+stand in longer documents, each passage that begins like a known text and is as long; all by the digest of the entire text.
 """
 
 from __future__ import annotations
@@ -143,35 +144,67 @@ def canonical(text: Column) -> Column:
     return in_one_line(canonical_lines(text))
 
 
+#: Words by which the beginning of a known text is found in a document; shorter texts are looked for as lines only.
+BEGINNING = 8
+
+
+def passages(form: Column, beginnings: dict[str, list[int]]) -> Column:
+    """The passages of a canonical form that begin with one of beginnings and are as long as one of its known texts."""
+    prefixed = lambda beginning: lambda x: F.concat(F.lit(f"{beginning} "), x, F.lit(" "))
+    as_long = lambda n: lambda x: F.substring(x, 1, n + 1)
+    found = []
+    for beginning, lengths in sorted(beginnings.items()):
+        after = F.split(F.concat(F.lit(" "), form, F.lit(" ")), f" {beginning} ")
+        starts = F.transform(F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0))), prefixed(beginning))
+        cut = [F.transform(starts, as_long(n)) for n in lengths]
+        whole = F.filter(F.concat(*cut), lambda x: F.substring(x, -1, 1) == " ")
+        none = F.array().cast("array<string>")
+        found.append(F.when(F.contains(form, F.lit(beginning)), F.transform(whole, lambda x: F.rtrim(x))).otherwise(none))
+    return F.concat(*found) if found else F.array().cast("array<string>")
+
+
 def known_digests(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
-    """(digest, license_id, length of the canonical form), a row a digest: as many as there are known texts at most."""
+    """(digest, license_id, length of the canonical form, how it begins if it is long), a row a digest: as many as there are
+    known texts at most."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
     texts = spark.createDataFrame(rows, "license_id string, text string")
     forms = texts.select("license_id", canonical(F.col("text")).alias("form"))
-    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("length")).agg(F.min("license_id").alias("license_id"))
+    begins = F.when(F.size(F.split("form", " ")) >= 4 * BEGINNING, F.substring_index("form", " ", BEGINNING))
+    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("length"), begins.alias("begins")).agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: dict[str, list[str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: id, text_digest, text_license, line_licenses, n_license_lines.
+    """One row a row of docs: id, text_digest, text_license, line_licenses, n_license_lines, part_licenses.
 
     text_license is the licence that the entire text is, else null; line_licenses lists, sorted and once each, those whose
-    notice is an entire line. A null text is empty; a text without letters or digits is no licence. Equal texts and
-    repeated rows give equal results. The known texts are a parameter, so their broadcast is bounded by it.
+    notice is an entire line, and part_licenses those that stand entire anywhere in the text. A null text is empty; a text
+    without letters or digits is no licence. Texts count whole, however long. Equal texts and repeated rows give equal
+    results, null ids stay, other columns of docs play no part, and an empty table gives an empty result. The known texts
+    are a parameter, so the table that is broadcast is as large as that.
     """
-    known_rows = known_digests(docs.sparkSession, known).collect()
-    table = docs.sparkSession.createDataFrame([(r["digest"], r["license_id"]) for r in known_rows], "digest string, license_id string")
+    spark = docs.sparkSession
+    known_rows = known_digests(spark, known).collect()
+    table = F.broadcast(spark.createDataFrame([(r["digest"], r["license_id"]) for r in known_rows], "digest string, license_id string"))
     # Only lines whose canonical form is as long as that of a known text get a digest.
     lengths = sorted({r["length"] for r in known_rows})
-    literal = F.create_map(*(F.lit(x) for r in known_rows for x in (r["digest"], r["license_id"])))
-    base = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("_lines"))
-    base = base.withColumns({"digest": F.sha2(in_one_line(F.col("_lines")), 256), "_each": F.split("_lines", "\n")})
-    forms = F.filter(F.transform("_each", lambda x: F.trim(x)), lambda x: F.length(x).isin(lengths))
-    hits = F.filter(F.transform(forms, lambda x: F.element_at(literal, F.sha2(x, 256))), lambda x: x.isNotNull())
-    base = base.select("id", "digest", hits.alias("hits"))
-    return base.join(F.broadcast(table), "digest", "left").select(
-        F.col("id").alias(id_col),
-        F.col("digest").alias("text_digest"),
-        F.col("license_id").alias("text_license"),
-        F.array_sort(F.array_distinct("hits")).alias("line_licenses"),
-        F.size("hits").cast("bigint").alias("n_license_lines"),
+    beginnings: dict[str, set[int]] = {}
+    for r in known_rows:
+        if r["begins"]:
+            beginnings.setdefault(r["begins"], set()).add(r["length"])
+    # Rows are told apart by a number, as ids may be null or repeated.
+    base = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("_lines"), F.monotonically_increasing_id().alias("row"))
+    form = in_one_line(F.col("_lines"))
+    lines = F.filter(F.transform(F.split("_lines", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(lengths))
+    digest = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), F.sha2(x, 256).alias("digest"))
+    pieces = F.concat(
+        F.array(digest("text")(F.col("_form"))), F.transform(lines, digest("line")), F.transform(passages(F.col("_form"), {b: sorted(n) for b, n in beginnings.items()}), digest("part"))
     )
+    base = base.withColumn("_form", form).select("id", "row", F.explode(pieces).alias("piece"))
+    hits = base.select("id", "row", "piece.kind", "piece.digest").join(table, "digest", "left")
+    names = lambda kind: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("kind") == kind, F.col("license_id")))))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    hits = hits.where("kind = 'text' or license_id is not null")
+    return hits.groupBy("row", "id").agg(
+        of("text", "digest").alias("text_digest"), of("text", "license_id").alias("text_license"), names("line").alias("line_licenses"),
+        F.count(F.when(F.col("kind") == "line", 1)).alias("n_license_lines"), names("part").alias("part_licenses"),
+    ).select(F.col("id").alias(id_col), "text_digest", "text_license", "line_licenses", "n_license_lines", "part_licenses")

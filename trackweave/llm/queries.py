@@ -41,7 +41,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
-    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("line_licenses", "part_licenses")})
 
 
 def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
