@@ -128,4 +128,18 @@ ORACLE_SQL = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
     "op3_quality_rules": quality_sql(),
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+          ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        n AS MATERIALIZED (SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+        sets AS (SELECT list_sort(s) AS s, n_shingles AS n, min(doc_id) AS id FROM n WHERE n_shingles > 0 GROUP BY ALL),
+        e AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM sets),
+        links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+          GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        turned AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT id, id AS near FROM sets UNION SELECT r.id, b.b FROM reach r JOIN turned b ON b.a = r.near),
+        comp AS (SELECT id, min(near) AS component_id FROM reach GROUP BY 1),
+        named AS (SELECT list_sort(s) AS s, component_id FROM sets JOIN comp USING (id))
+        SELECT doc_id, n_shingles, coalesce(component_id, doc_id) AS component_id FROM n LEFT JOIN named ON list_sort(n.s) = named.s AND n.n_shingles > 0""",
 }
