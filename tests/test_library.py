@@ -298,3 +298,63 @@ def test_relabelling_leaves_no_track_out(spark):
     order = {t: k + 1 for k, t in enumerate(sorted({r["track_id"] for r in tracks}))}
     made = queries.QUERIES["ctc_relabel_all"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((r["id"], r["track_id"]) for r in made) == sorted((r["id"], order[r["track_id"]]) for r in tracks)
+
+
+def walk(track, start, length, parent, y=0.0):
+    """Rows of a track that moves one pixel in x a frame."""
+    return [(track, t, 0.0, y, float(t), parent) for t in range(start, start + length)]
+
+
+WALK = "track_id long, t int, z double, y double, x double, parent_track_id long"
+
+
+def test_stitch_chains(spark):
+    """Two breaks in a row become one track with the last one's id and the first one's parent; what lies far off stays."""
+    made = walk(1, 0, 3, -1) + walk(2, 3, 4, 1, 0.5) + walk(3, 3, 4, 1, 40.0) + walk(4, 7, 3, -1, 0.5) + walk(5, 10, 3, -1, 0.5) + walk(6, 10, 2, -1, 90.0)
+    table = spark.createDataFrame(made, WALK)
+    # A step is 1 long here; a frame's step in x counts, so the limit is widened by an outlier.
+    table = table.unionByName(spark.createDataFrame([(7, 0, 0.0, 60.0, 0.0, -1), (7, 1, 0.0, 70.0, 0.0, -1)], WALK))
+    found = tracks.stitch_tracks(table, 1.0).select("track_id", "t", "parent_track_id").collect()
+    by = {}
+    for track, t, parent in found:
+        by.setdefault((track, parent), set()).add(t)
+    assert by == {(1, -1): {0, 1, 2}, (5, 1): set(range(3, 13)), (3, 1): {3, 4, 5, 6}, (6, -1): {10, 11}, (7, -1): {0, 1}}
+    assert not tracks.stitch_tracks(table.limit(0)).head(1)
+
+
+def test_tree_lengths(spark):
+    rng = np.random.default_rng(3)
+    parent, size = {0: -1, 1: -1}, {k: int(rng.integers(1, 6)) for k in range(40)}
+    for k in range(2, 40):
+        parent[k] = int(rng.integers(0, k))
+    below = {k: [c for c, p in parent.items() if p == k] for k in parent}
+    length = lambda k: size[k] + (1 + np.mean([length(c) for c in below[k]]) if below[k] else 0)
+    table = spark.createDataFrame([r for k in parent for r in walk(k, 0, size[k], parent[k])], WALK)
+    found = {r["root_id"]: r["length"] for r in tracks.tree_lengths(table).collect()}
+    assert found == pytest.approx({k: length(k) for k in (0, 1)})
+
+
+def test_gap_candidates_meet_across_squares(spark):
+    rng = np.random.default_rng(5)
+    made = [(k, int(rng.integers(0, 6)), 0.0, *map(float, rng.uniform(-20, 20, 2)), -1) for k in range(120)]
+    found = rows(tracks.gap_candidates(spark.createDataFrame(made, WALK), 3, 7.0), "end_track", "start_track")
+    near = lambda a, b: 1 <= b[1] - a[1] - 1 <= 3 and np.hypot(a[3] - b[3], a[4] - b[4]) < 7
+    assert found == sorted((a[0], b[0]) for a in made for b in made if near(a, b))
+
+
+def test_regions_of_nodes(spark):
+    grid = spark.createDataFrame([(0, y, x, 1 if x < 3 else 0, y + 10 * x) for y in range(4) for x in range(5)], "t int, y int, x int, label int, intensity int")
+    nodes = spark.createDataFrame([(1, 0, 1.4, 2.4), (2, 0, 1.0, 3.2), (3, 0, -7.0, 0.0), (4, 1, 1.0, 1.0)], "id long, t int, y double, x double")
+    assert rows(pixels.containing(grid, nodes), "id", "label") == [(1, 1)]
+    boxes = spark.createDataFrame([(9, 0, 2, 6, 1, 4, 1)], "id long, t int, y0 int, y1 int, x0 int, x1 int, label int")
+    assert rows(pixels.roi(grid, boxes), "id", "y", "x") == [(9, y, x) for y in (2, 3) for x in (1, 2, 3)]
+    assert rows(pixels.roi(grid, boxes, masked=True), "y", "x") == [(y, x) for y in (2, 3) for x in (1, 2)]
+    features = {r["id"]: r["num_pixels"] for r in pixels.node_features(nodes, grid).collect()}
+    assert features == {1: 12, 2: None, 3: None, 4: None}
+
+
+def test_empty_tables(spark, tmp_path):
+    some = spark.range(3)
+    some.write.parquet(str(tmp_path / "some"))
+    some.limit(0).write.parquet(str(tmp_path / "none"))
+    assert [summary.is_empty(spark, str(tmp_path / x)) for x in ("some", "none", "missing")] == [False, True, True]

@@ -52,14 +52,15 @@ def competing_links(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("_any", any_true).where("_any = 1").drop("_any")
 
 
-def optimized_config(matched: DataFrame, drift: float) -> DataFrame:
-    """One row: parameters that the matched nodes (area, parent_frontier) suggest."""
-    return matched.agg(
-        F.lit(drift + 1.0).alias("max_distance"),
+def optimized_config(matched: DataFrame, drift: DataFrame) -> DataFrame:
+    """One row: parameters that the matched nodes (area, parent_frontier) and the one row of drift suggest."""
+    found = matched.agg(
         (F.min("area") * 0.95).alias("min_area"),
         (F.max("area") * 1.025).alias("max_area"),
         F.greatest(F.min("parent_frontier") - 0.025, F.lit(0.0)).alias("min_frontier"),
     )
+    both = found.join(F.broadcast(drift), F.lit(True) == F.lit(True))
+    return both.select((F.col("drift") + 1.0).alias("max_distance"), *found.columns)
 
 
 def set_values(nodes: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:

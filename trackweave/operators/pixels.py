@@ -31,6 +31,30 @@ def join_measurements(tracks: DataFrame, props: DataFrame) -> DataFrame:
     return tracks.join(props.withColumnRenamed("label", "track_id"), ["t", "track_id"], "left")
 
 
+def containing(pixels: DataFrame, points: DataFrame) -> DataFrame:
+    """points (t, y, x) with the label whose pixel they round to; those outside all labels aren't listed."""
+    inside = pixels.where("label > 0").select("t", F.col("y").alias("_y"), F.col("x").alias("_x"), "label")
+    at = points.withColumns({c: F.bround(F.col(c[1:])).cast("int") for c in ("_y", "_x")})
+    return at.join(inside, ["t", "_y", "_x"]).drop("_y", "_x")
+
+
+def roi(pixels: DataFrame, boxes: DataFrame, masked: bool = False) -> DataFrame:
+    """The pixels in each of boxes (id, t, y0, y1, x0, x1; ends not included), with its id.
+
+    Masked, only those of the label that the box names. Boxes meet pixels by place, so a box costs its area.
+    """
+    cells = boxes.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
+    keys = ["t", "y", "x", *(["label"] if masked else [])]
+    return cells.select("id", *keys).join(pixels, keys)
+
+
+def node_features(nodes: DataFrame, pixels: DataFrame) -> DataFrame:
+    """nodes with the measurements of the region that each lies in; null for a node outside all regions."""
+    within = containing(pixels, nodes.select("id", "t", "y", "x")).select("id", "label")
+    props = region_props(pixels).drop("cy", "cx")
+    return nodes.join(within, "id", "left").join(props, ["t", "label"], "left")
+
+
 def label_displacement(pixels: DataFrame) -> DataFrame:
     """(label, t, area, distance): the way of each label's centroid since its row before; 0 at first."""
     props = region_props(pixels)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import NO_PARENT, reroot
@@ -43,12 +44,12 @@ def without_nodes(nodes: DataFrame, condition: Column) -> DataFrame:
     return reroot(nodes.where(~condition))
 
 
-def outside_margin(margin: int, height: int, width: int) -> Column:
-    """Whether a node's box, of half extent h, doesn't meet the image less a margin."""
+def outside_margin(margin: tuple[int, int], height: int, width: int) -> Column:
+    """Whether a node's box, of half extent h, doesn't meet the image less a margin in y and one in x."""
     low = lambda c: F.floor(F.col(c)) - F.col("h")
     high = lambda c: F.floor(F.col(c)) + F.col("h") + 1
-    meets = lambda c, n: F.greatest(low(c), F.lit(margin)) < F.least(high(c), F.lit(n - margin))
-    return ~(meets("y", height) & meets("x", width))
+    meets = lambda c, m, n: F.greatest(low(c), F.lit(m)) < F.least(high(c), F.lit(n - m))
+    return ~(meets("y", margin[0], height) & meets("x", margin[1], width))
 
 
 def vanishes(scale: float) -> Column:
@@ -79,6 +80,16 @@ def solution_summary(nodes: DataFrame) -> DataFrame:
     )
 
 
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether a table has no rows; one that isn't there has none."""
+    try:
+        return spark.read.parquet(path).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return True
+
+
 def division_parents(nodes: DataFrame) -> DataFrame:
     """(parent_id, children) of the nodes with more than one child."""
     found = nodes.where(F.col("parent_id") != NO_PARENT).groupBy("parent_id").agg(F.count(F.lit(1)).alias("children"))

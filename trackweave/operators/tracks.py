@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import l2
 from ..sources.durable import durable
-from .lineage import NO_PARENT, first_rows, relabel_tracks
+from .lineage import NO_PARENT, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks
 
 AXES = ("z", "y", "x")
 
@@ -113,33 +113,41 @@ def tree_radius(rooted: DataFrame) -> DataFrame:
     return rooted.select("root_id").distinct().join(radius, "root_id", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
 
 
-def tree_lengths(tracks: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(root_id, length): a track's rows, and where it has children one more and the mean of theirs, from leaves up."""
+def tree_lengths(tracks: DataFrame) -> DataFrame:
+    """(root_id, length): a track's rows, and where it has children one more and the mean of theirs, and so on down.
 
-    def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.groupby("track_id").agg(n=("t", "size"), parent=("parent_track_id", "first"))
-        total, below = rows["n"].astype(float).to_dict(), {}
-        for child, parent in rows["parent"].items():
-            below.setdefault(parent, []).append(child)
-        order, stack = [], [int(pdf["root_id"].iloc[0])]
-        while stack:
-            order.append(stack.pop())
-            stack += below.get(order[-1], [])
-        for track in reversed(order):
-            if track in below:
-                total[track] += 1 + float(np.mean([total[c] for c in below[track]]))
-        return pd.DataFrame({"root_id": [order[0]], "length": [total[order[0]]]})
+    A mean of means is a weighted sum over the tree: a track weighs one over the product of how many children each track
+    above it has.
+    """
+    rows = tracks.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    children = inverse_forest(tracks).groupBy(F.col("parent_track_id").alias("ancestor")).agg(F.count(F.lit(1)).alias("children"))
+    above = lineage_pairs(tracks).join(children, "ancestor", "left")
+    share = F.when(F.col("depth") > 0, 1 / F.col("children")).otherwise(F.lit(1.0))
+    own = F.max(F.when((F.col("depth") == 0) & F.col("children").isNotNull(), 1).otherwise(0))
+    weighed = above.groupBy("track_id").agg(F.max_by("ancestor", "depth").alias("root_id"), F.product(share).alias("weight"), own.alias("more"))
+    return weighed.join(rows, "track_id").groupBy("root_id").agg(F.sum(F.col("weight") * (F.col("n") + F.col("more"))).alias("length"))
 
-    return rooted.groupBy("root_id").applyInPandas(one_tree, "root_id bigint, length double")
+
+def _squares(rows: DataFrame, side: str, width: Column, around: bool = False) -> DataFrame:
+    """rows with the square (_gy, _gx) of that width that they lie in; around, once for it and each of the eight beside it."""
+    rows = rows.withColumns({f"_g{c}": F.floor(F.col(f"_{side}{c}") / width) for c in "yx"})
+    if around:
+        for c in "yx":
+            rows = rows.withColumn("_step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"_g{c}", F.col(f"_g{c}") + F.col("_step")).drop("_step")
+    return rows
 
 
 def gap_candidates(tracks: DataFrame, max_gap: int, max_radius: float) -> DataFrame:
-    """(end_track, start_track, gap, dist) of ends and later starts within reach in time and space."""
+    """(end_track, start_track, gap, dist) of ends and later starts within reach in time and space.
+
+    Ends meet the starts of their own and the eight squares around, of the radius' width.
+    """
     ends = track_ends(tracks).select(F.col("track_id").alias("end_track"), F.col("t").alias("t_end"), *(F.col(c).alias(f"_e{c}") for c in AXES))
     starts = track_starts(tracks).select(F.col("track_id").alias("start_track"), F.col("t").alias("t_start"), *(F.col(c).alias(f"_s{c}") for c in AXES))
     ends = ends.withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(max_gap)))).withColumn("t_start", F.col("t_end") + F.col("gap") + 1)
     dist = l2([F.col(f"_e{c}") for c in AXES], [F.col(f"_s{c}") for c in AXES])
-    pairs = ends.join(starts, "t_start").withColumn("dist", dist)
+    width = F.lit(float(max_radius or 1))
+    pairs = _squares(ends, "e", width, around=True).join(_squares(starts, "s", width), ["t_start", "_gy", "_gx"]).withColumn("dist", dist)
     return pairs.where((F.col("dist") < max_radius) & (F.col("end_track") != F.col("start_track"))).select("end_track", "start_track", "gap", "dist")
 
 
@@ -211,8 +219,6 @@ def close_gaps(tracks: DataFrame, max_gap: int, max_radius: float) -> DataFrame:
             continue
         new = interpolated(out, joins).withColumn("parent_track_id", F.lit(NO_PARENT).cast("bigint"))
         # Chains of joins all take the id of their last track.
-        from .lineage import heads
-
         last = heads(out.select(F.col("track_id").alias("id")).distinct().join(joins.select(F.col("end_track").alias("id"), F.col("start_track").alias("parent")), "id", "left").fillna(NO_PARENT, ["parent"]))
         mapping = last.where("id <> root").select(F.col("id").alias("old"), F.col("root").alias("new"))
         merged = relabel_tracks(out.unionByName(new), mapping)
@@ -274,12 +280,25 @@ def filter_short_siblings(rooted: DataFrame, min_length: int) -> DataFrame:
 def stitch_candidates(tracks: DataFrame, quantile: float = 0.99) -> DataFrame:
     """(end_track, start_track, dist): each end's nearest start of the next frame, nearer than the drift, and of those the
     nearest end for each start."""
-    limit = drift(tracks, quantile)
+    limit = F.broadcast(drift(tracks, quantile))
     e = track_ends(tracks).select(F.col("track_id").alias("end_track"), (F.col("t") + 1).alias("t"), *(F.col(c).alias(f"_e{c}") for c in AXES))
     s = track_starts(tracks).select(F.col("track_id").alias("start_track"), "t", *(F.col(c).alias(f"_s{c}") for c in AXES))
     dist = l2([F.col(f"_e{c}") for c in AXES], [F.col(f"_s{c}") for c in AXES])
-    pairs = e.join(s, "t").withColumn("dist", dist).join(F.broadcast(limit), F.col("dist") < F.col("drift"))
+    e, s = (x.join(limit, F.col("drift") > 0) for x in (e, s))
+    pairs = _squares(e, "e", F.col("drift"), around=True).join(_squares(s, "s", F.col("drift")).drop("drift"), ["t", "_gy", "_gx"])
+    pairs = pairs.withColumn("dist", dist).where("dist < drift")
     for side in ("end_track", "start_track"):
         w = Window.partitionBy(side).orderBy("dist", "start_track", "end_track")
         pairs = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return pairs.select("end_track", "start_track", "dist")
+
+
+def stitch_tracks(tracks: DataFrame, quantile: float = 0.99) -> DataFrame:
+    """tracks in which the end and the start of each stitch are one track, all along a chain; it has the last one's id."""
+    joins = durable(stitch_candidates(tracks, quantile).select("end_track", "start_track"))
+    ids = tracks.select(F.col("track_id").alias("id")).distinct()
+    edges = ids.join(joins.toDF("id", "parent"), "id", "left").fillna(NO_PARENT, ["parent"])
+    mapping = heads(edges).where("id <> root").select(F.col("id").alias("old"), F.col("root").alias("new"))
+    merged = relabel_tracks(tracks, mapping)
+    # A stitched track has the parent of its first part; the others are roots.
+    return merged.withColumn("parent_track_id", F.max("parent_track_id").over(Window.partitionBy("track_id")))

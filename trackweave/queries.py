@@ -102,9 +102,40 @@ def margin_filter_reroot(spark, d):
     nodes = view(spark, d, "v_tracks").withColumn("h", F.lit(5))
     before = F.expr("coalesce(lag(id) over (partition by track_id order by t), -1)")
     nodes = nodes.withColumn("parent_id", before)
-    low, high = (lambda c: F.floor(F.col(c)) - F.col("h")), (lambda c: F.floor(F.col(c)) + F.col("h") + 1)
-    meets = (F.greatest(low("y"), F.lit(10)) < F.least(high("y"), F.lit(90))) & (F.greatest(low("x"), F.lit(100)) < F.least(high("x"), F.lit(1340)))
-    return summary.without_nodes(nodes, ~meets).select("id", "parent_id")
+    return summary.without_nodes(nodes, summary.outside_margin((10, 100), 100, 1440)).select("id", "parent_id")
+
+
+@query(
+    """WITH n AS (SELECT tr.id, tr.id % 7 + 3 AS h, coalesce(lag(tr.id) OVER (PARTITION BY track_id ORDER BY tr.t), -1) AS parent_id FROM v_tracks tr),
+    k AS (SELECT * FROM n WHERE (2 * h + 1) * 0.1 >= 1) SELECT k.id, CAST(coalesce(p.id, -1) AS BIGINT) AS parent_id FROM k LEFT JOIN k p ON p.id = k.parent_id""",
+    "v_tracks",
+)
+def rescale_filter_reroot(spark, d):
+    nodes = view(spark, d, "v_tracks").withColumn("h", F.col("id") % 7 + 3)
+    nodes = nodes.withColumn("parent_id", F.expr("coalesce(lag(id) over (partition by track_id order by t), -1)"))
+    return summary.without_nodes(nodes, summary.vanishes(0.1)).select("id", "parent_id")
+
+
+@query("SELECT id, t, area FROM v_nodes WHERE area >= 121 AND t <> 3", "v_nodes")
+def attribute_filter(spark, d):
+    return view(spark, d, "v_nodes").where(summary.compared("area", ">=", 121) & summary.compared("t", "!=", 3)).select("id", "t", "area")
+
+
+@query("SELECT t, area FROM v_nodes WHERE t BETWEEN 3 AND 6", "v_nodes")
+def frame_areas(spark, d):
+    return summary.frame_range(view(spark, d, "v_nodes"), 3, 6).select("t", "area")
+
+
+@query(
+    """WITH h AS (SELECT CAST(floor(log2(area) * 100) AS INT) AS bin, count(*) AS n FROM v_nodes GROUP BY 1),
+    m AS (SELECT bin, list_sort(list(n) OVER (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS five FROM h),
+    s AS (SELECT bin, five[len(five) // 2 + 1] AS smooth FROM m),
+    p AS (SELECT *, coalesce(lag(smooth) OVER (ORDER BY bin), -1) AS before, coalesce(lead(smooth) OVER (ORDER BY bin), -1) AS after FROM s)
+    SELECT bin, smooth FROM p WHERE smooth > before AND smooth >= after ORDER BY smooth DESC, bin LIMIT 5""",
+    "v_nodes",
+)
+def area_peaks(spark, d):
+    return pixels.area_peaks(pixels.area_histogram(view(spark, d, "v_nodes")))
 
 
 @query("SELECT CAST(floor(log2(area) * 100) AS INT) AS bin, count(*) AS n FROM v_nodes GROUP BY 1", "v_nodes")
@@ -272,7 +303,7 @@ def competing_links(spark, d):
 )
 def optimized_config(spark, d):
     nodes = hierarchy.parent_frontier(view(spark, d, "v_hier"))
-    found = matching.optimized_config(nodes, tracks.drift(view(spark, d, "v_tracks")).head()[0])
+    found = matching.optimized_config(nodes, tracks.drift(view(spark, d, "v_tracks")))
     return found.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in found.columns))
 
 
@@ -378,6 +409,31 @@ def gap_candidates(spark, d):
     return tracks.gap_candidates(_shifted(spark, d), 8, 300.0).withColumn("dist", F.round("dist", 6))
 
 
+STITCHES = """WITH RECURSIVE v AS (SELECT track_id, CAST(CASE WHEN parent_track_id = -1 THEN t + 60 ELSE t END AS INT) AS t, z, y, x, id, parent_track_id FROM v_tracks),
+    m AS (SELECT sqrt(pow(coalesce(y - lag(y) OVER w, 0), 2) + pow(coalesce(x - lag(x) OVER w, 0), 2)) AS dist FROM v WINDOW w AS (PARTITION BY track_id ORDER BY v.t)),
+    e AS (SELECT * FROM v WHERE track_id NOT IN (SELECT parent_track_id FROM v) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY v.t DESC) = 1),
+    s AS (SELECT * FROM v WHERE parent_track_id = -1 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY v.t) = 1),
+    c AS (SELECT e.track_id AS end_track, s.track_id AS start_track, sqrt(pow(e.y - s.y, 2) + pow(e.x - s.x, 2)) AS dist FROM e JOIN s ON s.t = e.t + 1),
+    o AS (SELECT * FROM c WHERE dist < (SELECT quantile_cont(m.dist, 0.99) FROM m) QUALIFY row_number() OVER (PARTITION BY end_track ORDER BY dist, start_track) = 1),
+    j AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY start_track ORDER BY dist, end_track) = 1)"""
+
+
+@query(STITCHES + " SELECT end_track, start_track, round(dist, 6) AS dist FROM j", "v_tracks")
+def stitch_candidates(spark, d):
+    return tracks.stitch_candidates(_shifted(spark, d)).withColumn("dist", F.round("dist", 6))
+
+
+@query(
+    STITCHES + """, chain AS (SELECT end_track AS old, start_track AS new, 1 AS n FROM j UNION ALL SELECT chain.old, j.start_track, n + 1 FROM chain JOIN j ON j.end_track = chain.new),
+    final AS (SELECT old, arg_max(new, n) AS new FROM chain GROUP BY 1),
+    r AS (SELECT v.id, v.t, coalesce(f.new, v.track_id) AS track_id, coalesce(p.new, v.parent_track_id) AS parent FROM v LEFT JOIN final f ON f.old = v.track_id LEFT JOIN final p ON p.old = v.parent_track_id)
+    SELECT id, t, track_id, max(parent) OVER (PARTITION BY track_id) AS parent_track_id FROM r""",
+    "v_tracks",
+)
+def stitched_tracks(spark, d):
+    return tracks.stitch_tracks(_shifted(spark, d)).select("id", "t", "track_id", "parent_track_id")
+
+
 @query(
     SHIFTED + """ SELECT start_track AS track_id, CAST(u.k AS INT) AS t, round(ez + (sz - ez) * (u.k - te) / (ts - te), 6) AS z, round(ey + (sy - ey) * (u.k - te) / (ts - te), 6) AS y,
     round(ex + (sx - ex) * (u.k - te) / (ts - te), 6) AS x FROM c, unnest(generate_series(te + 1, ts - 1)) AS u(k) WHERE dist < 300""",
@@ -389,6 +445,23 @@ def interpolate_gap_rows(spark, d):
     return made.withColumns({c: F.round(c, 6) for c in "zyx"})
 
 
+@query(KNN + " SELECT source_id, target_id, round(weight, 6) AS weight, v.t, v.z, v.y, v.x FROM links JOIN v_nodes v ON v.id = target_id WHERE source_id = 100", "v_nodes")
+def node_neighbors(spark, d):
+    found = linking.neighbors_of(links(spark, d), view(spark, d, "v_nodes"), 100)
+    return found.select("source_id", "target_id", F.round("weight", 6).alias("weight"), "t", "z", "y", "x")
+
+
+@query(
+    TREE + """, n AS (SELECT track_id, count(*) AS n FROM v_tracks GROUP BY 1), c AS (SELECT parent_track_id AS track_id, count(*) AS children FROM tr WHERE parent_track_id <> -1 GROUP BY 1),
+    down AS (SELECT track_id, track_id AS root_id, CAST(1 AS DOUBLE) AS weight FROM tr WHERE parent_track_id = -1
+      UNION ALL SELECT t.track_id, o.root_id, o.weight / c.children FROM down o JOIN tr t ON t.parent_track_id = o.track_id JOIN c ON c.track_id = o.track_id)
+    SELECT root_id, round(sum(weight * (n + CASE WHEN children IS NULL THEN 0 ELSE 1 END)), 6) AS length FROM down JOIN n USING (track_id) LEFT JOIN c USING (track_id) GROUP BY 1""",
+    "v_tracks",
+)
+def tree_lengths(spark, d):
+    return tracks.tree_lengths(_tracks(spark, d)).withColumn("length", F.round("length", 6))
+
+
 @query("SELECT * FROM (SELECT lag(id) OVER (PARTITION BY track_id ORDER BY v_tracks.t) AS source, id AS target FROM v_tracks) WHERE source IS NOT NULL", "v_tracks")
 def consecutive_edges(spark, d):
     return lineage.forest_edges(_tracks(spark, d))
@@ -545,6 +618,46 @@ def normalize_gamma(spark, d):
     return pixels.normalize(view(spark, d, "v_pixels"), gamma=0.5).select("t", "y", "x", F.round("value", 6).alias("value"))
 
 
+IN_REGION = "WITH g AS (SELECT v.id, v.t, CAST(round_even(y * 0.64, 0) AS INT) AS cy, CAST(round_even(x * 0.0444, 0) AS INT) AS cx FROM v_nodes v), w AS (SELECT g.*, label FROM g JOIN v_pixels p ON p.t = g.t AND p.y = cy AND p.x = cx WHERE label > 0)"
+
+
+def _on_grid(spark, d):
+    """Nodes with coordinates in pixels."""
+    return view(spark, d, "v_nodes").withColumns({"y": F.col("y") * 0.64, "x": F.col("x") * 0.0444})
+
+
+@query(IN_REGION + " SELECT id, t, label FROM w", "v_nodes", "v_pixels")
+def point_containment(spark, d):
+    return pixels.containing(view(spark, d, "v_pixels"), _on_grid(spark, d).select("id", "t", "y", "x")).select("id", "t", "label")
+
+
+@query(
+    IN_REGION + """ SELECT w.id, CAST(count(*) AS BIGINT) AS n, CAST(sum(intensity) AS DOUBLE) AS intensity FROM w JOIN v_pixels p
+    ON p.t = w.t AND p.label = w.label AND p.y BETWEEN cy - 1 AND cy + 1 AND p.x BETWEEN cx - 1 AND cx + 1 GROUP BY 1""",
+    "v_nodes", "v_pixels",
+)
+def masked_roi(spark, d):
+    p = view(spark, d, "v_pixels")
+    within = pixels.containing(p, _on_grid(spark, d).select("id", "t", "y", "x"))
+    boxes = within.select("id", "t", "label", *((F.bround(c).cast("int") + k).alias(f"{c}{i}") for c in "yx" for i, k in enumerate((-1, 2))))
+    return pixels.roi(p, boxes, masked=True).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").cast("double").alias("intensity"))
+
+
+@query(
+    IN_REGION + """, b AS (SELECT hier_parent_id AS id, max(height) AS birth FROM v_hier WHERE hier_parent_id <> -1 GROUP BY 1),
+    f AS (SELECT p.t, label, count(*) AS num_pixels, round(avg(intensity), 6) AS intensity_mean, round(stddev_pop(intensity), 6) AS intensity_std FROM v_pixels p WHERE label > 0 GROUP BY 1, 2)
+    SELECT v.id, v.t, v.area, w.label, num_pixels, intensity_mean, intensity_std, CAST(height AS DOUBLE) AS node_death,
+    round(coalesce(CAST(birth AS DOUBLE), (SELECT min(height) FROM v_hier) - 1e-5), 6) AS node_birth
+    FROM v_hier v LEFT JOIN w ON w.id = v.id LEFT JOIN f ON f.t = w.t AND f.label = w.label LEFT JOIN b ON b.id = v.id""",
+    "v_nodes", "v_hier", "v_pixels",
+)
+def node_features(spark, d):
+    place = _on_grid(spark, d).select("id", "y", "x")
+    found = pixels.node_features(hierarchy.persistence(view(spark, d, "v_hier")).join(place, "id"), view(spark, d, "v_pixels"))
+    kept = ("id", "t", "area", "label", "num_pixels", "intensity_mean", "intensity_std", "node_death")
+    return found.select(*kept, F.round("node_birth", 6).alias("node_birth"))
+
+
 @query("SELECT t, y, x, CAST(CASE WHEN label > 0 AND label % 4 = t % 4 THEN label + 100 ELSE label END AS INT) AS label FROM v_pixels", "v_pixels")
 def relabel_pixels(spark, d):
     p = view(spark, d, "v_pixels")
