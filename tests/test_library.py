@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackweave.operators import lineage, linking, matching, pixels, solving, summary, tracks
+from trackweave.operators import lineage, linking, matching, pixels, ranks, solving, summary, tracks
 from trackweave.plans.config import Config, TrackingConfig, load_config, save_config
 from trackweave.plans.layout import n_windows, waves, window, window_table
 from trackweave.sources.durable import durable
@@ -358,3 +358,30 @@ def test_empty_tables(spark, tmp_path):
     some.write.parquet(str(tmp_path / "some"))
     some.limit(0).write.parquet(str(tmp_path / "none"))
     assert [summary.is_empty(spark, str(tmp_path / x)) for x in ("some", "none", "missing")] == [False, True, True]
+
+
+def test_components_of_any_graph(spark):
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))] + [(k + 100, k + 101) for k in range(30)] + [(100, 101), (7, 7)]
+    want = {v: v for e in edges for v in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    made = {r["id"]: r["root"] for r in lineage.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert made == want
+    assert lineage.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_quantiles_and_numbers(spark):
+    rng = np.random.default_rng(2)
+    data = [(int(g), None if v == 3 else float(v)) for g, v in zip(rng.integers(0, 4, 600), rng.integers(0, 9, 600) ** 2 // 3)] + [(9, 1.5), (8, None)]
+    df = spark.createDataFrame(data, "g int, v double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    for r in ranks.quantiles(df, "v", shares, ("g",)).collect():
+        assert np.allclose(r["q"], np.quantile([v for g, v in data if g == r["g"] and v is not None], shares))
+    assert np.allclose(ranks.quantiles(df, "v", shares).head()["q"], np.quantile([v for _, v in data if v is not None], shares))
+    assert ranks.quantiles(df.where("v < 0"), "v", [0.5]).head()["q"] == [None]
+    ids = [int(k) for k in rng.permutation(1000)[:300]]
+    made = ranks.numbered(spark.createDataFrame([(k,) for k in ids], "id long").repartition(6), "n", "id")
+    assert rows(made, "n", "id") == list(enumerate(sorted(ids), 1))
+    assert ranks.numbered(spark.createDataFrame([], "id long"), "n", "id").count() == 0

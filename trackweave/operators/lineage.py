@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.durable import durable
+from .ranks import numbered
 
 NO_PARENT = -1
 
@@ -45,9 +46,13 @@ def ancestors(edges: DataFrame, max_steps: int = 64) -> DataFrame:
     raise ValueError("the parents form a cycle")
 
 
-def heads(edges: DataFrame, max_steps: int = 64) -> DataFrame:
-    """(id, root) of every node, from (id, parent); root is where the parents end. Pointer doubling."""
-    state = durable(edges.select("id", F.when(F.col("parent") == NO_PARENT, F.col("id")).otherwise(F.col("parent")).alias("root")))
+def heads(edges: DataFrame, max_steps: int = 64, ends: Column | None = None) -> DataFrame:
+    """(id, root) of every node, from (id, parent); root is where the parents end, at NO_PARENT or as ends tells.
+
+    Pointer doubling.
+    """
+    ends = F.col("parent") == NO_PARENT if ends is None else ends
+    state = durable(edges.select("id", F.when(ends, F.col("id")).otherwise(F.col("parent")).alias("root")))
     for _ in range(max_steps):
         up = state.select(F.col("id").alias("root"), F.col("root").alias("above"))
         state = state.join(up, "root", "left").select("id", "root", F.coalesce("above", "root").alias("above"))
@@ -59,6 +64,27 @@ def heads(edges: DataFrame, max_steps: int = 64) -> DataFrame:
     raise ValueError("the parents form a cycle")
 
 
+def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(id, root) of every end of edges (a, b): the least id that edges connect it with.
+
+    In rounds each root is hung below the least root that an edge leads it to, if that is less; pointer doubling then
+    finds the new roots. Edges within one tree leave, repeated ones are one, so what is left shrinks round by round.
+    """
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    found, left = ends.withColumn("root", F.col("id")), edges.select("a", "b")
+    for _ in range(max_rounds):
+        left = durable(left.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if not left.head(1):
+            return found
+        hung = left.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "id")
+        roots = found.select(F.col("root").alias("id")).distinct().join(hung, "id", "left")
+        state = heads(roots, ends=F.col("parent").isNull())
+        found = durable(found.withColumnRenamed("root", "_old").join(state.toDF("_old", "root"), "_old").select("id", "root"))
+        for side in ("a", "b"):
+            left = left.withColumnRenamed(side, "_old").join(state.toDF("_old", side), "_old").drop("_old")
+    raise ValueError("the components weren't done in time")
+
+
 def track_roots(tracks: DataFrame) -> DataFrame:
     """(track_id, root_id)."""
     edges = first_rows(tracks).select(F.col("track_id").alias("id"), F.col("parent_track_id").alias("parent"))
@@ -156,8 +182,7 @@ def assign_tracks(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
 def add_track_ids(nodes: DataFrame) -> DataFrame:
     """nodes with track_id and parent_track_id, numbered from 1 in depth-first order: roots and children by ids.
 
-    The order is over tracks, one row each, and is dealt by ranges of roots: tasks number their own, a sum over the
-    partitions, of one number each, shifts them.
+    The order is over tracks, one row each.
     """
     labelled = durable(assign_tracks(nodes))
     by_head = labelled.where(F.col("id") == F.col("head_id")).select("head_id", F.col("parent_id").alias("_above"))
@@ -165,16 +190,7 @@ def add_track_ids(nodes: DataFrame) -> DataFrame:
     heads_ = by_head.join(above, "_above", "left").select("head_id", F.coalesce("_parent_head", F.lit(NO_PARENT)).cast("bigint").alias("parent_head"))
     forest_ = heads_.select(F.col("head_id").alias("track_id"), F.col("parent_head").alias("parent_track_id"))
     keys = path_keys(forest_)
-    spread = durable(keys.repartitionByRange("root_id").withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["count"] for r in spread.groupBy("_part").count().collect()}
-    offset, pairs = 0, []
-    for part in sorted(counts):
-        pairs += [F.lit(part), F.lit(offset)]
-        offset += counts[part]
-    if not pairs:
-        return labelled.drop("head_id").withColumns({"track_id": F.lit(0).cast("bigint"), "parent_track_id": F.lit(0).cast("bigint")})
-    number = F.row_number().over(Window.partitionBy("_part").orderBy("root_id", "key")) + F.create_map(*pairs)[F.col("_part")]
-    numbers = spread.select(F.col("track_id").alias("head_id"), number.cast("bigint").alias("track_id"))
+    numbers = numbered(keys.withColumnRenamed("track_id", "head_id"), "track_id", "root_id", "key").select("head_id", "track_id")
     parents = numbers.select(F.col("head_id").alias("parent_head"), F.col("track_id").alias("parent_track_id"))
     table = heads_.join(numbers, "head_id").join(parents, "parent_head", "left")
     table = table.select("head_id", "track_id", F.coalesce("parent_track_id", F.lit(NO_PARENT)).cast("bigint").alias("parent_track_id"))

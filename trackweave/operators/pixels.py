@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import l2, nearest_cell
+from .ranks import quantiles
 
 
 def region_props(pixels: DataFrame) -> DataFrame:
@@ -65,11 +66,11 @@ def label_displacement(pixels: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample deviation, least, quartiles, most."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = rows.agg(
         F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"),
-        F.min(column).alias("least"), q.alias("q"), F.max(column).alias("most"),
+        F.min(column).alias("least"), F.max(column).alias("most"),
     )
+    out = out.join(F.broadcast(quantiles(rows, column, [0.25, 0.5, 0.75])), F.lit(True) == F.lit(True))
     return out.select("n", "mean", "std", "least", *(F.col("q")[k].alias(f"q{25 * (k + 1)}") for k in range(3)), "most")
 
 
@@ -90,11 +91,10 @@ def contours(pixels: DataFrame, labels: str = "label") -> DataFrame:
 
 def normalize(pixels: DataFrame, low: float = 0.01, high: float = 0.99, gamma: float = 1.0) -> DataFrame:
     """pixels with value: intensity less its low quantile, over the high quantile of that, clipped to 0..1, to gamma."""
-    first = pixels.agg(F.percentile(F.col("intensity").cast("double"), F.lit(low)).alias("_low"))
-    shifted = pixels.join(F.broadcast(first), F.lit(True) == F.lit(True)).withColumn("_s", F.col("intensity").cast("double") - F.col("_low"))
-    second = shifted.agg(F.percentile("_s", F.lit(high)).alias("_high"))
-    clipped = F.least(F.greatest(F.col("_s") / F.col("_high"), F.lit(0.0)), F.lit(1.0))
-    return shifted.join(F.broadcast(second), F.lit(True) == F.lit(True)).withColumn("value", F.pow(clipped, F.lit(gamma))).drop("_low", "_s", "_high")
+    bounds = quantiles(pixels, "intensity", [low, high]).withColumnRenamed("q", "_q")
+    share = (F.col("intensity").cast("double") - F.col("_q")[0]) / (F.col("_q")[1] - F.col("_q")[0])
+    clipped = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    return pixels.join(F.broadcast(bounds), F.lit(True) == F.lit(True)).withColumn("value", F.pow(clipped, F.lit(gamma))).drop("_q")
 
 
 def relabel(pixels: DataFrame, changes: DataFrame) -> DataFrame:

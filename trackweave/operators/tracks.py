@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import l2
 from ..sources.durable import durable
-from .lineage import NO_PARENT, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks
+from .lineage import NO_PARENT, components, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks
+from .ranks import numbered, quantiles
 
 AXES = ("z", "y", "x")
 
@@ -25,7 +26,7 @@ def movement(tracks: DataFrame, lag: int = 1, cols=AXES) -> DataFrame:
 def drift(tracks: DataFrame, quantile: float = 0.99) -> DataFrame:
     """(drift): the quantile of all displacements, first rows among them."""
     norm = l2([F.col(c) for c in AXES], [F.lit(0.0)] * 3)
-    return movement(tracks).agg(F.percentile(norm, F.lit(quantile)).alias("drift"))
+    return quantiles(movement(tracks).select(norm.alias("_way")), "_way", [quantile]).select(F.col("q")[0].alias("drift"))
 
 
 def spans(tracks: DataFrame) -> DataFrame:
@@ -60,13 +61,7 @@ def ctc_table(tracks: DataFrame) -> DataFrame:
 
 def sequential_labels(tracks: DataFrame) -> DataFrame:
     """tracks with ids from 1 without gaps, in the order of the old ones, children and parents alike."""
-    ids = durable(first_rows(tracks).select(F.col("track_id").alias("old")).repartitionByRange("old").withColumn("part", F.spark_partition_id()))
-    offset, pairs = 0, [F.lit(-1), F.lit(0)]
-    for row in sorted(ids.groupBy("part").count().collect(), key=lambda r: r["part"]):
-        pairs += [F.lit(row["part"]), F.lit(offset)]
-        offset += row["count"]
-    new = F.row_number().over(Window.partitionBy("part").orderBy("old")) + F.create_map(*pairs)[F.col("part")]
-    return relabel_tracks(tracks, ids.select("old", new.cast("bigint").alias("new")))
+    return relabel_tracks(tracks, numbered(tracks.select(F.col("track_id").alias("old")).distinct(), "new", "old"))
 
 
 def track_starts(tracks: DataFrame) -> DataFrame:
@@ -198,13 +193,18 @@ def close_gaps(tracks: DataFrame, max_gap: int, max_radius: float) -> DataFrame:
 
     Gap by gap, ends and starts are assigned at least total distance among those less than max_radius apart, each at most
     once; the end's track takes the start's id, and rows are interpolated between them. Joins of one gap length don't
-    share an end or a start, and those of a longer one see what the shorter ones joined.
+    share an end or a start, and those of a longer one see what the shorter ones joined. What no chain of candidates
+    connects can't compete, so each connected group of ends and starts is assigned on its own, in one task.
     """
     columns = ["track_id", "t", *AXES, "parent_track_id"]
     out = tracks.select(*columns)
     for gap in range(1, max_gap + 1):
-        pairs = gap_candidates(out, gap, max_radius).where(F.col("gap") == gap)
-        ends = out.groupBy("track_id").agg(F.max("t").alias("t")).withColumnRenamed("track_id", "end_track")
+        pairs = durable(gap_candidates(out, gap, max_radius).where(F.col("gap") == gap).drop("gap"))
+        if not pairs.head(1):
+            continue
+        # A track is an end here and a start there, so ends are told from starts by their sign.
+        groups = components(pairs.select((-1 - F.col("end_track")).alias("a"), F.col("start_track").alias("b")))
+        groups = groups.select(F.col("id").alias("start_track"), F.col("root").alias("_group"))
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
             e, s = np.unique(pdf["end_track"]), np.unique(pdf["start_track"])
@@ -214,9 +214,7 @@ def close_gaps(tracks: DataFrame, max_gap: int, max_radius: float) -> DataFrame:
             found = [(e[a], s[b]) for a, b in assignment(cost) if cost[a, b] < far]
             return pd.DataFrame(found, columns=["end_track", "start_track"])
 
-        joins = durable(pairs.join(ends, "end_track").groupBy("t").applyInPandas(solve, "end_track bigint, start_track bigint"))
-        if not joins.head(1):
-            continue
+        joins = durable(pairs.join(groups, "start_track").groupBy("_group").applyInPandas(solve, "end_track bigint, start_track bigint"))
         new = interpolated(out, joins).withColumn("parent_track_id", F.lit(NO_PARENT).cast("bigint"))
         # Chains of joins all take the id of their last track.
         last = heads(out.select(F.col("track_id").alias("id")).distinct().join(joins.select(F.col("end_track").alias("id"), F.col("start_track").alias("parent")), "id", "left").fillna(NO_PARENT, ["parent"]))

@@ -722,7 +722,16 @@ def short_siblings_filtered(spark, d):
     return tracks.filter_short_siblings(rooted, 60)
 
 
-@query(None)
+@query(
+    FOREST.replace("WITH l", "WITH RECURSIVE l") + """, c AS (SELECT parent_id AS id, count(*) AS k FROM n WHERE parent_id <> -1 GROUP BY 1),
+    m AS (SELECT n.id, n.parent_id, n.parent_id = -1 OR k > 1 AS starts FROM n LEFT JOIN c ON c.id = n.parent_id),
+    walk AS (SELECT id, parent_id, [id] AS heads FROM m WHERE parent_id = -1
+      UNION ALL SELECT m.id, m.parent_id, CASE WHEN starts THEN list_append(heads, m.id) ELSE heads END FROM walk w JOIN m ON m.parent_id = w.id),
+    numbers AS (SELECT heads, row_number() OVER (ORDER BY heads) AS number FROM (SELECT DISTINCT heads FROM walk))
+    SELECT w.id, w.parent_id, CAST(o.number AS BIGINT) AS track_id, CAST(coalesce(p.number, -1) AS BIGINT) AS parent_track_id
+    FROM walk w JOIN numbers o ON o.heads = w.heads LEFT JOIN numbers p ON p.heads = w.heads[:-2] AND len(w.heads) > 1""",
+    "v_tracks",
+)
 def track_ids(spark, d):
     return lineage.add_track_ids(_forest_nodes(spark, d).select("id", "parent_id"))
 
