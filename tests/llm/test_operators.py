@@ -292,6 +292,18 @@ def test_coder_round_trip_and_damage():
                 coder.decode(bytes(broken))
 
 
+def _counted(text, lines, path, rule):
+    """Tokens by line, byte by byte."""
+    found = token_counts.encoding(path)[0]
+    line_of, counts, at = [k for k, line in enumerate(lines) for _ in line.encode()], [0] * len(lines), 0
+    for token in found.encode(text, disallowed_special=()):
+        met = line_of[at : at + len(found.decode_single_token_bytes(token))]
+        at += len(met)
+        counts[{"first": met[0], "last": met[-1], "most": max(sorted(set(met)), key=met.count)}[rule]] += 1
+    assert at == len(line_of)
+    return counts
+
+
 def test_section_tokens(docs, spark):
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     for rule in token_counts.RULES:
@@ -303,7 +315,7 @@ def test_section_tokens(docs, spark):
             text = r["text"] or ""
             found, lines = sorted(made[r["doc_id"]]), text.splitlines(keepends=True) if "\x0b" not in text else [text]
             assert [text[a:b] for _, a, b, _ in found] == (lines or [""])
-            assert sum(x[3] for x in found) == len(token_counts.token_ends(text, path))
+            assert [x[3] for x in found] == _counted(text, lines or [""], path, rule)
     two = spark.createDataFrame([(1, "ab", "cd"), (2, None, "é x"), (3, "", None)], "doc_id int, p string, q string")
     found = sorted((r["doc_id"], r["section"], r["n_tokens"], r["end_char"]) for r in rows(token_counts.section_tokens(two, path, ["p", "q"])))
     assert [(a, b, d) for a, b, _, d in found] == [(1, 0, 2), (1, 1, 4), (2, 0, 0), (2, 1, 3), (3, 0, 0), (3, 1, 0)]
