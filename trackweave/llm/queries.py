@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import cross_alignment
 from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
@@ -16,6 +17,8 @@ from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .quality_rules import quality_rules
+from .sentence_pieces import sentencepiece_round_trip
+from .spelling import spelling_variants
 from .token_counts import section_tokens
 from .token_files import token_files
 
@@ -68,6 +71,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = [
     op1_extract_text,
     op2_exact_dedup,
@@ -79,6 +94,9 @@ OPERATORS = [
     op8_language_id,
     op9_mix_sources,
     op10_bpe_round_trip,
+    op11_align_tokenizers,
+    op12_sentencepiece,
+    op13_spelling_variants,
 ]
 
 
@@ -142,4 +160,19 @@ ORACLE_SQL = {
         comp AS (SELECT id, min(near) AS component_id FROM reach GROUP BY 1),
         named AS (SELECT list_sort(s) AS s, component_id FROM sets JOIN comp USING (id))
         SELECT doc_id, n_shingles, coalesce(component_id, doc_id) AS component_id FROM n LEFT JOIN named ON list_sort(n.s) = named.s AND n.n_shingles > 0""",
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE table_ AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+        r AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+        b AS (SELECT run, k, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS bytes FROM r),
+        h AS (SELECT run, k, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, table_),
+        d AS (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, k FROM h),
+        w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+        s AS MATERIALIZED (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS s FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+        near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM s a JOIN s b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+          UNION SELECT s.word, w.word, w.n FROM s JOIN w ON s.s = w.word UNION SELECT w.word, s.word, s.n FROM s JOIN w ON s.s = w.word),
+        best AS (SELECT word, count(*) AS n_near, max(other_n) AS m, arg_min(other, {'n': -other_n, 'w': encode(other)}) AS other FROM near GROUP BY 1),
+        f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN best ON best.word = w.word),
+        chain AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+        last AS (SELECT chain.word, root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL)
+        SELECT f.word, form, coalesce(root, f.word) AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f LEFT JOIN last ON last.word = f.word""",
 }
