@@ -126,11 +126,10 @@ def _limit(limit: float, slack: float) -> Column:
     return limit + slack / F.sqrt(F.greatest(F.col("_n_words"), F.lit(1)))
 
 
-def nearest(lang: Column, refs: Column) -> Column:
+def nearest(refs: Column) -> Column:
     """(excess, ref_lang, char_distance, word_distance) of the nearest of refs to a document without a listed language.
 
-    A language that is given is held against its own reference and those of the listed ones, null against all. Nearest is
-    where the larger of the two distances, each over its limit, is smallest; null without any reference.
+    Nearest is where the larger of the two distances, each over its limit, is smallest; null without any reference.
     """
 
     def held(ref: Column) -> Column:
@@ -144,8 +143,7 @@ def nearest(lang: Column, refs: Column) -> Column:
         excess = F.greatest(x["char_distance"] / _limit(CHAR_LIMIT, CHAR_SLACK), x["word_distance"] / _limit(WORD_LIMIT, WORD_SLACK))
         return F.struct(excess.alias("excess"), *(x[c].alias(c) for c in ("ref_lang", "char_distance", "word_distance")))
 
-    used = F.filter(refs, lambda r: lang.isNull() | (r["ref_lang"] == lang) | _listed(r["ref_lang"]))
-    return F.array_min(F.transform(F.transform(used, held), ranked))
+    return F.array_min(F.transform(F.transform(refs, held), ranked))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -199,37 +197,30 @@ def _positions() -> Column:
     return F.when(F.size("_twice") <= SEARCHED, searched).otherwise(sorted_)
 
 
-def quality_rules(
-    docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", lang_col: str = "lang"
-) -> DataFrame:
-    """The columns carry of docs (all by default) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, char_distance, word_distance and kept.
+MADE = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed char_distance word_distance kept".split()
 
-    The texts are read once: the features are written to the shared folder, the references come from there. A null text
-    is empty; it and the empty text have no words and fail the base rules. A lang without a list of common words has a
-    reference of its own; its documents, and those with a null lang, have the distances of the nearest reference, see
-    nearest(). Both distances are null where a document is below MIN_WORDS_COMPARED or there is no reference (no long
-    document has a lang), and then don't reject. Repeated rows are judged alike. Columns of docs that have the name of a
-    result are left out. An empty table gives an empty result.
-    """
-    made = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed char_distance word_distance kept".split()
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
-    docs = docs.select(*{text_col: None, **dict.fromkeys(c for c in [lang_col, *carry] if c in docs.columns)})
-    if lang_col not in docs.columns:
-        docs = docs.withColumn(lang_col, F.lit(None).cast("string"))
-    features = with_base_features(with_histograms(docs, text_col, lang_col))
+
+def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """A struct caller of the columns carry of docs (all by default), whatever their names and types, and the columns MADE."""
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    own = [F.col(f"`{c.replace('`', '``')}`") for c in (docs.columns if carry is None else carry)]
+    docs = docs.select(F.struct(*own).alias("caller"), F.col(text_col).alias("text"), lang.alias("lang"))
+    features = with_base_features(with_histograms(docs))
     base = ["n_symbols", "n_dup_lines", "n_repeat_words", "_n_words", "_word_chars", "_char_hist", "_word_hist"]
-    lang, long_enough = F.col(lang_col), F.col("_n_words") >= MIN_WORDS_COMPARED
+    lang, long_enough = F.col("lang"), F.col("_n_words") >= MIN_WORDS_COMPARED
     counts = F.when(~_listed(lang) & long_enough, F.col("_word_counts")).alias("_word_counts")
-    features = written(features.select(*dict.fromkeys([*carry, lang_col]), *base, counts), "quality")
-    refs = written(references(features, lang_col), "references")
-    # A row for each listed language, whatever the input: a proven bound for the broadcast.
-    own = F.broadcast(refs.where(_listed(F.col("ref_lang"))))
-    out = features.join(own, lang == F.col("ref_lang"), "left")
-    # One row, with a reference for each language that lang_col names.
-    each = F.collect_list(F.struct("ref_lang", "ref_char", "ref_word", _slots().alias("ref_at"))).alias("_refs")
-    out = out.crossJoin(F.broadcast(refs.agg(each)))
-    out = out.withColumn("_nearest", F.when(~_listed(lang) & long_enough, nearest(lang, F.col("_refs")))).drop("_refs")
+    features = written(features.select("caller", "lang", *base, counts), "quality")
+    refs = written(references(features).withColumn("ref_at", _slots()), "references")
+    # A row for each listed language, whatever the input: a proven bound for the broadcast, and for their list.
+    listed, ref = refs.where(_listed(F.col("ref_lang"))), F.struct("ref_lang", "ref_char", "ref_word", "ref_at")
+    out = features.join(F.broadcast(listed.select(F.col("ref_lang").alias("_own_lang"), "ref_char", "ref_word")), lang == F.col("_own_lang"), "left")
+    out = out.crossJoin(F.broadcast(listed.agg(F.collect_list(ref).alias("_refs"))))
+    # Any other language has a reference of its own, and there may be any number of them.
+    others = refs.where(~_listed(F.col("ref_lang"))).select(F.col("ref_lang").alias("_other_lang"), F.array(ref).alias("_other_ref"))
+    if others.head(1):
+        out = out.join(others, lang == F.col("_other_lang"), "left")
+        out = out.withColumn("_refs", F.concat("_refs", F.coalesce("_other_ref", F.slice("_refs", 1, 0))))
+    out = out.withColumn("_nearest", F.when(~_listed(lang) & long_enough, nearest(F.col("_refs"))))
     either = lambda hist, ref, c: F.when(_listed(lang), js_distance(F.col(hist), F.col(ref))).otherwise(F.col("_nearest")[c])
     out = out.withColumns(
         {
@@ -243,4 +234,21 @@ def quality_rules(
     near = F.coalesce(F.col("char_distance") <= _limit(CHAR_LIMIT, CHAR_SLACK), F.lit(True)) & F.coalesce(
         F.col("word_distance") <= _limit(WORD_LIMIT, WORD_SLACK), F.lit(True)
     )
-    return out.withColumns({"base_failed": failed, "kept": ~failed & near}).select(*carry, *made)
+    return out.withColumns({"base_failed": failed, "kept": ~failed & near}).select("caller", *MADE)
+
+
+def quality_rules(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The columns carry of docs (all by default) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, char_distance, word_distance and kept.
+
+    The texts are read once: the features are written to the shared folder, the references come from there. A null text
+    is empty; it and the empty text have no words and fail the base rules; texts may have any length. A lang without a
+    list of common words has a reference of its own, which its documents are held against beside those of the listed
+    languages; those with a null lang are held against the listed ones; the nearest counts, see nearest(). Both distances
+    are null where a document is below MIN_WORDS_COMPARED or there is no reference (no long document names its language, or
+    a listed one), and then don't reject. Repeated rows are judged alike. Columns of docs may have any name; those that
+    have the name of a result are left out. An empty table gives an empty result.
+    """
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
+    found = judged(docs, text_col, lang_col, carry)
+    return found.select(*(F.col("caller").getField(c).alias(c) for c in carry), *MADE)
