@@ -46,6 +46,22 @@ def test_stages(docs):
     assert Counter((r["doc_id"], r["ids_sha256"]) for r in last) == want
 
 
+def test_stages_carry_any_column(spark):
+    """Columns with the names that stages use, and a map, come through; repeated rows count as they do without them."""
+    text = lambda k, n=120: " ".join(w if j % 2 else f"{w}{k}v{j}" for j, w in enumerate("house the river of stone and".split() * (n // 6)))
+    given = [(k, text(k), "en", "ab"[k % 2]) for k in range(12)] + [(3, text(3), "en", "b"), (30, text(4), "en", "a"), (None, text(99), None, None), (31, None, "en", "a")]
+    names = "dotted.name ref_lang _text kept n_words text_sha256 _copies _copy caller id digest copies count component_id _refs ref_char row lang2"
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in names.split()) + ", m map<string,int>"
+    docs = spark.createDataFrame([(*r, *(f"{c} {k}" for c in names.split()), {"k": k}) for k, r in enumerate(given)], schema)
+    plain = docs.select("doc_id", "text", "lang", "source")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, plain = (written(stage(spark, x, ""), "stage") for x in (docs, plain))
+        assert Counter(docs.select(plain.columns).collect()) == Counter(plain.collect()) and plain.count()
+        for r in docs.collect():
+            assert {r[c] for c in names.split()} == {f"{c} {r['m']['k']}" for c in names.split()} and given[r["m"]["k"]][:2] == (r["doc_id"], r["text"])
+    assert docs.columns == [x.split()[0].strip("`") for x in schema.split(", ")]
+
+
 def test_run_on_an_empty_table(empty, tmp_path):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(empty.sparkSession, str(tmp_path)).count() == 0
