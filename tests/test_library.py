@@ -131,66 +131,12 @@ def test_windows_agree_with_one_window(spark):
     assert whole == parts == sorted((i, i - 10 if t else -1) for i, t in chain)
 
 
-FOREST = [(1, -1), (2, 1), (3, 1), (4, 2), (5, 2), (6, -1), (7, 6), (8, 6)]
-
-
-def forest(spark, pairs=FOREST):
-    return spark.createDataFrame([(k, t, 0.0, float(k), float(t), 10 * k + t, p) for k, p in pairs for t in range(2)], "track_id long, t int, z double, y double, x double, id long, parent_track_id long")
-
-
-def test_subgraphs(spark):
-    df = forest(spark)
-    members = lambda ids: {r["track_id"] for r in lineage.subgraph(df, ids).collect()}
-    assert members([3]) == {1, 2, 3, 4, 5} and members([3, 7]) == set(range(1, 9)) and members([9, 10]) == set()
-    assert {r["track_id"] for r in lineage.subtree(df, 2).collect()} == {2, 4, 5}
-    assert rows(lineage.inorder(df), "root_id", "position", "track_id") == [(1, 0, 4), (1, 1, 2), (1, 2, 5), (1, 3, 1), (1, 4, 3), (6, 0, 7), (6, 1, 6), (6, 2, 8)]
-    paths = rows(lineage.paths_to_roots(df, track_index=4), "id", "track_id", "parent_track_id")
-    assert paths == [(10, 4, -1), (11, 4, -1), (20, 4, -1), (21, 4, -1), (40, 4, -1), (41, 4, -1)]
-    assert [r[0] for r in rows(lineage.paths_to_roots(df, node_index=40), "id")] == [10, 11, 20, 21, 40]
-
-
-def test_track_ids(spark):
-    edges = [(k, k - 1 if k else -1) for k in range(10)] + [(10, 9)] + [(k, k - 1) for k in range(11, 20)] + [(20, 9)] + [(k, k - 1) for k in range(21, 30)] + [(40, -1), (41, 40)]
-    made = {r["id"]: (r["track_id"], r["parent_track_id"]) for r in lineage.add_track_ids(spark.createDataFrame(edges, "id long, parent_id long")).collect()}
-    assert {made[k] for k in range(10)} == {(1, -1)} and {made[k] for k in range(10, 20)} == {(2, 1)}
-    assert {made[k] for k in range(20, 30)} == {(3, 1)} and made[40] == made[41] == (4, -1)
-
-
 def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k - 1 if k else -1) for k in range(300)], "id long, parent long")
     assert {r["root"] for r in lineage.heads(edges).collect()} == {0}
     assert lineage.ancestors(edges).count() == 300 * 299 // 2
 
 
-def test_short_siblings(spark):
-    def track(k, parent, start, n):
-        return [(k, t, 0.0, 0.0, 0.0, 100 * k + t, parent) for t in range(start, start + n)]
-
-    data = track(1, -1, 0, 2) + track(2, 1, 2, 1) + track(3, 1, 2, 4) + track(4, 3, 6, 4) + track(5, 3, 6, 4)
-    df = spark.createDataFrame(data, "track_id long, t int, z double, y double, x double, id long, parent_track_id long")
-    out = tracks.filter_short_siblings(lineage.with_roots(df), 3)
-    assert {(r["track_id"], r["parent_track_id"]) for r in out.collect()} == {(1, -1), (4, 1), (5, 1)} and out.count() == 14
-
-
-def test_gap_closing(spark):
-    data = [(1, t, 0.0, float(t), 0.0, t, -1) for t in range(3)] + [(2, t, 0.0, float(t), 0.5, 20 + t, -1) for t in range(5, 8)] + [(3, t, 0.0, 50.0, 0.0, 30 + t, -1) for t in range(5, 8)]
-    df = spark.createDataFrame(data, "track_id long, t int, z double, y double, x double, id long, parent_track_id long")
-    out = tracks.close_gaps(df, 2, 3.5)
-    made = rows(out.where("track_id <> 3"), "track_id", "t", "y")
-    assert [(k, t) for k, t, _ in made] == [(2, t) for t in range(8)] and out.count() == 11
-    assert tracks.close_gaps(df, 1, 3.5).count() == 9
-
-
-def test_assignment_is_best():
-    rng = np.random.default_rng(3)
-    for n, m in [(1, 1), (3, 3), (4, 6), (6, 4), (5, 5)]:
-        cost = rng.uniform(0, 1, (n, m))
-        found = tracks.assignment(cost)
-        short, wide = min(n, m), max(n, m)
-        best = min(sum(cost[a, b] if n <= m else cost[b, a] for a, b in enumerate(p)) for p in itertools.permutations(range(wide), short))
-        assert len(found) == short and sum(cost[a, b] for a, b in found) == pytest.approx(best)
-
-
 def test_identical_frames_link_to_themselves(spark):
     nodes = spark.createDataFrame([(10 * t + k, t, 0.0, 5.0 * k, 3.0 * k, 4, 81) for t in range(3) for k in range(6)], "id long, t int, z double, y double, x double, h int, area int")
     found = linking.knn_links(nodes, 12.0, 3)
@@ -308,20 +254,6 @@ def walk(track, start, length, parent, y=0.0):
 WALK = "track_id long, t int, z double, y double, x double, parent_track_id long"
 
 
-def test_stitch_chains(spark):
-    """Two breaks in a row become one track with the last one's id and the first one's parent; what lies far off stays."""
-    made = walk(1, 0, 3, -1) + walk(2, 3, 4, 1, 0.5) + walk(3, 3, 4, 1, 40.0) + walk(4, 7, 3, -1, 0.5) + walk(5, 10, 3, -1, 0.5) + walk(6, 10, 2, -1, 90.0)
-    table = spark.createDataFrame(made, WALK)
-    # A step is 1 long here; a frame's step in x counts, so the limit is widened by an outlier.
-    table = table.unionByName(spark.createDataFrame([(7, 0, 0.0, 60.0, 0.0, -1), (7, 1, 0.0, 70.0, 0.0, -1)], WALK))
-    found = tracks.stitch_tracks(table, 1.0).select("track_id", "t", "parent_track_id").collect()
-    by = {}
-    for track, t, parent in found:
-        by.setdefault((track, parent), set()).add(t)
-    assert by == {(1, -1): {0, 1, 2}, (5, 1): set(range(3, 13)), (3, 1): {3, 4, 5, 6}, (6, -1): {10, 11}, (7, -1): {0, 1}}
-    assert not tracks.stitch_tracks(table.limit(0)).head(1)
-
-
 def test_tree_lengths(spark):
     rng = np.random.default_rng(3)
     parent, size = {0: -1, 1: -1}, {k: int(rng.integers(1, 6)) for k in range(40)}

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import l2
 from ..sources.durable import durable
-from .lineage import NO_PARENT, components, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks
+from .assigning import assigned, nearest_total
+from .lineage import NO_PARENT, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks, track_roots
 from .ranks import numbered, quantiles
 
 AXES = ("z", "y", "x")
@@ -156,147 +155,208 @@ def interpolated(tracks: DataFrame, joins: DataFrame) -> DataFrame:
     return rows.select(F.col("start_track").alias("track_id"), "t", *((F.col(f"_e{c}") + (F.col(f"_s{c}") - F.col(f"_e{c}")) * share).alias(c) for c in AXES))
 
 
-def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost, each row and column once: shortest augmenting paths with potentials."""
-    if cost.shape[0] > cost.shape[1]:
-        return [(b, a) for a, b in assignment(cost.T)]
-    n, m = cost.shape
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    owner, column_of = np.full(m, -1), np.full(n, -1)
-    for row in range(n):
-        best, via, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        at, base = row, 0.0
-        while at >= 0:
-            reduced = base + cost[at] - row_price[at] - col_price
-            closer = ~seen & (reduced < best)
-            best[closer], via[closer] = reduced[closer], at
-            column = int(np.argmin(np.where(seen, np.inf, best)))
-            seen[column], base, at = True, best[column], owner[column]
-        # Rows and columns on the way get the price by which they were nearer than its end.
-        row_price[row] += base
-        for c in np.flatnonzero(seen):
-            if owner[c] >= 0:
-                row_price[owner[c]] += base - best[c]
-                col_price[c] -= base - best[c]
-        # From the free column back, every row takes the column it was reached by.
-        while True:
-            taker = int(via[column])
-            owner[column] = taker
-            column_of[taker], column = column, int(column_of[taker])
-            if taker == row:
-                break
-    return [(int(owner[c]), c) for c in range(m) if owner[c] >= 0]
+def gap_joins(tracks: DataFrame, max_gap: int, max_radius: float) -> DataFrame:
+    """(end_track, start_track) of the gaps that close_gaps() closes."""
+    ends = durable(track_ends(tracks).select(F.col("track_id").alias("id"), "t", *AXES))
+    starts = durable(track_starts(tracks).select(F.col("track_id").alias("id"), "t", *AXES))
+    joins = None
+    for gap in range(1, max_gap + 1):
+        own = ends.withColumn("t", F.col("t") + gap + 1)
+        if joins is not None:
+            own, starts_left = (x.join(joins.select(F.col(c).alias("id")), "id", "left_anti") for x, c in ((own, "end_track"), (starts, "start_track")))
+        else:
+            starts_left = starts
+        found = assigned(own, starts_left, "t").where(F.col("dist") < max_radius)
+        found = durable(found.select(F.col("left_id").alias("end_track"), F.col("right_id").alias("start_track")))
+        joins = found if joins is None else durable(joins.unionByName(found))
+    return ends.select(F.col("id").alias("end_track"), F.col("id").alias("start_track")).limit(0) if joins is None else joins
+
+
+def _first_of_chain(tracks: DataFrame, joins: DataFrame) -> DataFrame:
+    """(old, new): what the tracks of each chain of joins are called that aren't its first."""
+    edges = tracks.select(F.col("track_id").alias("id")).distinct().join(joins.select(F.col("start_track").alias("id"), F.col("end_track").alias("parent")), "id", "left")
+    return heads(edges.fillna(NO_PARENT, ["parent"])).where("id <> root").select(F.col("id").alias("old"), F.col("root").alias("new"))
 
 
 def close_gaps(tracks: DataFrame, max_gap: int, max_radius: float) -> DataFrame:
     """tracks (track_id, t, z, y, x, parent_track_id) with gaps of up to max_gap frames closed.
 
-    Gap by gap, ends and starts are assigned at least total distance among those less than max_radius apart, each at most
-    once; the end's track takes the start's id, and rows are interpolated between them. Joins of one gap length don't
-    share an end or a start, and those of a longer one see what the shorter ones joined. What no chain of candidates
-    connects can't compete, so each connected group of ends and starts is assigned on its own, in one task.
+    Gap by gap, the ends of each frame and the starts as many frames later are assigned at least total distance over all
+    their pairs; then those max_radius apart or more are given up. An end or a start that is joined takes no part in
+    longer gaps. The start's track takes the id and the parent of the end's, all along a chain; children follow; rows are
+    interpolated between the two.
     """
-    columns = ["track_id", "t", *AXES, "parent_track_id"]
-    out = tracks.select(*columns)
-    for gap in range(1, max_gap + 1):
-        pairs = durable(gap_candidates(out, gap, max_radius).where(F.col("gap") == gap).drop("gap"))
-        if not pairs.head(1):
-            continue
-        # A track is an end here and a start there, so ends are told from starts by their sign.
-        groups = components(pairs.select((-1 - F.col("end_track")).alias("a"), F.col("start_track").alias("b")))
-        groups = groups.select(F.col("id").alias("start_track"), F.col("root").alias("_group"))
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            e, s = np.unique(pdf["end_track"]), np.unique(pdf["start_track"])
-            far = 1 + pdf["dist"].sum()
-            cost = np.full((len(e), len(s)), far)
-            cost[np.searchsorted(e, pdf["end_track"]), np.searchsorted(s, pdf["start_track"])] = pdf["dist"]
-            found = [(e[a], s[b]) for a, b in assignment(cost) if cost[a, b] < far]
-            return pd.DataFrame(found, columns=["end_track", "start_track"])
-
-        joins = durable(pairs.join(groups, "start_track").groupBy("_group").applyInPandas(solve, "end_track bigint, start_track bigint"))
-        new = interpolated(out, joins).withColumn("parent_track_id", F.lit(NO_PARENT).cast("bigint"))
-        # Chains of joins all take the id of their last track.
-        last = heads(out.select(F.col("track_id").alias("id")).distinct().join(joins.select(F.col("end_track").alias("id"), F.col("start_track").alias("parent")), "id", "left").fillna(NO_PARENT, ["parent"]))
-        mapping = last.where("id <> root").select(F.col("id").alias("old"), F.col("root").alias("new"))
-        merged = relabel_tracks(out.unionByName(new), mapping)
-        # A joined track has the parent of its first part, whose last part had none.
-        merged = merged.withColumn("parent_track_id", F.max("parent_track_id").over(Window.partitionBy("track_id")))
-        out = durable(merged)
-    return out
-
+    rows = tracks.select("track_id", "t", *AXES, "parent_track_id")
+    joins = gap_joins(rows, max_gap, max_radius)
+    new = interpolated(rows, joins).withColumn("parent_track_id", F.lit(NO_PARENT).cast("bigint"))
+    merged = relabel_tracks(rows.unionByName(new), durable(_first_of_chain(rows, joins)))
+    # A joined track has the parent of its first part; the others had none.
+    return durable(merged.withColumn("parent_track_id", F.max("parent_track_id").over(Window.partitionBy("track_id"))))
+
+
+def _fate(c: Column, n: Column, f: str, min_length: int) -> tuple[Column, Column]:
+    """What a track makes of its open child, which is childless (c) or not and n long, if f are the columns of its rule."""
+    short = c & (n <= min_length)
+    through = F.col(f"{f}through")
+    return (
+        F.when(short, F.col(f"{f}short_c")).when(through, c).otherwise(F.col(f"{f}long_c")),
+        F.when(short, F.col(f"{f}short_n")).when(through, n + F.col(f"{f}add")).otherwise(F.col(f"{f}long_n")),
+    )
 
-def filter_short_siblings(rooted: DataFrame, min_length: int) -> DataFrame:
-    """From leaves up: of two children, exactly one of which is childless and at most min_length long, that one goes and
-    the other merges into the parent. rooted has root_id; trees are independent."""
-    schema = "track_id bigint, t int, z double, y double, x double, id bigint, parent_track_id bigint"
-
-    def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.groupby("track_id").agg(parent=("parent_track_id", "first"), n=("t", "size"))
-        parent, n = first["parent"].to_dict(), first["n"].to_dict()
-        below: dict[int, list[int]] = {}
-        for child, above in parent.items():
-            if above in parent:
-                below.setdefault(above, []).append(child)
-        if any(len(v) != 2 for v in below.values()):
-            raise ValueError("a track has one child or more than two")
-        label = {k: k for k in parent}
-        order, stack = [], [k for k in parent if parent[k] not in parent]
-        while stack:
-            order.append(stack.pop())
-            stack += below.get(order[-1], [])
-        gone = set()
-        for track in reversed(order):
-            children = below.get(track)
-            if not children:
-                continue
-            short = [c for c in children if c not in below and n[c] <= min_length]
-            if len(short) == 1:
-                other = next(c for c in children if c != short[0])
-                gone.add(short[0])
-                label[other] = track
-                n[track] += n[other]
-                below.pop(track)
-                if other in below:
-                    below[track] = below.pop(other)
-                    for c in below[track]:
-                        parent[c] = track
-
-        def final(k: int) -> int:
-            while label[k] != k:
-                k = label[k]
-            return k
-
-        out = pdf[~pdf["track_id"].isin(gone)].copy()
-        out["track_id"] = out["track_id"].map(final)
-        out["parent_track_id"] = out["track_id"].map(parent)
-        return out.sort_values(["track_id", "t"])[[c.split()[0] for c in schema.split(", ")]]
-
-    return rooted.groupBy("root_id").applyInPandas(one_tree, schema)
 
+def merged_lengths(rows: DataFrame, min_length: int) -> DataFrame:
+    """(track_id, childless, length) of all tracks once everything below them is decided, from (track_id, n, a, b): a and b are
+    the children, null for a leaf.
 
-def stitch_candidates(tracks: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """(end_track, start_track, dist): each end's nearest start of the next frame, nearer than the drift, and of those the
-    nearest end for each start."""
+    A child is short if it is childless and at most min_length long; of two children, exactly one of which is short, the
+    other becomes part of the parent. A track with one decided child is a rule on what the other one comes to: short, or
+    not, and then either a fixed result or the child's with a length added. Such rules follow one another, so chains of
+    them halve in every round, as chains of pointers do, while decided children decide their parents: log2 rounds of any
+    forest's size, and no task that holds a tree.
+    """
+    rows = durable(rows)
+    known = durable(rows.where("a IS NULL").select("track_id", F.lit(True).alias("childless"), F.col("n").alias("length")))
+    open_ = rows.where("a IS NOT NULL")
+    rules: DataFrame | None = None
+    while True:
+        side = lambda x: known.select(F.col("track_id").alias(x), F.col("childless").alias(f"{x}_c"), F.col("length").alias(f"{x}_n"))
+        state = durable(open_.join(side("a"), "a", "left").join(side("b"), "b", "left"))
+        short = {x: F.col(f"{x}_c") & (F.col(f"{x}_n") <= min_length) for x in "ab"}
+        one = short["a"] != short["b"]
+        stays = lambda kind: F.when(short["a"], F.col(f"b_{kind}")).otherwise(F.col(f"a_{kind}"))
+        both = F.col("a_c").isNotNull() & F.col("b_c").isNotNull()
+        new = state.where(both).select("track_id", F.when(one, stays("c")).otherwise(F.lit(False)).alias("childless"), F.when(one, F.col("n") + stays("n")).otherwise(F.col("n")).alias("length"))
+        # Rules of tracks of which one child has come to be known.
+        half = state.where(F.col("a_c").isNull() != F.col("b_c").isNull())
+        c, n = F.coalesce("a_c", "b_c"), F.coalesce("a_n", "b_n")
+        is_short = c & (n <= min_length)
+        made = half.select(
+            "track_id", F.when(F.col("a_c").isNull(), F.col("a")).otherwise(F.col("b")).alias("to"), is_short.alias("through"), F.col("n").alias("add"),
+            F.when(is_short, F.lit(False)).otherwise(c).alias("short_c"), F.when(is_short, F.col("n")).otherwise(F.col("n") + n).alias("short_n"), F.lit(False).alias("long_c"), F.col("n").alias("long_n"),
+        )
+        rules = made if rules is None else rules.unionByName(made.join(rules.select("track_id"), "track_id", "left_anti"))
+        rules = durable(rules)
+        # A rule on a track that is one itself becomes one on what that is on.
+        after = rules.select(F.col("track_id").alias("to"), *(F.col(x).alias(f"_{x}") for x in rules.columns if x != "track_id"))
+        steps = rules.join(after, "to", "left")
+        short_c, short_n = _fate(F.col("_short_c"), F.col("_short_n"), "", min_length)
+        long_c, long_n = _fate(F.col("_long_c"), F.col("_long_n"), "", min_length)
+        is_step, passed = F.col("_to").isNotNull(), F.col("_through") & F.col("through")
+        fixed = lambda own, reached: F.when(F.col("_through"), F.col(own)).otherwise(reached)
+        joined = {
+            "to": F.coalesce("_to", "to"), "through": F.when(is_step, passed).otherwise(F.col("through")), "add": F.when(is_step, F.col("add") + F.col("_add")).otherwise(F.col("add")),
+            "short_c": F.when(is_step, short_c).otherwise(F.col("short_c")), "short_n": F.when(is_step, short_n).otherwise(F.col("short_n")),
+            "long_c": F.when(is_step, fixed("long_c", long_c)).otherwise(F.col("long_c")), "long_n": F.when(is_step, fixed("long_n", long_n)).otherwise(F.col("long_n")),
+        }
+        rules = steps.select("track_id", *(v.alias(k) for k, v in joined.items()))
+        ends = rules.join(known.select(F.col("track_id").alias("to"), "childless", "length"), "to")
+        c, n = _fate(F.col("childless"), F.col("length"), "", min_length)
+        new = durable(new.unionByName(ends.select("track_id", c.alias("childless"), n.alias("length"))).dropDuplicates(["track_id"]))
+        known = durable(known.unionByName(new))
+        open_ = durable(open_.join(new.select("track_id"), "track_id", "left_anti"))
+        rules = durable(rules.join(new.select("track_id"), "track_id", "left_anti"))
+        if not open_.head(1):
+            return known
+
+
+def short_sibling_mapping(tracks: DataFrame, min_length: int) -> DataFrame:
+    """(old, new) of the tracks that filter_short_siblings() changes; new is null for those that go. For tracks and segments."""
+    first = tracks.groupBy("track_id").agg(F.min("parent_track_id").alias("parent"), F.count(F.lit(1)).alias("n"))
+    first = durable(first)
+    below = first.groupBy(F.col("parent").alias("track_id")).agg(F.min("track_id").alias("a"), F.max("track_id").alias("b"), F.count(F.lit(1)).alias("children"))
+    rows = durable(first.join(below, "track_id", "left"))
+    if rows.where("children <> 2").head(1):
+        raise ValueError("a track has one child or more than two")
+    known = merged_lengths(rows.select("track_id", "n", "a", "b"), min_length)
+    is_short = known.select("track_id", (F.col("childless") & (F.col("length") <= min_length)).alias("short"))
+    pairs = rows.where("a IS NOT NULL").select("track_id", "a", "b")
+    for x in "ab":
+        pairs = pairs.join(is_short.toDF(x, f"short_{x}"), x)
+    pairs = durable(pairs.where("short_a <> short_b"))
+    gone = pairs.select(F.when(F.col("short_a"), F.col("a")).otherwise(F.col("b")).alias("old"), F.lit(None).cast("bigint").alias("new"))
+    taken = pairs.select(F.when(F.col("short_a"), F.col("b")).otherwise(F.col("a")).alias("id"), F.col("track_id").alias("parent"))
+    edges = first.select(F.col("track_id").alias("id")).join(taken, "id", "left").fillna(NO_PARENT, ["parent"])
+    return gone.unionByName(heads(edges).where("id <> root").select(F.col("id").alias("old"), F.col("root").alias("new")))
+
+
+def filter_short_siblings(tracks: DataFrame, min_length: int) -> DataFrame:
+    """tracks without short siblings. From leaves up: of two children, exactly one of which is childless and at most
+    min_length long, that one goes and the other merges into the parent, which takes over its children. ValueError if a track
+    has one child or more than two."""
+    mapping = durable(short_sibling_mapping(tracks, min_length))
+    kept = tracks.join(mapping.where("new IS NULL").select(F.col("old").alias("track_id")), "track_id", "left_anti")
+    found = relabel_tracks(kept, mapping.where("new IS NOT NULL"))
+    # The parent of a merged track's first part is that of the whole.
+    top = tracks.select(F.col("track_id"), F.col("parent_track_id").alias("_top")).distinct()
+    found = found.join(relabel_tracks(top.withColumnRenamed("_top", "parent_track_id").join(mapping.select(F.col("old").alias("track_id")), "track_id", "left_anti"), mapping.where("new IS NOT NULL")).select("track_id", F.col("parent_track_id").alias("_top")), "track_id")
+    return found.withColumn("parent_track_id", F.col("_top")).drop("_top")
+
+
+def _near_stitches(tracks: DataFrame, quantile: float) -> DataFrame:
+    """(t, end_track, start_track, dist): ends, and starts of the next frame t nearer than the drift."""
     limit = F.broadcast(drift(tracks, quantile))
     e = track_ends(tracks).select(F.col("track_id").alias("end_track"), (F.col("t") + 1).alias("t"), *(F.col(c).alias(f"_e{c}") for c in AXES))
     s = track_starts(tracks).select(F.col("track_id").alias("start_track"), "t", *(F.col(c).alias(f"_s{c}") for c in AXES))
     dist = l2([F.col(f"_e{c}") for c in AXES], [F.col(f"_s{c}") for c in AXES])
     e, s = (x.join(limit, F.col("drift") > 0) for x in (e, s))
     pairs = _squares(e, "e", F.col("drift"), around=True).join(_squares(s, "s", F.col("drift")).drop("drift"), ["t", "_gy", "_gx"])
-    pairs = pairs.withColumn("dist", dist).where("dist < drift")
+    return pairs.withColumn("dist", dist).where("dist < drift").select("t", "end_track", "start_track", "dist")
+
+
+def _mutually_nearest(pairs: DataFrame) -> DataFrame:
+    """Each end's nearest start, and of those the nearest end for each start; of equal distances the least ids."""
     for side in ("end_track", "start_track"):
         w = Window.partitionBy(side).orderBy("dist", "start_track", "end_track")
         pairs = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return pairs.select("end_track", "start_track", "dist")
+    return pairs
 
 
-def stitch_tracks(tracks: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """tracks in which the end and the start of each stitch are one track, all along a chain; it has the last one's id."""
-    joins = durable(stitch_candidates(tracks, quantile).select("end_track", "start_track"))
-    ids = tracks.select(F.col("track_id").alias("id")).distinct()
-    edges = ids.join(joins.toDF("id", "parent"), "id", "left").fillna(NO_PARENT, ["parent"])
-    mapping = heads(edges).where("id <> root").select(F.col("id").alias("old"), F.col("root").alias("new"))
-    merged = relabel_tracks(tracks, mapping)
+def stitch_candidates(tracks: DataFrame, quantile: float = 0.99) -> DataFrame:
+    """(end_track, start_track, dist): each end's nearest start of the next frame, nearer than the drift, and of those the
+    nearest end for each start."""
+    return _mutually_nearest(_near_stitches(tracks, quantile)).select("end_track", "start_track", "dist")
+
+
+def stitch_tracks(tracks: DataFrame, quantile: float = 0.99, selected: DataFrame | None = None) -> DataFrame:
+    """tracks in which the end and the start of each stitch are one track, all along a chain; it has the first one's id.
+
+    Without selected all ends and all starts take part, and all tracks stay. With it, a table of track_id, ends of selected
+    tracks take starts of tracks that aren't; what descends from a track so taken is selected from its frame on, and all
+    tracks that aren't selected in the end go. Frames with candidates are decided one after the other, as what they select
+    decides on later ones.
+    """
+    if selected is None:
+        joins = durable(stitch_candidates(tracks, quantile).select("end_track", "start_track"))
+    else:
+        joins, selected = _joins_of_selected(tracks, quantile, selected)
+        tracks = tracks.join(selected, "track_id", "left_semi")
+    merged = relabel_tracks(tracks, durable(_first_of_chain(tracks, joins)))
     # A stitched track has the parent of its first part; the others are roots.
     return merged.withColumn("parent_track_id", F.max("parent_track_id").over(Window.partitionBy("track_id")))
+
+
+def _joins_of_selected(tracks: DataFrame, quantile: float, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(end_track, start_track) of all stitches, and the track_ids that are selected in the end."""
+    near = durable(_near_stitches(tracks, quantile))
+    roots = durable(track_roots(tracks))
+    selected = durable(selected.select("track_id").distinct())
+    joins = durable(near.select("end_track", "start_track").limit(0))
+    for row in near.select("t").distinct().orderBy("t").collect():  # one row a frame
+        open_ = near.where(F.col("t") == row["t"]).join(selected.withColumnRenamed("track_id", "end_track"), "end_track", "left_semi")
+        new = _mutually_nearest(open_.join(selected.withColumnRenamed("track_id", "start_track"), "start_track", "left_anti"))
+        new = durable(new.select("end_track", "start_track"))
+        if new.head(1):
+            below = roots.join(new.select(F.col("start_track").alias("root_id")), "root_id", "left_semi").select("track_id")
+            selected, joins = durable(selected.unionByName(below).distinct()), durable(joins.unionByName(new))
+    return joins, selected
+
+
+def first_frame_tracks(tracks: DataFrame, markers: DataFrame, stitch: bool = False, quantile: float = 0.99) -> DataFrame:
+    """The tracks that descend from roots of frame 0 which markers (id, z, y, x) are assigned to, at least total distance.
+
+    Roots are the rows of frame 0, whichever track they are of. With stitch, see stitch_tracks().
+    """
+    first = tracks.where("t = 0").select(F.col("track_id").alias("id"), *AXES)
+    taken = nearest_total(markers, first).select(F.col("right_id").alias("root_id"))
+    chosen = durable(track_roots(tracks).join(taken, "root_id", "left_semi").select("track_id"))
+    return stitch_tracks(tracks, quantile, chosen) if stitch else tracks.join(chosen, "track_id", "left_semi")

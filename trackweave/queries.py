@@ -424,7 +424,7 @@ def stitch_candidates(spark, d):
 
 
 @query(
-    STITCHES + """, chain AS (SELECT end_track AS old, start_track AS new, 1 AS n FROM j UNION ALL SELECT chain.old, j.start_track, n + 1 FROM chain JOIN j ON j.end_track = chain.new),
+    STITCHES + """, chain AS (SELECT start_track AS old, end_track AS new, 1 AS n FROM j UNION ALL SELECT chain.old, j.end_track, n + 1 FROM chain JOIN j ON j.start_track = chain.new),
     final AS (SELECT old, arg_max(new, n) AS new FROM chain GROUP BY 1),
     r AS (SELECT v.id, v.t, coalesce(f.new, v.track_id) AS track_id, coalesce(p.new, v.parent_track_id) AS parent FROM v LEFT JOIN final f ON f.old = v.track_id LEFT JOIN final p ON p.old = v.parent_track_id)
     SELECT id, t, track_id, max(parent) OVER (PARTITION BY track_id) AS parent_track_id FROM r""",
@@ -711,15 +711,63 @@ def solution_validity(spark, d):
     return solving.violations(*_solution(spark, d))
 
 
-@query(None)
+def _closed_gaps_sql(max_gap: int, radius: float) -> str:
+    """All assignments of the few ends of a frame to starts are listed, gap by gap, and the one of least total is taken."""
+    parts, used = [], "SELECT NULL AS start_track WHERE FALSE"
+    for k in range(1, max_gap + 1):
+        parts += [
+            f"p{k} AS (SELECT *, dense_rank() OVER (PARTITION BY te ORDER BY end_track) AS n FROM c WHERE gap = {k} AND start_track NOT IN ({used}))",
+            f"m{k} AS (SELECT te, n, [start_track] AS s, [end_track] AS e, [dist] AS d, dist AS total FROM p{k} WHERE n = 1 UNION ALL"
+            f" SELECT m.te, p.n, list_append(s, start_track), list_append(e, end_track), list_append(d, dist), total + dist FROM m{k} m JOIN p{k} p ON p.te = m.te AND p.n = m.n + 1 AND NOT list_contains(s, start_track))",
+            f"b{k} AS (SELECT te, s, e, d FROM m{k} QUALIFY row_number() OVER (PARTITION BY te ORDER BY n DESC, total) = 1)",
+            f"j{k} AS (SELECT * FROM (SELECT unnest(e) AS end_track, unnest(s) AS start_track, unnest(d) AS dist FROM b{k}) WHERE dist < {radius})",
+        ]
+        used = " UNION ALL ".join(f"SELECT start_track FROM j{x}" for x in range(1, k + 1))
+    joins = " UNION ALL ".join(f"SELECT end_track, start_track FROM j{x}" for x in range(1, max_gap + 1))
+    return SHIFTED.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ", ".join(parts) + f""", j AS ({joins}),
+    chain AS (SELECT start_track AS old, end_track AS new, 1 AS n FROM j UNION ALL SELECT chain.old, j.end_track, n + 1 FROM chain JOIN j ON j.start_track = chain.new),
+    final AS (SELECT old, arg_max(new, n) AS new FROM chain GROUP BY 1),
+    made AS (SELECT j.start_track AS track_id, CAST(u.k AS INT) AS t, ez + (sz - ez) * (u.k - te) / (ts - te) AS z, ey + (sy - ey) * (u.k - te) / (ts - te) AS y,
+      ex + (sx - ex) * (u.k - te) / (ts - te) AS x, CAST(-1 AS BIGINT) AS parent_track_id FROM j JOIN c USING (end_track, start_track), unnest(generate_series(te + 1, ts - 1)) AS u(k)),
+    every AS (SELECT * FROM v UNION ALL SELECT * FROM made),
+    r AS (SELECT w.t, w.z, w.y, w.x, coalesce(f.new, w.track_id) AS track_id, coalesce(p.new, w.parent_track_id) AS parent FROM every w LEFT JOIN final f ON f.old = w.track_id LEFT JOIN final p ON p.old = w.parent_track_id)
+    SELECT track_id, t, round(z, 6) AS z, round(y, 6) AS y, round(x, 6) AS x, max(parent) OVER (PARTITION BY track_id) AS parent_track_id FROM r"""
+
+
+@query(_closed_gaps_sql(8, 300.0), "v_tracks")
 def closed_gaps(spark, d):
-    return tracks.close_gaps(_shifted(spark, d), 8, 300.0)
+    return tracks.close_gaps(_shifted(spark, d), 8, 300.0).withColumns({c: F.round(c, 6) for c in "zyx"})
 
 
 @query(None)
+def first_frame_tracks(spark, d):
+    """Tracks from the regions of the first frame, at the places of their centroids."""
+    regions = pixels.region_props(view(spark, d, "v_pixels")).where("t = 0")
+    markers = regions.select(F.col("label").cast("bigint").alias("id"), F.lit(0.0).alias("z"), (F.col("cy") * 5).alias("y"), (F.col("cx") * 20).alias("x"))
+    return tracks.first_frame_tracks(_tracks(spark, d), markers)
+
+
+def _short_siblings_sql(min_length: int, levels: int) -> str:
+    """Level by level from the leaves; trees of the given tables are that high at most."""
+    parts = ["s0 AS (SELECT n.track_id, TRUE AS c, n FROM n WHERE track_id NOT IN (SELECT parent FROM n))"]
+    for k in range(1, levels):
+        parts.append(
+            f"s{k} AS (SELECT * FROM s{k - 1} UNION SELECT p.track_id, CASE WHEN a.sh <> b.sh THEN CASE WHEN a.sh THEN b.c ELSE a.c END ELSE FALSE END, p.n + CASE WHEN a.sh <> b.sh THEN CASE WHEN a.sh THEN b.n ELSE a.n END ELSE 0 END"
+            f" FROM kids JOIN n p ON p.track_id = kids.track_id JOIN (SELECT *, c AND n <= {min_length} AS sh FROM s{k - 1}) a ON a.track_id = kids.a JOIN (SELECT *, c AND n <= {min_length} AS sh FROM s{k - 1}) b ON b.track_id = kids.b)"
+        )
+    return f"""WITH RECURSIVE n AS (SELECT track_id, min(parent_track_id) AS parent, count(*) AS n FROM v_tracks GROUP BY 1),
+    kids AS (SELECT parent AS track_id, min(track_id) AS a, max(track_id) AS b FROM n WHERE parent <> -1 GROUP BY 1), {", ".join(parts)},
+    f AS (SELECT track_id, c AND n <= {min_length} AS sh FROM s{levels - 1}),
+    d AS (SELECT kids.track_id, CASE WHEN x.sh THEN a ELSE b END AS gone, CASE WHEN x.sh THEN b ELSE a END AS stays FROM kids JOIN f x ON x.track_id = a JOIN f y ON y.track_id = b WHERE x.sh <> y.sh),
+    up AS (SELECT track_id AS old, track_id AS new, 0 AS k FROM n UNION ALL SELECT up.old, d.track_id, k + 1 FROM up JOIN d ON d.stays = up.new),
+    label AS (SELECT old, arg_max(new, k) AS new FROM up GROUP BY 1)
+    SELECT v.id, v.t, l.new AS track_id, coalesce(q.new, -1) AS parent_track_id FROM v_tracks v JOIN label l ON l.old = v.track_id JOIN n ON n.track_id = l.new LEFT JOIN label q ON q.old = n.parent
+    WHERE v.track_id NOT IN (SELECT gone FROM d)"""
+
+
+@query(_short_siblings_sql(60, 3), "v_tracks")
 def short_siblings_filtered(spark, d):
-    rooted = lineage.with_roots(_tracks(spark, d))
-    return tracks.filter_short_siblings(rooted, 60)
+    return tracks.filter_short_siblings(_tracks(spark, d), 60).select("id", "t", "track_id", "parent_track_id")
 
 
 @query(
