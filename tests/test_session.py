@@ -1,6 +1,7 @@
 """The façade, formats and streaming on made-up frames."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave.plans.config import Config, LinkingConfig, SegmentationConfig, TrackingConfig
 from trackweave.plans.session import Status, Tracker
@@ -24,6 +25,40 @@ def test_track(tracker):
     assert all(r["parent_track_id"] == -1 for r in tracks)
 
 
+def test_ground_truth_and_classifiers(tracker, spark):
+    """The objects that tracking found are the truth: nodes are told from what isn't by their features, links by distance."""
+    rows = [(t, y, x, 1) for t in range(3) for y in range(4, 10) for x in range(4 + t, 10 + t)] + [(t, y, x, 2) for t in range(3) for y in range(20, 25) for x in range(20, 25)]
+    truth = spark.createDataFrame(rows, "t int, y int, x int, label int")
+    own = Tracker(spark, Config(SegmentationConfig(min_area=12), LinkingConfig(max_distance=60.0), TrackingConfig(link_function="identity")))
+    own.use_nodes(tracker.nodes).link().match_to_ground_truth(truth, optimize_config=True)
+    areas = {r["area"]: r["gt_track_id"] for r in own.nodes.where("gt_track_id > 0").collect()}
+    assert areas == {36: 1, 25: 2} and own.nodes.where("gt_track_id > 0").count() == 6
+    assert own.nodes.where("gt_track_id = 0").count() == own.nodes.count() - 6
+    assert own.config.segmentation.min_area == 23 and own.config.segmentation.max_area == 37 and 2 <= own.config.linking.max_distance <= 3
+    shade = spark.createDataFrame([(t, y, x, 10.0 * y) for t, y, x, _ in rows], "t int, y int, x int, intensity double")
+    features = own.get_nodes_features(shade, {"rows": F.count_distinct("y")})
+    big = features.where("area = 36").head()
+    assert (big["box_height"], big["box_width"], big["rows"], big["intensity_mean"], big["intensity_max"]) == (6, 6, 6, 65.0, 90.0)
+    model = own.fit_links(features, ["area", "intensity_mean"])
+    own.predict_links(features, ["area", "intensity_mean"], model)
+    same = {(r["same"], r["weight"] > 0.5) for r in own.links.join(own.nodes.selectExpr("id AS source_id", "gt_track_id AS a"), "source_id").join(own.nodes.selectExpr("id AS target_id", "gt_track_id AS b"), "target_id").selectExpr("a = b AND a > 0 AS same", "weight").collect()}
+    assert (True, True) in same and (False, True) not in same
+    own.predict_nodes(features, ["area"], own.fit_nodes(features, ["area"]))
+    assert own.nodes.where("node_prob is null or node_prob < 0 or node_prob > 1").count() == 0
+    assert "gt_track_id" not in own.clear("truth").nodes.columns
+
+
+def test_border_of_the_image(tracker, spark):
+    """With a border as wide as the frame all starts and ends are free, so no weak link is worth its cost."""
+    config = Config(tracking=TrackingConfig(link_function="identity", image_border_size=(40.0, 40.0), appear_weight=-5.0, disappear_weight=-5.0))
+    own = Tracker(spark, config).use_nodes(tracker.nodes).add_links(tracker.links)
+    with pytest.raises(ValueError):
+        own.solve()
+    free = own.solve((32, 32)).solution.agg(F.sum(F.when(F.col("parent_id") == -1, F.col("objective")))).head()[0]
+    own.config.tracking.image_border_size = None
+    assert free >= own.solve().solution.agg(F.sum(F.when(F.col("parent_id") == -1, F.col("objective")))).head()[0]
+
+
 def test_steps_need_the_ones_before(spark):
     with pytest.raises(ValueError):
         Tracker(spark).link()
