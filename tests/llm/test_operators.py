@@ -341,6 +341,33 @@ def test_language_id(docs, spark):
     assert all(r["lang_pred"] == sorted(words)[r["doc_id"] % 3] for r in found if r["held_out"])
 
 
+def test_language_predictions_by_hand(docs, spark):
+    """Prototypes as sums over the learned rows and cosines, word for word, for documents of mixed languages and odd ones."""
+    import random
+
+    rng, words = random.Random(9), {"en": "the and with that house which", "fr": "les une dans pour avec maison", "de": "der und nicht haus einen sich"}
+    mixed = [(500 + k, " ".join(rng.choices((words[a] + " " + words[b]).split(), k=25)), rng.choice([a, a, a, None]), "x") for k, (a, b) in enumerate([(a, b) for a in words for b in words] * 5)]
+    given = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string"))
+    known = rows(given)
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    letters = lambda t: bool(t) and any(c.isalpha() for c in t)
+    model = defaultdict(lambda: [0] * 1024)
+    for r in known:
+        if fold(r["doc_id"]) and r["lang"] is not None and letters(r["text"]):
+            model[r["lang"]] = [a + int(b) for a, b in zip(model[r["lang"]], language_id.bundle(r["text"]), strict=True)]
+    want = Counter()
+    for r in known:
+        best = ("und", 0.0)
+        if letters(r["text"]):
+            v = [int(x) for x in language_id.bundle(r["text"])]
+            norm = math.sqrt(sum(x * x for x in v))
+            cosine = {x: sum(a * b for a, b in zip(v, m, strict=True)) / (norm * math.sqrt(sum(a * a for a in m))) for x, m in model.items()}
+            best = min(cosine.items(), key=lambda c: (-round(c[1], 5), c[0]))
+        want[r["doc_id"], not fold(r["doc_id"]), best[0], round(max(best[1], 0), 3)] += 1
+    made = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 3)) for r in rows(language_id.language_id(given)))
+    assert made == want
+
+
 def test_bundle_is_sum_of_bound_vectors():
     letters = " ab \U00010428 а х "
     v = language_id.letter_vectors(np.array([0 if c == " " else ord(c) for c in letters])).astype(int)
