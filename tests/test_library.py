@@ -66,7 +66,7 @@ def total(chosen, nodes, links, overlaps, config=CONFIG):
     return value + config.disappear_weight * sum(i not in children and frame[i] < max(frame.values()) for i in used)
 
 
-def test_selection_against_brute_force(spark):
+def test_selection_against_brute_force(spark, one_partition):
     """Consistent, its own objective right, and on these graphs not far from the best of all sets of links."""
     gap = best_of_all = 0.0
     for seed in range(2):
@@ -100,14 +100,15 @@ def test_best_links_are_a_plain_greedy_pass(spark):
         assert rows(solving.best_links(rows_, solving.both_ways(pairs)), "source_id", "target_id") == sorted(taken)
 
 
-def test_fixed_values(spark):
+def test_fixed_values(spark, one_partition):
     """A chain 1-2-3 with a branch 1-4, and 5 that overlaps 2."""
     nodes, links, overlaps = tables(spark, [(1, 0), (2, 1), (4, 1), (5, 1), (3, 2)], [(1, 2, 0.9), (2, 3, 0.8), (1, 4, 0.3), (5, 3, 0.5)], [(2, 5)])
     solve = lambda n=nodes, **o: rows(solving.solve(n, links, overlaps, CONFIG, **o), "id", "parent_id")
-    assert solve() == [(1, -1), (2, 1), (3, 2), (4, 1)] or solve() == [(1, -1), (2, 1), (3, 2)]
+    assert solve() in ([(1, -1), (2, 1), (3, 2), (4, 1)], [(1, -1), (2, 1), (3, 2)])
     fix = lambda c, i, v: nodes.withColumn(f"fixed_{c}", F.when(F.col("id") == i, F.lit(v)))
     assert (4, 1) in solve(fix("division", 1, True)) and (4, 1) not in solve(fix("division", 1, False))
-    assert (3, 5) in solve(fix("node", 5, True)) and 2 not in dict(solve(fix("node", 5, True)))
+    with_five = solve(fix("node", 5, True))
+    assert (3, 5) in with_five and 2 not in dict(with_five)
     assert (2, -1) in solve(fix("appear", 2, True))
     no_link = spark.createDataFrame([(2, 3, False)], "source_id long, target_id long, fixed boolean")
     assert (3, 2) not in solve(fixed_links=no_link)
@@ -115,13 +116,11 @@ def test_fixed_values(spark):
         solve(fix("division", 2, True))
     with pytest.raises(ValueError):
         solve(nodes.withColumn("node_prob", F.when(F.col("id") == 1, 0.5).otherwise(-1.0)))
-    gained = solve(nodes.withColumn("node_prob", F.lit(2.0)))
-    assert {i for i, _ in gained} == {1, 2, 3, 4}
-    marked = solving.annotated(nodes.withColumn("node_annot", F.when(F.col("id") == 5, 1).otherwise(0)))
-    assert 5 in dict(solve(marked))
+    marked = solving.annotated(nodes.withColumn("node_annot", F.when(F.col("id") == 5, 1).otherwise(0)).withColumn("node_prob", F.lit(2.0)))
+    assert {i for i, _ in solve(marked)} == {1, 3, 4, 5}
 
 
-def test_windows_agree_with_one_window(spark):
+def test_windows_agree_with_one_window(spark, one_partition):
     chain = [(10 * t + k, t) for t in range(12) for k in range(3)]
     nodes = spark.createDataFrame(chain, "id long, t int")
     links = spark.createDataFrame([(10 * t + k, 10 * (t + 1) + j, 1.0 if j == k else 0.1) for t in range(11) for k in range(3) for j in range(3)], "source_id long, target_id long, weight double")
