@@ -188,15 +188,21 @@ def shifted(frame: np.ndarray, fill: float) -> np.ndarray:
     return np.stack([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
 
 
-def reconstruction(seed: np.ndarray, mask: np.ndarray, steps: int = 10_000) -> np.ndarray:
+def dilated(frame: np.ndarray) -> np.ndarray:
+    """The largest of each pixel and its eight neighbours."""
+    p = np.pad(frame, 1, constant_values=-np.inf)
+    rows = np.maximum(np.maximum(p[:-2], p[1:-1]), p[2:])
+    return np.maximum(np.maximum(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:])
+
+
+def reconstruction(seed: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """seed dilated again and again below mask, until nothing changes."""
     out = np.minimum(seed, mask)
-    for _ in range(steps):
-        new = np.minimum(shifted(out, -np.inf).max(0), mask)
+    while True:
+        new = np.minimum(dilated(out), mask)
         if np.array_equal(new, out):
-            break
+            return out
         out = new
-    return out
 
 
 def otsu(values: np.ndarray, bins: int = 256) -> float:

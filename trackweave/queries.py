@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.geometry import inside_border, link_function
-from .operators import hierarchy, lineage, linking, matching, pixels, solving, summary, tracks
+from .operators import hierarchy, lineage, linking, matching, measures, pixels, rasters, solving, summary, tracks
 from .plans.config import TrackingConfig
 from .plans.layout import window_table
 from .sources.views import view, with_views
@@ -784,6 +784,79 @@ def track_ids(spark, d):
     return lineage.add_track_ids(_forest_nodes(spark, d).select("id", "parent_id"))
 
 
+# Whole frames
+
+SIDE = 64
+INSIDE = "f AS (SELECT t, y, x FROM v_pixels WHERE label > 0)"
+DISTANCES = f"""WITH {INSIDE}, b AS (SELECT t, y, x FROM (SELECT DISTINCT t FROM v_pixels), (SELECT CAST(range AS INT) AS y FROM range({SIDE})), (SELECT CAST(range AS INT) AS x FROM range({SIDE}))
+      EXCEPT SELECT t, y, x FROM f),
+    d AS (SELECT f.t, f.y, f.x, coalesce(sqrt(min((f.y - b.y) * (f.y - b.y) + (f.x - b.x) * (f.x - b.x))), CAST('inf' AS DOUBLE)) AS distance
+      FROM f LEFT JOIN b ON b.t = f.t GROUP BY 1, 2, 3)"""
+
+
+@query(DISTANCES + " SELECT t, y, x, round(distance, 6) AS distance FROM d", "v_pixels")
+def distance_to_background(spark, d):
+    inside = view(spark, d, "v_pixels").where("label > 0")
+    return rasters.distance_transform(inside, SIDE, SIDE).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    DISTANCES + """, m AS (SELECT t, max(distance) AS most FROM d GROUP BY 1)
+    SELECT v.t, v.y, v.x, round(CASE WHEN d.distance IS NULL THEN 1.0 WHEN most = CAST('inf' AS DOUBLE) THEN 0.0 ELSE 1 - d.distance / most END, 6) AS value
+    FROM v_pixels v LEFT JOIN d ON d.t = v.t AND d.y = v.y AND d.x = v.x LEFT JOIN m ON m.t = v.t""",
+    "v_pixels",
+)
+def inverted_distance(spark, d):
+    return rasters.inverted_distances(view(spark, d, "v_pixels"), SIDE, SIDE).withColumn("value", F.round("value", 6))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT t, y, x, CAST(intensity AS DOUBLE) - 20 AS v FROM v_pixels
+      UNION SELECT p.t, p.y, p.x, least(r.v, p.intensity) FROM r JOIN v_pixels p ON p.t = r.t AND p.y BETWEEN r.y - 1 AND r.y + 1 AND p.x BETWEEN r.x - 1 AND r.x + 1
+        AND least(r.v, p.intensity) > p.intensity - 20)
+    SELECT t, y, x, max(v) AS value FROM r GROUP BY 1, 2, 3""",
+    "v_pixels",
+)
+def reconstructed_background(spark, d):
+    rows = view(spark, d, "v_pixels").withColumns({"seed": F.col("intensity") - 20, "mask": F.col("intensity")})
+    return rasters.reconstruct(rows, tile=16)
+
+
+@query("SELECT DISTINCT t, CAST(-3 * t AS BIGINT) AS dy, CAST(2 * t AS BIGINT) AS dx FROM v_pixels", "v_pixels")
+def sequence_drift(spark, d):
+    """The sum of all frames, moved by a known way in each one."""
+    seen = view(spark, d, "v_pixels")
+    whole = seen.groupBy("y", "x").agg(F.sum("intensity").alias("intensity"))
+    frames = seen.select("t").distinct()
+    moved = whole.join(frames, F.col("t").isNotNull()).withColumns({"y": F.pmod(F.col("y") + 3 * F.col("t"), F.lit(SIDE)), "x": F.pmod(F.col("x") - 2 * F.col("t"), F.lit(SIDE))})
+    return rasters.sequence_shifts(moved, SIDE, SIDE)
+
+
+MEASURES = ["area", "extent", "centroid_y", "bbox_y0", "bbox_x1", "equivalent_diameter", "axis_major_length", "eccentricity", "intensity_sum", "weighted_x"]
+
+
+@query(
+    """WITH m AS (SELECT t, label, max(intensity) AS most FROM v_pixels WHERE label > 0 GROUP BY 1, 2),
+    a AS (SELECT v.t, v.label, count(*) AS area, count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)) AS extent, avg(y) AS centroid_y, min(y) AS bbox_y0, max(x) + 1 AS bbox_x1,
+      sum(intensity) AS intensity_sum, sum(x * intensity) / sum(intensity) AS weighted_x, max(intensity) - min(intensity) AS intensity_range,
+      avg(CASE WHEN 2 * intensity > most THEN 1.0 ELSE 0.0 END) AS bright_share, var_pop(y) + 1 / 12 AS yy, var_pop(x) + 1 / 12 AS xx, covar_pop(x, y) AS xy
+      FROM v_pixels v JOIN m ON m.t = v.t AND m.label = v.label GROUP BY 1, 2),
+    e AS (SELECT *, (yy + xx) / 2 + sqrt(((yy - xx) / 2) * ((yy - xx) / 2) + xy * xy) AS l1, (yy + xx) / 2 - sqrt(((yy - xx) / 2) * ((yy - xx) / 2) + xy * xy) AS l2 FROM a)
+    SELECT t, label, area, bbox_y0, bbox_x1, round(extent, 6) AS extent, round(centroid_y, 6) AS centroid_y, round(sqrt(4 * area / pi()), 6) AS equivalent_diameter,
+      round(4 * sqrt(l1), 6) AS axis_major_length, round(sqrt(greatest(1 - l2 / l1, 0)), 4) AS eccentricity, CAST(intensity_sum AS DOUBLE) AS intensity_sum, round(weighted_x, 6) AS weighted_x,
+      CAST(intensity_range AS DOUBLE) AS intensity_range, round(bright_share, 6) AS bright_share FROM e""",
+    "v_pixels",
+)
+def region_measures(spark, d):
+    extra = {
+        "intensity_range": (F.max("intensity") - F.min("intensity")).cast("double"),
+        "bright_share": lambda y, x, v: (2 * v > v.max()).mean(),
+    }
+    made = measures.measured(view(spark, d, "v_pixels"), MEASURES, extra)
+    made = made.withColumn("intensity_sum", F.col("intensity_sum").cast("double")).withColumn("eccentricity", F.round("eccentricity", 4))
+    return made.withColumns({c: F.round(c, 6) for c in ("extent", "centroid_y", "equivalent_diameter", "axis_major_length", "weighted_x", "bright_share")})
+
+
 def _truth_overlaps(spark, d):
     """(t, source_id, target_id, weight): each node with each true label of its frame, by how much their boxes share."""
     nodes = view(spark, d, "v_nodes")
