@@ -484,6 +484,25 @@ ODD_PAGES = [
 ]
 
 
+ODD_PAGES += [
+    # Boilerplate goes however long it is, beside and within the article.
+    (f"<article><p>Short one.</p><aside><p>{LONG * 4}</p></aside><div class=sidebar>{LONG * 4}</div><p>Short two.</p></article>", ["Short one.", "Short two."]),
+    (f'<body><div class=content><p>{LONG}</p><p>{LONG}</p></div><div class="advert">{LONG * 9}</div></body>', [LONG, LONG]),
+    (f"<main><div class=menu><a href=1>One</a><a href=2>Two</a></div><p>{LONG}</p></main>", [LONG]),
+    (f"<main><header>Site name banner</header><p>{LONG}</p></main>", [LONG]),
+    (f"<main><header><h1>Title</h1><p>Lead.</p></header><p>{LONG}</p></main>", ["Title", "Lead.", LONG]),
+    (f"<article><h1>T</h1><div class=toolbar>Print Mail</div><p>{LONG}</p></article>", ["T", LONG]),
+    # An id names the subject as often as the box.
+    (f'<article><section id="comments-on-method"><p>{LONG}</p></section><div id="navigation-systems"><p>{LONG}</p></div><div id="newsletter-history">{LONG}</div></article>', [LONG] * 3),
+    (f'<body><div class="post has-sidebar no-ads"><p>{LONG}</p></div><div id="leftSidebar"><p>{LONG}</p></div><div id="comments-list"><p>{LONG}</p></div></body>', [LONG]),
+    (f"<body><button>Menu<article><p>{LONG}</p><button><p>Send</p></article></body>", [LONG, "Send"]),
+    (f"<article><p>{LONG}</p><button><p>Send</p></button></article>", [LONG]),
+    # Of nested containers with equal votes the innermost one counts; side by side both do.
+    (f"<body><div><div><p>{LONG}</p></div></div><table><tr><td>x</td></tr></table></body>", [LONG]),
+    (f"<body><div><p>{LONG}</p></div><div><p>{LONG}</p></div></body>", [LONG, LONG]),
+]
+
+
 @pytest.mark.parametrize("page, want", ODD_PAGES)
 def test_main_text_of_odd_pages(page, want):
     assert html_text.main_text(page) == "\n\n".join(x.strip() for x in want)

@@ -1,9 +1,9 @@
 """Operator 1: main text of HTML pages.
 
 The standard library's parser streams events into lines, one for each block of the page, with the characters of text,
-the tags met and the characters within links. A line's ratio is its text to its tags, weighed by its markup: next to nothing
-for menus, page headers, footers, forms and adverts, nothing for comments, a part for blocks that their class or id calls
-something of the kind but that may be prose, all for the rest. The ratios are smoothed with a Gaussian kernel and clustered by a threshold.
+the tags met and the characters within links. A line's ratio is its text to its tags, weighed by its markup: nothing for
+menus, page headers, footers, sidebars, forms, adverts and comments, however long, a part for blocks that their class or id
+calls something of the kind but that may be prose, all for the rest. The ratios are smoothed with a Gaussian kernel and clustered by a threshold.
 The lines above it vote, by their text, for the content region: the articles they lie in, or else the container. Within
 the region a line of part weight stays if its own ratio passes the threshold; lines of full weight stay, short ones and
 headings among them too.
@@ -38,11 +38,20 @@ HARD = set(
 )
 #: Words that do so of page headers, which within an article name its own.
 OUTSIDE = {"header", "banner", "menu", "toolbar"}
+#: Those of them that within an article leave the verdict to the ratio.
+INSIDE = OUTSIDE - {"header"}
 #: Words that say it of some blocks, but stand on prose as well.
 SOFT = set("notice notices promo promoted related share sharing social alert search reply".split())
-#: What ratios keep of their value in blocks that markup calls boilerplate, and in those of SOFT. Comments keep nothing.
-HARD_WEIGHT, SOFT_WEIGHT = 0.02, 0.25
-COMMENTS = {"comment", "comments", "replies", "disqus"}
+#: What ratios keep of their value in blocks of SOFT and INSIDE. Other boilerplate and comments keep nothing.
+SOFT_WEIGHT = 0.25
+COMMENTS = {"comment", "comments", "commentlist", "replies", "disqus"}
+#: Words that say where a block is or what kind of box. An id marks boilerplate if it has no others beside
+#: those above, as it may name the subject of a section; so does a part of a class, unless it begins with one of WITHOUT.
+PLACES = set(
+    "site main page global left right top bottom upper lower primary secondary area box wrap wrapper container list section"
+    " block bar inner outer links form unit slot panel col column div gpt google dfp the my l r".split()
+)
+WITHOUT = {"has", "no", "with", "without", "hide"}
 #: Words that name the block of the article.
 CONTENT = {"article", "content", "entry", "post", "story", "main"}
 #: Elements whose id is as often an anchor, so that only their class and role count, and those that hold no block's name.
@@ -55,6 +64,10 @@ SIGMA, RADIUS = 1.0, 2
 THRESHOLD = 0.5
 SPACES = re.compile(r"\s+")
 PARTS = re.compile(r"[A-Za-z]+")
+HUMPS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Controls that hold no blocks; where one stays open in the page, the next of these tags ends it.
+CONTROLS = {"button", "select", "option", "datalist"}
+ENDS = set("article main section nav header footer aside p ul ol table blockquote pre h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -67,6 +80,7 @@ class Line:
     linked: int
     weight: float
     regions: tuple[int, ...]
+    heading: bool = False
 
 
 @dataclass
@@ -75,6 +89,8 @@ class Element:
     region: int | None = None
     weight: float = 1.0
     silent: bool = False
+    #: Of a header in main but in no article: where its lines start.
+    banner: int | None = None
 
 
 @dataclass
@@ -93,20 +109,34 @@ def named(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
     return {x.lower() for name, value in attrs if name in used and value for x in PARTS.findall(value)}
 
 
+def marks(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The words of class, role and id that may mark boilerplate."""
+    found: set[str] = set()
+    for name, value in attrs:
+        if not value or name not in ("class", "role", "id") or name == "id" and tag in ANCHORS:
+            continue
+        for token in value.split():
+            words = [x.lower() for x in (*PARTS.findall(token), *HUMPS.findall(token))]
+            known = HARD | OUTSIDE | SOFT | COMMENTS | PLACES
+            if name == "id" and not known.issuperset(x.lower() for x in HUMPS.findall(token)) and not known.issuperset(x.lower() for x in PARTS.findall(token)):
+                continue
+            if words and words[0] not in WITHOUT:
+                found.update(words)
+    return found
+
+
 def hinted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> float:
     """The weight that class, id and role leave an element; an article has all of it unless it is a comment."""
     if tag in ("html", "body", "main"):
         return 1.0
     if any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs):
         return 0.0
-    words = named(tag, attrs)
+    words = marks(tag, attrs)
     if tag == "article":
         return 0.0 if words & COMMENTS else 1.0
-    if words & COMMENTS:
+    if words & (COMMENTS | HARD) or not in_article and words & OUTSIDE:
         return 0.0
-    if words & HARD or not in_article and words & OUTSIDE:
-        return HARD_WEIGHT
-    return SOFT_WEIGHT if words & SOFT and tag not in HEADINGS else 1.0
+    return SOFT_WEIGHT if words & (SOFT | INSIDE) and tag not in HEADINGS else 1.0
 
 
 class PageLines(HTMLParser):
@@ -116,13 +146,14 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.s = _State()
         self.silent = self.links = 0
+        self.unclosed = False
 
     def _end_line(self) -> None:
         s = self.s
         text = SPACES.sub(" ", "".join(s.text)).strip()
         if text:
             regions = tuple(e.region for e in s.stack if e.region is not None)
-            s.lines.append(Line(text, s.tags, s.linked, min((e.weight for e in s.stack), default=1.0), regions))
+            s.lines.append(Line(text, s.tags, s.linked, min((e.weight for e in s.stack), default=1.0), regions, any(e.tag in HEADINGS for e in s.stack)))
             s.tags = s.linked = 0
         s.text.clear()
 
@@ -135,9 +166,17 @@ class PageLines(HTMLParser):
         e = self.s.stack.pop()
         self.silent -= e.silent
         self.links -= e.tag == "a"
+        if e.banner is not None:
+            self._end_banner(e.banner)
 
-    def _in_article(self) -> bool:
-        return any(e.tag in ("article", "main") for e in self.s.stack)
+    def _end_banner(self, start: int) -> None:
+        """A header in main names the site, unless it has a heading, which then is the article's."""
+        if not any(x.heading for x in self.s.lines[start:]):
+            for x in self.s.lines[start:]:
+                x.weight = 0.0
+
+    def _in_article(self, *tags: str) -> bool:
+        return any(e.tag in (tags or ("article", "main")) for e in self.s.stack)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         s = self.s
@@ -160,17 +199,20 @@ class PageLines(HTMLParser):
         # A header inside the article may hold its title; one of the page doesn't.
         weight = hinted(tag, attrs, self._in_article())
         if tag in BOILERPLATE or tag == "header" and not self._in_article():
-            weight = min(weight, HARD_WEIGHT)
+            weight = 0.0
         region = None
         if tag in REGIONS:
             region = len(s.regions)
             s.regions.append(tag)
-        self._push(Element(tag, region, weight, tag in SILENT))
+        banner = len(s.lines) if tag == "header" and self._in_article("main") and not self._in_article("article") else None
+        self._push(Element(tag, region, weight, tag in SILENT, banner))
 
     def _leave(self, tag: str, attrs) -> None:
         """A block ends an open head; an article, by its tag or its name, ends a menu or page header that was left open."""
         if any(e.tag == "head" for e in self.s.stack):
             self._close("head")
+        while self.unclosed and tag in ENDS and any(e.tag in CONTROLS for e in self.s.stack):
+            self._close(next(e.tag for e in self.s.stack if e.tag in CONTROLS))
         if tag in ("article", "main") or tag in REGIONS and named(tag, attrs) & CONTENT:
             for left in ("nav", "header"):
                 if any(e.tag == left for e in self.s.stack) and not self._in_article():
@@ -206,9 +248,13 @@ class PageLines(HTMLParser):
                 self.s.linked += len(data.strip())
 
     def lines(self, html: str) -> list[Line]:
+        small = html.lower()
+        self.unclosed = any(small.count(f"<{x}") > small.count(f"</{x}") for x in CONTROLS - {"option"})
         self.feed(html)
         self.close()
         self._end_line()
+        while self.s.stack:
+            self._pop()
         return self.s.lines
 
 
