@@ -157,6 +157,26 @@ def area_peaks(histogram: DataFrame, n: int = 5) -> DataFrame:
     return smooth.withColumn("_peak", peak).where("_peak").orderBy(F.desc("smooth"), "bin").limit(n).select("bin", "smooth")
 
 
+def frame_peaks(nodes: DataFrame, n: int = 5, apart: int = 25) -> DataFrame:
+    """(t, peak): the n most usual areas of each frame's nodes (t, area), at least apart hundredths of an octave away.
+
+    A median over five bins, the empty ones among them, smooths the histogram; a peak is the highest bin within apart on either side,
+    of equal ones the smallest. A frame without a peak has its mean area. Areas below 1 and null ones don't count.
+    """
+    sized = nodes.where("area >= 1")
+    bins = sized.groupBy("t", F.floor(F.log2("area") * 100).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    around = bins.select("t", "n", F.explode(F.sequence(F.col("bin") - 2, F.col("bin") + 2)).alias("bin")).groupBy("t", "bin").agg(F.sort_array(F.collect_list("n")).alias("_n"))
+    # The third of five, counting what is missing as zeros.
+    smooth = around.select("t", "bin", F.coalesce(F.get("_n", F.size("_n") - 3), F.lit(0)).alias("smooth")).where("smooth > 0 and bin >= 0")
+    own = F.struct("smooth", (-F.col("bin")).alias("b"))
+    near = Window.partitionBy("t").orderBy("bin").rangeBetween(-apart, apart)
+    peaks = smooth.withColumn("_best", F.max(own).over(near)).where(F.col("_best") == own)
+    first = Window.partitionBy("t").orderBy(F.desc("smooth"), "bin")
+    peaks = peaks.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= n).select("t", F.pow(F.lit(2.0), F.col("bin") / 100).alias("peak"))
+    means = sized.groupBy("t").agg(F.floor(F.avg("area")).cast("double").alias("peak")).join(peaks.select("t"), "t", "left_anti")
+    return peaks.unionByName(means)
+
+
 def per_frame(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], height: int, width: int, value: str = "intensity") -> DataFrame:
     """(t, y, x, value) of a function of whole frames, each in a task of its own."""
 

@@ -873,3 +873,24 @@ def _truth_overlaps(spark, d):
 @query(None)
 def gt_frame_matches(spark, d):
     return solving.match_frames(_truth_overlaps(spark, d), hierarchy.overlap_closure(view(spark, d, "v_hier")))
+
+
+@query(
+    """WITH n AS (SELECT t, CAST(floor(log2(area) * 100) AS INT) AS bin, count(*) AS n FROM v_nodes WHERE area >= 1 GROUP BY 1, 2),
+    a AS (SELECT t, bin + k AS bin, list_sort(list(n)) AS l FROM n, (SELECT CAST(range AS INT) - 2 AS k FROM range(5)) GROUP BY 1, 2),
+    s AS (SELECT t, bin, l[len(l) - 2] AS smooth FROM a WHERE len(l) > 2 AND bin >= 0),
+    p AS (SELECT s.t, s.bin, s.smooth FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.t = s.t AND abs(o.bin - s.bin) <= 25 AND (o.smooth > s.smooth OR o.smooth = s.smooth AND o.bin < s.bin))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY smooth DESC, bin) AS k FROM p),
+    f AS (SELECT t, pow(2.0, bin / 100.0) AS peak FROM r WHERE k <= 5),
+    m AS (SELECT t, floor(avg(area)) AS peak FROM v_nodes WHERE area >= 1 AND t NOT IN (SELECT t FROM f) GROUP BY 1)
+    SELECT t, round(peak, 6) AS peak FROM f UNION ALL SELECT t, round(peak, 6) FROM m""",
+    "v_nodes",
+)
+def frame_area_peaks(spark, d):
+    return pixels.frame_peaks(view(spark, d, "v_nodes")).withColumn("peak", F.round("peak", 6))
+
+
+@query(None)
+def gt_template_matches(spark, d):
+    nodes = view(spark, d, "v_nodes")
+    return solving.match_frames_by_area(_truth_overlaps(spark, d), hierarchy.overlap_closure(view(spark, d, "v_hier")), nodes, pixels.frame_peaks(nodes))
