@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trackweave.plans.config import Config, LinkingConfig, SegmentationConfig, TrackingConfig
 from trackweave.plans.session import Status, Tracker
 from trackweave.sources import formats
+from trackweave.sources.chunks import read_chunks
 from trackweave.streaming.frames import link_stream, stream_links
 
 
@@ -59,6 +60,21 @@ def test_border_of_the_image(tracker, spark):
     assert free >= own.solve().solution.agg(F.sum(F.when(F.col("parent_id") == -1, F.col("objective")))).head()[0]
 
 
+def test_painted_labels(tracker, spark, tmp_path):
+    """Each pixel of the two objects has its track's number, in every frame, and the raster reads back as painted."""
+    ids = {(r["t"], int(r["y"])): r["track_id"] for r in tracker.tracks().collect()}
+    moving, resting = (next(i for (t, y), i in ids.items() if t == 0 and (y < 15) == low) for low in (True, False))
+    want = {(t, y, x): moving for t in range(3) for y in range(4, 10) for x in range(4 + t, 10 + t)}
+    want |= {(t, y, x): resting for t in range(3) for y in range(20, 25) for x in range(20, 25)}
+    assert {(r["t"], r["y"], r["x"]): r["label"] for r in tracker.labels().collect()} == want
+    tracker.export_labels(str(tmp_path / "labels"), (4, 32, 32), (1, 16, 16))
+    assert {(r["t"], r["y"], r["x"]): r["value"] for r in read_chunks(spark, str(tmp_path / "labels")).collect()} == want
+    with pytest.raises(FileExistsError):
+        tracker.export_labels(str(tmp_path / "labels"), (4, 32, 32))
+    with pytest.raises(ValueError):
+        Tracker(spark).labels()
+
+
 def test_steps_need_the_ones_before(spark):
     with pytest.raises(ValueError):
         Tracker(spark).link()

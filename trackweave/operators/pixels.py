@@ -120,10 +120,11 @@ def paint(masks: DataFrame) -> DataFrame:
 
 def flow_shifts(nodes: DataFrame, field: DataFrame, shape: tuple[int, int], scale: tuple[float, float]) -> DataFrame:
     """nodes with y_shift and x_shift: the field (t, cy, cx, vy, vx), of values from -1 to 1, at their nearest cell, in
-    pixels."""
+    pixels. A value outside of that range, at a cell that a node is nearest to, fails the job."""
     cells = {"cy": nearest_cell(F.col("y"), scale[0], shape[0]), "cx": nearest_cell(F.col("x"), scale[1], shape[1])}
     out = nodes.withColumns(cells).join(field, ["t", "cy", "cx"], "left")
-    size = lambda c, n, s: F.coalesce(F.col(c), F.lit(0.0)) * n / 2 / s
+    checked = lambda c: F.when(F.abs(F.col(c)) > 1, F.raise_error(F.concat(F.lit("flow beyond -1 to 1: "), F.col(c).cast("string"))).cast("double")).otherwise(F.col(c))
+    size = lambda c, n, s: F.coalesce(checked(c), F.lit(0.0)) * n / 2 / s
     return out.withColumns({"y_shift": size("vy", shape[0], scale[0]), "x_shift": size("vx", shape[1], scale[1])})
 
 
@@ -191,6 +192,23 @@ def per_frame(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], height:
     return rows.groupBy("t").applyInPandas(run, "t int, y int, x int, value double")
 
 
+def export_frames(labels: DataFrame, fn: Callable[[int, np.ndarray], None], frames: int, height: int, width: int) -> DataFrame:
+    """(t, n_labels) of every frame, 0 to frames - 1, after fn(t, frame of labels) has run on it, in a task of its own.
+
+    fn writes a frame wherever it likes, and may run again where a task is lost. Frames without rows are all 0.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, frame = int(pdf["t"].iloc[0]), np.zeros((height, width), np.int64)
+        rows = pdf.dropna()
+        frame[rows["y"].astype(int), rows["x"].astype(int)] = rows["label"].astype("int64")
+        fn(t, frame)
+        return pd.DataFrame({"t": [t], "n_labels": [int(np.unique(frame[frame > 0]).size)]})
+
+    every = labels.sparkSession.range(frames).select(F.col("id").cast("int").alias("t"))
+    return every.join(labels.select("t", "y", "x", "label"), "t", "left").groupBy("t").applyInPandas(run, "t int, n_labels bigint")
+
+
 # Functions of one frame
 
 

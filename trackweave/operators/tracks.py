@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import l2
 from ..sources.durable import durable
 from .assigning import assigned, nearest_total
-from .lineage import NO_PARENT, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks, track_roots
+from .lineage import NO_PARENT, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks, track_roots, with_roots
 from .ranks import numbered, quantiles
 
 AXES = ("z", "y", "x")
@@ -98,15 +100,45 @@ def trajectories_to_tracks(trajectories: DataFrame) -> DataFrame:
     return out.select("track_id", "t", *(F.col("point")[k].alias(a) for k, a in enumerate(AXES)))
 
 
-def tree_radius(rooted: DataFrame) -> DataFrame:
-    """(root_id, radius): the largest distance of two rows of one tree and frame. rooted has root_id."""
+#: Distances of two places, by name.
+METRICS: dict[str, Callable[[list[Column], list[Column]], Column]] = {
+    "euclidean": l2,
+    "sqeuclidean": lambda a, b: sum(((p - q) * (p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0)),
+    "cityblock": lambda a, b: sum((F.abs(p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0)),
+    "chebyshev": lambda a, b: F.greatest(*(F.abs(p - q) for p, q in zip(a, b, strict=True))),
+}
+
+
+def tree_radius(rooted: DataFrame, metric: str | Callable[[list[Column], list[Column]], Column] = "euclidean") -> DataFrame:
+    """(root_id, radius): the largest distance of two rows of one tree and frame. rooted has root_id.
+
+    metric is one of METRICS, or a function of the places' columns that gives a Column.
+    """
+    between = METRICS[metric] if isinstance(metric, str) else metric
     a, b = rooted.alias("a"), rooted.alias("b")
     on = [F.col("a.root_id") == F.col("b.root_id"), F.col("a.t") == F.col("b.t"), F.col("a.id") < F.col("b.id")]
-    far = l2([F.col(f"a.{c}") for c in AXES], [F.col(f"b.{c}") for c in AXES])
+    far = between([F.col(f"a.{c}") for c in AXES], [F.col(f"b.{c}") for c in AXES])
     radius = a.join(b, on).groupBy("a.root_id").agg(F.max(far).alias("radius"))
     return rooted.select("root_id").distinct().join(radius, "root_id", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
 
 
+def by_trees(rooted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rooted with the size of its tree (root_id, size), sorted: largest trees first, of equal ones the smaller root_id, each
+    by track and frame. Trees without a size come last. A sort by ranges; no task holds more than its range."""
+    return rooted.join(sizes, "root_id", "left").orderBy(F.col("size").desc_nulls_last(), "root_id", "track_id", "t")
+
+
+def trees_by_length(tracks: DataFrame) -> DataFrame:
+    """tracks with root_id and size, the tree's length, the longest first."""
+    return by_trees(with_roots(tracks), tree_lengths(tracks).withColumnRenamed("length", "size"))
+
+
+def trees_by_radius(tracks: DataFrame, metric: str | Callable[[list[Column], list[Column]], Column] = "euclidean") -> DataFrame:
+    """tracks with root_id and size, the largest distance within a frame of the tree, the widest first."""
+    rooted = with_roots(tracks)
+    return by_trees(rooted, tree_radius(rooted, metric).withColumnRenamed("radius", "size"))
+
+
 def tree_lengths(tracks: DataFrame) -> DataFrame:
     """(root_id, length): a track's rows, and where it has children one more and the mean of theirs, and so on down.
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import inside_border
 from ..operators import hierarchy, lineage, linking, matching, segmentation, solving
+from ..operators.pixels import paint
 from ..operators.tracks import drift
+from ..sources.chunks import write_chunks
 from ..sources.durable import durable
 from ..sources.formats import tracks_layer, write_tracks
 from .config import Config
@@ -202,5 +204,17 @@ class Tracker:
         labelled = lineage.add_track_ids(self.solution.select("id", "t", "parent_id"))
         return tracks_layer(labelled.join(places, "id"), with_z)
 
+    def labels(self) -> DataFrame:
+        """(t, y, x, label) of the pixels of the solution's nodes, painted with their tracks."""
+        self._need(Status.SOLVED)
+        tracked = lineage.add_track_ids(self.solution.select("id", "t", "parent_id")).select("id", "track_id")
+        masks = segmentation.mask_pixels(self.nodes).join(tracked, "id").join(self.nodes.select("id", "area"), "id")
+        # Of masks that share a pixel the smaller one lies on top.
+        return paint(masks.select("t", "y", "x", F.col("track_id").alias("id"), (-F.col("area")).alias("paint_order")))
+
+    def export_labels(self, path: str, shape: tuple[int, int, int], chunks: tuple[int, int, int] | None = None, overwrite: bool = False) -> None:
+        """Writes labels() as a raster in chunks; frames without nodes are 0."""
+        write_chunks(self.labels(), path, shape, chunks, overwrite=overwrite)
+
     def export(self, path: str, overwrite: bool = False) -> None:
         write_tracks(self.tracks(), path, overwrite)
