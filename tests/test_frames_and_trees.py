@@ -3,10 +3,12 @@
 import itertools
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
 
+from trackweave import queries
 from trackweave.operators import pixels, segmentation, tracks
 from trackweave.sources import formats
 
@@ -74,6 +76,14 @@ def test_points_in_a_flow(spark):
         pixels.flow_shifts(points.selectExpr("track_id AS id", "0 AS t", "y", "x"), wide, (4, 8), (1.0, 1.0)).collect()
 
 
+def test_a_flow_without_limit(spark, tmp_path):
+    """Sums of pixels beyond 1,000 are fields beyond 1, which the query takes as they are."""
+    spark.createDataFrame([(1, 0, 0, Decimal(700)), (1, 0, 0, Decimal(900))], "l_linenumber int, l_partkey long, l_suppkey long, l_quantity decimal(15,2)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 5L AS event_id, timestamp'2024-01-01 00:00:00' AS ts, 1L AS user_id, 'view' AS event_type, 0.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    found = queries.flow_shift_lookup(spark, str(tmp_path)).head()
+    assert (found["id"], found["y_shift"], found["x_shift"]) == (5, 80.0, round(-0.8 * 32 / 0.0444, 6))
+
+
 def test_descriptors_of_masks():
     square = [{"y": y, "x0": 3, "len": 4} for y in range(4)]
     moved = [{"y": y + 9, "x0": 30, "len": 4} for y in range(4)]

@@ -118,12 +118,12 @@ def paint(masks: DataFrame) -> DataFrame:
     return masks.groupBy("t", "y", "x").agg(F.max_by("id", F.struct("paint_order", "id")).alias("label"))
 
 
-def flow_shifts(nodes: DataFrame, field: DataFrame, shape: tuple[int, int], scale: tuple[float, float]) -> DataFrame:
-    """nodes with y_shift and x_shift: the field (t, cy, cx, vy, vx), of values from -1 to 1, at their nearest cell, in
-    pixels. A value outside of that range, at a cell that a node is nearest to, fails the job."""
+def flow_shifts(nodes: DataFrame, field: DataFrame, shape: tuple[int, int], scale: tuple[float, float], limit: float | None = 1.0) -> DataFrame:
+    """nodes with y_shift and x_shift: the field (t, cy, cx, vy, vx), in halves of the frame, at their nearest cell, in
+    pixels. A value beyond -limit to limit, at a cell that a node is nearest to, fails the job; without a limit all are taken."""
     cells = {"cy": nearest_cell(F.col("y"), scale[0], shape[0]), "cx": nearest_cell(F.col("x"), scale[1], shape[1])}
     out = nodes.withColumns(cells).join(field, ["t", "cy", "cx"], "left")
-    checked = lambda c: F.when(F.abs(F.col(c)) > 1, F.raise_error(F.concat(F.lit("flow beyond -1 to 1: "), F.col(c).cast("string"))).cast("double")).otherwise(F.col(c))
+    checked = lambda c: F.col(c) if limit is None else F.when(F.abs(F.col(c)) > limit, F.raise_error(F.concat(F.lit(f"flow beyond {-limit:g} to {limit:g}: "), F.col(c).cast("string"))).cast("double")).otherwise(F.col(c))
     size = lambda c, n, s: F.coalesce(checked(c), F.lit(0.0)) * n / 2 / s
     return out.withColumns({"y_shift": size("vy", shape[0], scale[0]), "x_shift": size("vx", shape[1], scale[1])})
 
