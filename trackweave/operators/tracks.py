@@ -11,6 +11,7 @@ from ..functions.geometry import l2
 from ..sources.durable import durable
 from .assigning import assigned, nearest_total
 from .lineage import NO_PARENT, first_rows, heads, inverse_forest, lineage_pairs, relabel_tracks, track_roots, with_roots
+from .nearest import nearest
 from .ranks import numbered, quantiles
 
 AXES = ("z", "y", "x")
@@ -346,7 +347,13 @@ def _mutually_nearest(pairs: DataFrame) -> DataFrame:
 def stitch_candidates(tracks: DataFrame, quantile: float = 0.99) -> DataFrame:
     """(end_track, start_track, dist): each end's nearest start of the next frame, nearer than the drift, and of those the
     nearest end for each start."""
-    return _mutually_nearest(_near_stitches(tracks, quantile)).select("end_track", "start_track", "dist")
+    e = durable(track_ends(tracks).select(F.col("track_id").alias("end_track"), (F.col("t") + 1).alias("_t"), *AXES))
+    s = durable(track_starts(tracks).select(F.col("track_id").alias("id"), F.col("t").alias("_t"), *AXES))
+    limit = drift(tracks, quantile).head()["drift"]
+    if not limit or not limit > 0:
+        return e.select("end_track", F.col("end_track").alias("start_track"), F.lit(0.0).alias("dist")).limit(0)
+    pairs = e.join(nearest(s, e, 1, limit, AXES), ["_t", *AXES]).groupBy(F.col("id").alias("start_track"))
+    return pairs.agg(F.min(F.struct("dist", "end_track")).alias("_end")).select("_end.end_track", "start_track", "_end.dist")
 
 
 def stitch_tracks(tracks: DataFrame, quantile: float = 0.99, selected: DataFrame | None = None) -> DataFrame:
