@@ -79,6 +79,20 @@ def best_assignment(a, b):
     return list(enumerate(min(itertools.permutations(range(len(b)), len(a)), key=lambda p: sum(cost[i, j] for i, j in enumerate(p)))))
 
 
+def test_least_total_of_near_columns():
+    """As little as over all columns, with ties, lone axes and rows far off; a row looks at the columns near by."""
+    rng = np.random.default_rng(2)
+    for k in range(200):
+        m = int(rng.integers(1, 40))
+        n = int(rng.integers(1, m + 1))
+        a, b = ((rng.integers(0, 6, (c, 3)) if k % 3 == 0 else rng.normal(0, 1, (c, 3)) if k % 3 == 1 else np.stack([np.zeros(c), np.ones(c), rng.integers(0, 3, c)], 1)).astype(float) for c in (n, m))
+        if k % 5 == 0:
+            a, b = a + 100.0, (b * 0 + 1 if k % 2 else b)
+        cost = np.sqrt(((b[None] - a[:, None]) ** 2).sum(axis=2))
+        wanted, found = assigning.least_total(n, m, lambda row, cost=cost: cost[row]), assigning.least_total_near(a, b)
+        assert len(set(found.tolist())) == n and abs(cost[np.arange(n), wanted].sum() - cost[np.arange(n), found].sum()) < 1e-9
+
+
 def test_least_total():
     rng = np.random.default_rng(3)
     for n, m in [(1, 1), (3, 3), (4, 6), (5, 5), (6, 7)] * 6:
