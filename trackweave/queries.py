@@ -31,8 +31,8 @@ def query(sql: str | None, *views: str):
     return add
 
 
-def links(spark: SparkSession, d: str, k: int = NEIGHBORS) -> DataFrame:
-    return linking.knn_links(view(spark, d, "v_nodes"), DISTANCE, k, GAMMA)
+def links(spark: SparkSession, d: str, k: int = NEIGHBORS, **more) -> DataFrame:
+    return linking.knn_links(view(spark, d, "v_nodes"), DISTANCE, k, GAMMA, **more)
 
 
 def _knn_sql(k: int = NEIGHBORS) -> str:
@@ -209,8 +209,9 @@ def cosine_links_topk(spark, d):
     "v_nodes",
 )
 def link_features_diff(spark, d):
-    nodes = view(spark, d, "v_nodes")
-    return linking.link_features(links(spark, d), nodes, ["area", "h"]).withColumn("dist", F.round("dist", 6))
+    diffs = lambda s, g: [F.struct(*linking.feature_diffs(["area", "h"])(s, g)).alias("diffs")]
+    found = links(spark, d, extra=diffs).select("source_id", "target_id", "diffs.*")
+    return found.withColumn("dist", F.round("dist", 6))
 
 
 # Hierarchies
