@@ -117,6 +117,23 @@ def jaccard_components(pairs, shingle=3, percent=90):
     return {i: (len(own[0]), find(i)) for i, own in sets.items()}
 
 
+def test_words_are_hashed_at_once(monkeypatch):
+    """Only words of more than LONG bytes are hashed one by one; equal words alone have equal hashes."""
+    import pyarrow as pa
+    import xxhash
+
+    one_by_one, real = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: one_by_one.append(w) or real(w))
+    rng = np.random.default_rng(6)
+    words = ["", "a", "a\0", "\0a", "\0", "\0\0", *("x" * n for n in range(60, 70)), *(f"{k:x}" for k in range(3000))]
+    words += ["".join(rng.choice(list("abé€"), n)) for n in rng.integers(1, 40, 3000)] * 2
+    found = jaccard_join.word_hashes(pa.array(words, pa.large_string()))
+    assert len(set(zip(words, found.tolist(), strict=True))) == len(set(words)) == len(set(found.tolist()))
+    assert {len(w) > jaccard_join.LONG for w in one_by_one} == {True}
+    assert np.array_equal(jaccard_join.word_hashes(pa.array(["no", *words], pa.large_string()).slice(1)), found)
+    assert len(jaccard_join.word_hashes(pa.array([], pa.large_string()))) == 0
+
+
 @pytest.mark.parametrize("shingle, percent", [(3, 90), (5, 80), (1, 50)])
 def test_jaccard_join(docs, shingle, percent):
     made = rows(jaccard_join.jaccard_join(docs, shingle=shingle, percent=percent))

@@ -59,6 +59,8 @@ PARTED = 0.5
 PIVOTS, MOST_PIVOTS, CENTRES, DEALT = 256, 1024, 64, 1000
 #: Texts that are made into sets at once, by number and by bytes.
 TEXTS, TEXT_BYTES = 400, 3_000_000
+#: Bytes up to which words are hashed all at once.
+LONG = 64
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -85,11 +87,29 @@ def ascii_lower(texts: pa.Array) -> pa.Array:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the words' bytes, 8 of them at a time for all words at once; long words, which are few, by xxhash."""
     from xxhash import xxh64_intdigest
 
-    coded = words.dictionary_encode()
-    distinct = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    return distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.uint64)
+    if not len(words):
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    start, left = offsets[:-1] - offsets[0], np.diff(offsets)
+    with np.errstate(over="ignore"):
+        found = mixed(left.astype(np.uint64) * _C3 + _C2)
+        at = np.flatnonzero(left <= LONG)
+        for k in range(0, LONG, 8):
+            at = at[left[at] > k]
+            if not len(at):
+                break
+            unused = np.uint64(8) * np.maximum(8 + k - left[at], 0).astype(np.uint64)
+            piece = eights[start[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> unused)
+            found[at] = mixed((found[at] ^ piece) * _C1)
+    for k in np.flatnonzero(left > LONG).tolist():
+        found[k] = xxh64_intdigest(data[start[k] : start[k] + left[k]].tobytes())
+    return found
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +141,9 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the texts' shingles, one text after the other, and how many each has."""
     s, doc = shingles(texts, size)
-    order = np.lexsort((s, doc))
+    # By hash, then by text, whose few numbers a stable sort deals out.
+    order = np.argsort(s)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
     s, doc = s[order], doc[order]
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
