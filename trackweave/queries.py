@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.geometry import inside_border, link_function
-from .operators import hierarchy, lineage, linking, matching, measures, pixels, rasters, solving, summary, tracks
+from .operators import hierarchy, lineage, linking, matching, measures, pixels, rasters, solving, summary, tracks, truth
 from .plans.config import TrackingConfig
 from .plans.layout import window_table
 from .sources.views import view, with_views
@@ -861,7 +861,10 @@ def region_measures(spark, d):
 
 
 def _truth_overlaps(spark, d):
-    """(t, source_id, target_id, weight): each node with each true label of its frame, by how much their boxes share."""
+    """(t, source_id, target_id, weight): each node with each true label of its frame, by how much their boxes share.
+
+    All of them, which grow with the square of a frame's nodes; the matches below list the best ones only.
+    """
     nodes = view(spark, d, "v_nodes")
     pairs = linking.intersecting_pairs(nodes, 9).select("a_id", "b_id", "intersection")
     turned = pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "intersection")
@@ -873,9 +876,18 @@ def _truth_overlaps(spark, d):
     return shared.agg(F.sum("intersection").cast("double").alias("weight"))
 
 
+def _boxes(spark, d):
+    """Nodes, and those of true labels with the label as id. A node without a place meets itself only, so it stands alone."""
+    alone, apart = F.col("y").isNull() | F.col("x").isNull(), -1e9 - 100.0 * F.col("id")
+    nodes = view(spark, d, "v_nodes").withColumns({c: F.when(alone, apart).otherwise(F.col(c)) for c in "yx"})
+    return nodes, nodes.where("gt_track_id > 0").withColumn("id", F.col("gt_track_id"))
+
+
 @query(None)
 def gt_frame_matches(spark, d):
-    return solving.match_frames(_truth_overlaps(spark, d), hierarchy.overlap_closure(view(spark, d, "v_hier")))
+    nodes, labels = (x.withColumn("w", F.col("t")).withColumns({c: F.lit(0.0) for c in ("plus", "minus")}) for x in _boxes(spark, d))
+    found = truth.match_boxes(nodes, labels, hierarchy.overlap_closure(view(spark, d, "v_hier")))
+    return found.select(F.col("w").cast("int").alias("t"), "source_id", F.col("label").alias("target_id"))
 
 
 @query(
