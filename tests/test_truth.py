@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave import queries
-from trackweave.operators import hierarchy, solving, truth
+from trackweave.operators import hierarchy, pixels, solving, truth
 from trackweave.sources.views import view
 
 D = "/root/testdata/sf0.001"
@@ -35,3 +35,8 @@ def same(found, want):
 
 def test_frame_matches_without_all_pairs(spark, few):
     same(queries.gt_frame_matches(spark, D), solving.match_frames(*few))
+
+
+def test_template_matches_without_all_pairs(spark, few):
+    nodes = crowded(spark, D, "v_nodes")
+    same(queries.gt_template_matches(spark, D), solving.match_frames_by_area(*few, nodes, pixels.frame_peaks(nodes)))

@@ -907,5 +907,5 @@ def frame_area_peaks(spark, d):
 
 @query(None)
 def gt_template_matches(spark, d):
-    nodes = view(spark, d, "v_nodes")
-    return solving.match_frames_by_area(_truth_overlaps(spark, d), hierarchy.overlap_closure(view(spark, d, "v_hier")), nodes, pixels.frame_peaks(nodes))
+    nodes, labels = _boxes(spark, d)
+    return truth.match_boxes_by_area(nodes, labels, hierarchy.overlap_closure(view(spark, d, "v_hier")), pixels.frame_peaks(view(spark, d, "v_nodes")))
