@@ -1,17 +1,21 @@
 """Matches of nodes with true labels by how much their boxes share, without a list of all pairs.
 
-Pairs that meet grow with the square of a frame's nodes. They are added up in tasks, part by part of a frame, and only the
-best few of each node and of each label leave. A pair is taken if it is the best of its node, of its label and of what
+Pairs that meet grow with the square of a frame's nodes. A window of up to TOGETHER rows is one task, which holds its rows
+and the best few pairs of each label only: it takes the best pair of all, again and again, and lists those of a label anew,
+from the nodes that are left around it, when all it had are gone. Larger windows are dealt: pairs are added up in tasks, part
+by part of a frame, and only the best few of each node and of each label leave. A pair is taken if it is the best of its node, of its label and of what
 overlaps the node, as best_links() takes them; what isn't listed of a node or label is worth less than its last listed pair,
 and holds back all that is worth less than that. Of what is open then the best few are listed again.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +28,162 @@ from .solving import both_ways
 LISTED, LEAST, MOST = 4_000_000, 4, 64
 #: Nodes of a part of a frame, about, and the boxes that are compared at once.
 DEALT, COMPARED = 5_000, 1_000_000
+#: Rows of a window that are matched in one task, and the pairs that it holds of a label.
+TOGETHER, HELD = 2_000_000, 16
 #: The share of a listing's pairs that a round must bring, or the best of what is open are listed anew.
 TAIL = 0.1
 
 SIDES = ["id", "y", "x", "h"]
+FOUND = "w bigint, source_id bigint, label bigint, value double"
 LISTS = "w bigint, source_id bigint, label bigint, value double, of_source boolean, more boolean"
 
 
+class _Around:
+    """The sources of a window that are left, by bands of y and then by x."""
+
+    def __init__(self, s: dict[str, np.ndarray], penalty: float):
+        self.most = int(s["h"].max())
+        self.high = self.most + 1
+        band = s["y"] // self.high
+        order = np.lexsort((s["id"], s["x"], band))
+        self.id, self.plus, self.minus, self.penalty = s["id"][order], s["plus"][order], s["minus"][order], penalty
+        small = max(int(np.abs(s[a]).max()) for a in "yx") < 2**30 and self.most < 2**14
+        self.low, self.end = ([(s[a] + sign * s["h"] + more)[order].astype(np.int32 if small else np.int64) for a in "yx"] for sign, more in ((-1, 0), (1, 1)))
+        # Ranks instead of places, so that any places fit a key.
+        self.bands, self.places = np.unique(band), np.unique(s["x"])
+        self.key = np.searchsorted(self.bands, band[order]) * (len(self.places) + 1) + np.searchsorted(self.places, s["x"][order])
+        self.at, self.left, self.sums = np.arange(len(order)), bytearray(b"\1" * len(order)), np.zeros(len(order), np.int64)
+        self.open = np.frombuffer(self.left, bool)
+
+    def slices(self, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of boxes g where the sources lie that may meet them: from and to, a column a band."""
+        reach = g["h"] + self.most
+        low, high = (g["y"] - reach) // self.high, (g["y"] + reach) // self.high
+        bands = low[:, None] + np.arange(int((high - low).max()) + 1)
+        rank = np.minimum(np.searchsorted(self.bands, bands), len(self.bands) - 1)
+        there = (self.bands[rank] == bands) & (bands <= high[:, None])
+        first = rank * (len(self.places) + 1)
+        ends = (np.searchsorted(self.key, first + np.searchsorted(self.places, x, side)[:, None]) for x, side in ((g["x"] - reach, "left"), (g["x"] + reach, "right")))
+        return tuple(np.where(there, end, 0) for end in ends)
+
+    def met(self, ranges: list[tuple[int, int]], y: tuple[int, int], x: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The sources left in ranges whose boxes meet that of y and x, and the pixels shared."""
+        at = np.concatenate([self.at[a:b] for a, b in ranges])
+        at = at[self.open[at]]
+        shared = np.minimum(self.end[1][at], x[1]) - np.maximum(self.low[1][at], x[0])
+        at, shared = at[shared > 0], shared[shared > 0]
+        other = np.minimum(self.end[0][at], y[1]) - np.maximum(self.low[0][at], y[0])
+        meets = other > 0
+        return at[meets], shared[meets] * other[meets]
+
+    def added(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The sources of several boxes, each once, with what they share in all."""
+        new = []
+        for at, shared in found:
+            new.append(at[self.sums[at] == 0])
+            self.sums[at] += shared
+        at = np.concatenate(new)
+        shared = self.sums[at]
+        self.sums[at] = 0
+        return at, shared
+
+    def best(self, at: np.ndarray, shared: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The best k of sources by value, then by id, with their values, and whether there are more."""
+        value = shared.astype(float) - self.penalty + self.plus[at] - self.minus[at]
+        at, value = at[value > 0], value[value > 0]
+        more = len(at) > k
+        if more:
+            least = np.partition(value, len(value) - k)[len(value) - k]
+            at, value = at[value >= least], value[value >= least]
+        order = np.lexsort((self.id[at], -value))[:k]
+        return at[order], value[order], more
+
+
+def _matched(s: dict[str, np.ndarray], g: dict[str, np.ndarray], clashes: tuple[np.ndarray, np.ndarray], penalty: float) -> tuple[list[int], list[int], list[float]]:
+    """(id, label, value) of the pairs that are taken, the best of all that are left first.
+
+    A label waits in a heap with the best pair that it had when it was looked at; as sources only go, none of its pairs is
+    better, so what comes out on top with a source that is left is the best of all.
+    """
+    around = _Around(s, penalty)
+    left, ids, k = around.left, around.id, HELD
+    order = np.argsort(g["id"], kind="stable")
+    g = {c: x[order] for c, x in g.items()}
+    labels, first = np.unique(g["id"], return_index=True)
+    first, labels = [*first.tolist(), len(g["id"])], labels.tolist()
+    lows, highs = (x.tolist() for x in around.slices(g))
+    sides = {a: list(zip((g[a] - g["h"]).tolist(), (g[a] + g["h"] + 1).tolist(), strict=True)) for a in "yx"}
+    rank = np.argsort(ids)
+    # The sources that each one rules out, both ways.
+    ends = [np.minimum(np.searchsorted(ids, c, sorter=rank), len(ids) - 1) for c in clashes]
+    ends = [rank[e] for e in ends]
+    known = (ids[ends[0]] == clashes[0]) & (ids[ends[1]] == clashes[1])
+    a, b = (np.concatenate(x) for x in ((ends[0][known], ends[1][known]), (ends[1][known], ends[0][known])))
+    by = np.argsort(a, kind="stable")
+    ruled, start = b[by], np.searchsorted(a[by], np.arange(len(ids) + 1))
+    held, values = np.zeros((len(labels), k), np.int32), np.zeros((len(labels), k))
+    n, at, cut = [0] * len(labels), [0] * len(labels), bytearray(len(labels))
+
+    def listed(label: int) -> None:
+        found = []
+        for box in range(first[label], first[label + 1]):
+            ranges = [x for x in zip(lows[box], highs[box], strict=True) if x[0] < x[1]]
+            if ranges:
+                found.append(around.met(ranges, sides["y"][box], sides["x"][box]))
+        n[label], cut[label] = 0, False
+        if not found:
+            return
+        sources, value, more = around.best(*(found[0] if len(found) == 1 else around.added(found)), k)
+        held[label, : len(sources)], values[label, : len(sources)] = sources, value
+        n[label], at[label], cut[label] = len(sources), 0, more
+
+    heap = []
+    for label in range(len(labels)):
+        listed(label)
+        if n[label]:
+            heap.append((-float(values[label, 0]), int(ids[held[label, 0]]), -labels[label], label))
+    heapq.heapify(heap)
+    taken: tuple[list[int], list[int], list[float]] = ([], [], [])
+    while heap:
+        value, source_id, _, label = heap[0]
+        source = int(held[label, at[label]])
+        if left[source]:
+            heapq.heappop(heap)
+            left[source] = 0
+            for other in ruled[start[source] : start[source + 1]].tolist():
+                left[other] = 0
+            for column, x in zip(taken, (source_id, labels[label], -value), strict=True):
+                column.append(x)
+            continue
+        while at[label] < n[label] and not left[held[label, at[label]]]:
+            at[label] += 1
+        if at[label] == n[label] and cut[label]:
+            listed(label)
+        if at[label] < n[label]:
+            source = int(held[label, at[label]])
+            heapq.heapreplace(heap, (-float(values[label, at[label]]), int(ids[source]), -labels[label], label))
+        else:
+            heapq.heappop(heap)
+    return taken
+
+
+def _together(sources: DataFrame, truth: DataFrame, overlaps: DataFrame, windows: int, penalty: float) -> DataFrame:
+    """match_boxes() with a window a task."""
+
+    def solve(rows: pd.DataFrame, clashes: pd.DataFrame) -> pd.DataFrame:
+        of = rows["truth"].to_numpy()
+        s, g = ({c: rows[c].to_numpy()[of == side] for c in (*SIDES, "plus", "minus")} for side in (False, True))
+        taken = _matched(s, g, tuple(clashes[c].to_numpy() for c in ("node_id", "ancestor_id")), penalty) if len(s["id"]) and len(g["id"]) else ([], [], [])
+        return pd.DataFrame({"w": np.full(len(taken[0]), rows["w"].iloc[0] if len(rows) else 0), **dict(zip(("source_id", "label", "value"), taken, strict=True))})
+
+    # Few windows are dealt to many partitions, so that hardly two of them meet in one.
+    parts = min(8 * windows, 2000)
+    own = sources.select("w", F.lit(False).alias("truth"), *SIDES, "plus", "minus")
+    rows = own.unionByName(truth.select("w", F.lit(True).alias("truth"), *SIDES, F.lit(0.0).alias("plus"), F.lit(0.0).alias("minus")))
+    clashes = overlaps.join(sources.select("w", F.col("id").alias("node_id")), "node_id").select(F.col("w").alias("_w"), "node_id", "ancestor_id")
+    return durable(rows.repartition(parts, "w").groupBy("w").cogroup(clashes.repartition(parts, "_w").groupBy("_w")).applyInPandas(solve, FOUND))
+
+
 def _firsts(owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted owners, which rows are among the first k of theirs, and which of these are the k-th before others."""
     first = np.searchsorted(owner, owner)
@@ -210,8 +363,11 @@ def match_boxes(sources: DataFrame, truth: DataFrame, overlaps: DataFrame, penal
     whole = [F.floor(c).cast("bigint").alias(c) for c in "yx"]
     sources = durable(sources.select(F.col("w").cast("bigint").alias("w"), "id", *whole, F.col("h").cast("bigint").alias("h"), *(F.col(c).cast("double").alias(c) for c in ("plus", "minus"))).dropna())
     truth = durable(truth.select(F.col("w").cast("bigint").alias("w"), "id", *whole, F.col("h").cast("bigint").alias("h")).dropna())
+    sizes = sources.select("w").unionByName(truth.select("w")).groupBy("w").count().agg(F.count(F.lit(1)), F.max("count")).head()
+    if (sizes[1] or 0) <= TOGETHER:
+        return _together(sources, truth, overlaps, max(sizes[0], 1), penalty)
     clashes = durable(both_ways(overlaps.join(sources.select("w", F.col("id").alias("node_id")), "node_id").select("w", "node_id", "ancestor_id")))
-    taken = [sources.sparkSession.createDataFrame([], "w bigint, source_id bigint, label bigint, value double")]
+    taken = [sources.sparkSession.createDataFrame([], FOUND)]
     while True:
         lists = _listed(sources, truth, penalty)
         if not lists.head(1):
