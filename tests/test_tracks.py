@@ -93,6 +93,24 @@ def test_least_total_of_near_columns():
         assert len(set(found.tolist())) == n and abs(cost[np.arange(n), wanted].sum() - cost[np.arange(n), found].sum()) < 1e-9
 
 
+def test_equal_points_are_sent_at_once(monkeypatch):
+    """Copies of a few spots cost what the spots cost, and the total is that of all points one by one."""
+    rng, sizes, sent = np.random.default_rng(5), [], assigning._sent
+
+    def counted(points, units, others, room):
+        sizes.append((len(points), len(others), units.sum(), room.sum()))
+        return sent(points, units, others, room)
+
+    monkeypatch.setattr(assigning, "_sent", counted)
+    a, b = rng.random((12, 3))[rng.integers(0, 12, 150)], rng.random((30, 3))[rng.integers(0, 30, 200)]
+    cost = np.sqrt(((a[:, None] - b) ** 2).sum(axis=2))
+    found, wanted = assigning.least_total_near(a, b), assigning.least_total(len(a), len(b), lambda k: cost[k])
+    rows = np.arange(len(a))
+    assert len(set(found.tolist())) == len(a) and found.min() >= 0
+    assert cost[rows, found].sum() == pytest.approx(cost[rows, wanted].sum())
+    assert sizes == [(len(np.unique(a, axis=0)), len(np.unique(b, axis=0)), 150, 200)]
+
+
 def test_least_total():
     rng = np.random.default_rng(3)
     for n, m in [(1, 1), (3, 3), (4, 6), (5, 5), (6, 7)] * 6:
