@@ -63,3 +63,11 @@ def test_far_places_and_large_ids(spark, one_partition):
     overlaps = spark.createDataFrame([(2, 1), (3, 99)], "node_id long, ancestor_id long")
     found = {tuple(r) for r in truth.match_boxes(sources, labels, overlaps).collect()}
     assert found == {(0, 1, 7, 49 - 1e-3), (0, far, 9, 72 - 1e-3)}
+
+
+def test_template_matches_in_tasks(spark, few, monkeypatch):
+    """No listing by parts, and no round of jobs."""
+    for name in ("_listed", "_rounds"):
+        monkeypatch.setattr(truth, name, None)
+    nodes = crowded(spark, D, "v_nodes")
+    same(queries.gt_template_matches(spark, D), solving.match_frames_by_area(*few, nodes, pixels.frame_peaks(nodes)))
